@@ -297,17 +297,18 @@ def co_occurrence(
 
 
 def self_pairs(
-    df: DataFrame, by: Sequence[str], item: str, period: str | None = None, top: int = 25
+    df: DataFrame, by: Sequence[str], item: str, period: str | None = None,
+    selected: DataFrame | None = None,
 ) -> DataFrame:
     """Unordered pairs of different items that occur under the same key, counted once per key.
 
-    Pairs are formed among the top items only, so a key yields at most top * (top - 1) / 2 pairs.
+    ``selected`` limits the report to a list of items, as the chart does. Repeated items of a key
+    are merged first, so a key yields pairs of its distinct items, however many rows it holds.
     """
     rows = df.filter(_present(item))
-    totals = rows.groupBy(item).agg(F.count(F.lit(1)).alias("__t"))
-    best = top_n(totals, [F.col("__t").desc(), F.col(item)], top).select(item)
-    # At most ``top`` distinct items per key reach the array.
-    baskets = rows.join(best, item, "left_semi").groupBy(*by).agg(
+    if selected is not None:
+        rows = rows.join(selected.select(item).distinct(), item, "left_semi")
+    baskets = rows.groupBy(*by).agg(
         F.array_sort(F.collect_set(item)).alias("__items")
     )
     pairs = F.flatten(

@@ -356,7 +356,10 @@ select a.event_year, a.drug_name as item_a, b.drug_name as item_b, count(*) as f
 from items a join items b on a.claim_id = b.claim_id and a.event_year = b.event_year
   and a.drug_name < b.drug_name group by all""")
 def drug_pairs(t):
-    return Q.self_pairs(S.medical(t), ["claim_id", "event_year"], "drug_name", "event_year", 15)
+    rows = S.medical(t)
+    totals = rows.groupBy("drug_name").agg(F.count("*").alias("frequency"))
+    best = Q.top_bars(totals, "drug_name", 15)
+    return Q.self_pairs(rows, ["claim_id", "event_year"], "drug_name", "event_year", best)
 
 
 @query(_FREQ + """ select drug_name, cast(sum(frequency) as bigint) as frequency from freq
