@@ -77,76 +77,123 @@ def missing_flags(df: DataFrame, key: str, period: str, cols: Sequence[str]) ->
     return df.filter(F.col(period).isNotNull()).select(key, period, *flags).distinct()
 
 
+def nearest_period(
+    period: Column, offers: Column, max_gap: int, values: Sequence[str], offer_ok
+) -> Column:
+    """Best of an array of per-period rows: nearest period, then heavier, then earlier.
+
+    ``offers`` holds structs with ``p`` (period), ``w`` (weight) and the values; the result is the
+    struct of the winner's values, or null.
+    """
+    near = F.filter(offers, lambda x: (F.abs(x["p"] - period) <= max_gap) & offer_ok(x))
+    ranked = F.transform(
+        near,
+        lambda x: F.struct(
+            F.abs(x["p"] - period).alias("gap"),
+            (-x["w"]).alias("weight"),
+            x["p"].alias("period"),
+            F.struct(*[x[v].alias(v) for v in values]).alias("values"),
+        ),
+    )
+    return F.array_min(ranked)["values"]
+
+
 def nearest_period_join(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    period: str,
-    max_gap: int,
-    weight: str,
+    left: DataFrame, right: DataFrame, key: str, period: str, max_gap: int, weight: str,
     values: Sequence[str],
-    needs: Column,
-    offers: Column,
 ) -> DataFrame:
-    """Best row of ``right`` for each (key, period) of ``left`` that needs one.
+    """Each row of ``left`` with the values of the nearest period of ``right`` of the same key.
 
-    Nearest period first, then the heavier row, then the earlier period. Both sides hold one row
-    per (key, period), so the equi-join on the key yields at most periods-per-key squared rows,
-    and the best one is picked by a combining aggregate.
+    ``right`` holds one row per (key, period), so a key gathers no more rows than there are
+    calendar periods.
     """
-    wanted = left.filter(needs).select(key, F.col(period).alias("__p"))
-    offered = right.filter(offers).select(
-        key, F.col(period).alias("__q"), F.col(weight).alias("__w"), *values
-    )
-    gap = F.abs(F.col("__p") - F.col("__q"))
-    best = F.min_by(F.struct(*values), F.struct(gap, -F.col("__w"), F.col("__q")))
+    row = F.struct(F.col(period).alias("p"), F.col(weight).alias("w"), *values)
+    offers = right.groupBy(key).agg(F.collect_list(row).alias("__offers"))
+    best = nearest_period(F.col(period), F.col("__offers"), max_gap, values,
+                          lambda x: F.lit(True))
     return (
-        wanted.join(offered, key)
-        .filter(gap <= max_gap)
-        .groupBy(key, F.col("__p").alias(period))
-        .agg(best.alias("__v"))
-        .select(key, period, *[F.col(f"__v.{v}").alias(v) for v in values])
+        left.join(offers, key, "left")
+        .withColumn("__best", best)
+        .withColumns({f"nearest_{v}": F.col(f"__best.{v}") for v in values})
+        .drop("__offers", "__best")
     )
 
 
 def attach_best(left: DataFrame, best: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on the keys; ``best`` holds one row per key."""
     return left.join(best, list(keys), "left")
 
 
-def impute_profile(
-    own: DataFrame, other: DataFrame, other_name: str, key: str = "person",
-    period: str = "event_year", years: int = 5,
-) -> DataFrame:
-    """Imputed demographics and their provenance per (key, period) of one source.
+def _claim_profile(claims: DataFrame) -> DataFrame:
+    """Person-year profile that also tells whether some claim of the year lacked a field."""
+    lacking = F.greatest(*[F.coalesce(_is_missing(d), F.lit(True)) for d in DEMOGRAPHICS])
+    return (
+        claims.filter(F.col("event_year").isNotNull())
+        .groupBy("person", "event_year")
+        .agg(
+            *[F.min(d).alias(d) for d in DEMOGRAPHICS],
+            F.count(F.lit(1)).alias("w"),
+            F.bool_or(lacking).alias("lacking"),
+        )
+    )
 
-    An own age above 114 is replaced by the candidate even when there is none; its provenance
-    then stays 'original'.
-    """
-    age_bad = F.col("age").isNull() | (F.col("age") > MAX_AGE)
-    others = [d for d in DEMOGRAPHICS if d != "age"]
-    some_missing = F.greatest(*[F.col(d).isNull() for d in others])
-    some_known = F.greatest(*[F.col(d).isNotNull() for d in others])
-    ages = nearest_period_join(
-        own, other, key, period, years, "claim_count", ["age"], age_bad,
-        F.col("age").isNotNull() & (F.col("age") <= MAX_AGE),
-    ).withColumnRenamed("age", "__age")
-    rest = nearest_period_join(
-        own, other, key, period, years, "claim_count", others, some_missing, some_known
-    ).withColumnsRenamed({d: f"__{d}" for d in others})
-    joined = attach_best(attach_best(own, ages, [key, period]), rest, [key, period])
+
+def _imputed(people: DataFrame, own: str, other: str, other_name: str, years: int) -> DataFrame:
+    """Imputed demographics and provenance for the person-years of one source."""
+    rest = [d for d in DEMOGRAPHICS if d != "age"]
+    rows = people.select("person", F.explode(own).alias("o"), F.col(other).alias("x"))
+    age = F.col("o.age")
+    age_bad = age.isNull() | (age > MAX_AGE)
+    wants = F.greatest(*[F.col(f"o.{d}").isNull() for d in rest])
+    best_age = nearest_period(
+        F.col("o.p"), F.col("x"), years, ["age"],
+        lambda x: x["age"].isNotNull() & (x["age"] <= MAX_AGE),
+    )
+    best_rest = nearest_period(
+        F.col("o.p"), F.col("x"), years, rest,
+        lambda x: F.greatest(*[x[d].isNotNull() for d in rest]),
+    )
+    rows = rows.select(
+        "person", "o", F.when(age_bad, best_age).alias("a"), F.when(wants, best_rest).alias("d")
+    )
     label = F.lit(f"imputed_from_{other_name}")
-    out = {
-        "age_imputed": F.when(F.col("age") > MAX_AGE, F.col("__age")).otherwise(
-            F.coalesce("age", "__age")
-        ),
-        "age_source": F.when(age_bad & F.col("__age").isNotNull(), label).otherwise("original"),
-    }
-    for d in others:
-        out[f"{d}_imputed"] = F.coalesce(d, f"__{d}")
-        out[f"{d}_source"] = F.when(
-            F.col(d).isNull() & F.col(f"__{d}").isNotNull(), label
-        ).otherwise("original")
-    return joined.select(key, period, *[c.alias(n) for n, c in out.items()])
+
+    def source(filled: Column) -> Column:
+        return F.when(filled, label).otherwise("original")
+
+    out = [
+        F.when(age > MAX_AGE, F.col("a.age")).otherwise(F.coalesce(age, F.col("a.age")))
+        .alias("age_imputed"),
+        source(age_bad & F.col("a.age").isNotNull()).alias("age_source"),
+    ]
+    for d in rest:
+        have, found = F.col(f"o.{d}"), F.col(f"d.{d}")
+        out.append(F.coalesce(have, found).alias(f"{d}_imputed"))
+        out.append(source(have.isNull() & found.isNotNull()).alias(f"{d}_source"))
+    return rows.select("person", F.col("o.p").alias("event_year"), *out, "o.lacking")
+
+
+def impute_profiles(
+    a: DataFrame, b: DataFrame, a_name: str, b_name: str, years: int = 5
+) -> tuple[DataFrame, DataFrame]:
+    """Person-year demographics of two claim sources, each filled from the other one.
+
+    Both profiles meet in one shuffle on the person, where a person brings at most one small row
+    per source and year; the nearest year is then picked inside the row. An own age above 114 is
+    replaced by the candidate even when there is none; its provenance then stays 'original'.
+    """
+    row = F.struct(F.col("event_year").alias("p"), "w", "lacking", *DEMOGRAPHICS)
+    tagged = _claim_profile(a).select("person", row.alias("a"), F.lit(None).alias("b"))
+    tagged = tagged.unionByName(
+        _claim_profile(b).select("person", F.lit(None).alias("a"), row.alias("b"))
+    )
+    people = tagged.groupBy("person").agg(
+        F.collect_list("a").alias("a"), F.collect_list("b").alias("b")
+    )
+    return (
+        _imputed(people, "a", "b", b_name, years),
+        _imputed(people, "b", "a", a_name, years),
+    )
 
 
 def impute_demographics(
@@ -157,30 +204,21 @@ def impute_demographics(
     Imputation runs on the person-year profiles (small); the claims meet the result in one
     equi-join whose hot persons adaptive execution splits.
     """
-    profile_a = period_profile(a, "person", "event_year", DEMOGRAPHICS)
-    profile_b = period_profile(b, "person", "event_year", DEMOGRAPHICS)
-    filled_a = impute_profile(profile_a, profile_b, b_name, years=years)
-    filled_b = impute_profile(profile_b, profile_a, a_name, years=years)
+    filled_a, filled_b = impute_profiles(a, b, a_name, b_name, years)
     keys = ["person", "event_year"]
-    return a.join(filled_a, keys, "left"), b.join(filled_b, keys, "left")
+    return (
+        attach_best(a, filled_a.drop("lacking"), keys),
+        attach_best(b, filled_b.drop("lacking"), keys),
+    )
 
 
 def demographics_lookup(
     a: DataFrame, b: DataFrame, a_name: str, b_name: str, years: int = 5
 ) -> DataFrame:
     """Imputed demographics of the person-years in which some claim lacked a field."""
-    profiles = [period_profile(x, "person", "event_year", DEMOGRAPHICS) for x in (a, b)]
-    filled = [
-        impute_profile(profiles[0], profiles[1], b_name, years=years),
-        impute_profile(profiles[1], profiles[0], a_name, years=years),
-    ]
-    keys = ["person", "event_year"]
-    parts = []
-    for claims, lookup in zip((a, b), filled):
-        flags = missing_flags(claims, *keys, DEMOGRAPHICS)
-        any_flag = F.greatest(*[F.col(f"missing_{d}") for d in DEMOGRAPHICS]) == 1
-        parts.append(lookup.join(flags.filter(any_flag).select(*keys), keys, "left_semi"))
-    return parts[0].unionByName(parts[1]).distinct()
+    filled_a, filled_b = impute_profiles(a, b, a_name, b_name, years)
+    both = filled_a.unionByName(filled_b)
+    return both.filter("lacking").drop("lacking").distinct()
 
 
 def backfill(

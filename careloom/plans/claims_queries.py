@@ -122,6 +122,22 @@ def demographics_lookup(t):
     return _lookup(t).select(*_OUT)
 
 
+@query(f"""with {_PROFILES}, pick as (select o.person, o.event_year, x.payer, x.zip, row_number()
+    over (partition by o.person, o.event_year order by abs(o.event_year - x.event_year),
+    x.claim_count desc, x.event_year) as r from prof_a o join prof_b x
+    on o.person = x.person and abs(o.event_year - x.event_year) <= 1)
+select o.person, o.event_year, p.payer as nearest_payer, p.zip as nearest_zip
+from prof_a o left join pick p on o.person = p.person and o.event_year = p.event_year and p.r = 1""")
+def nearest_year_profile(t):
+    left, right = (
+        I.period_profile(x, "person", "event_year", _DEMO) for x in (normal_a(t), normal_b(t))
+    )
+    near = I.nearest_period_join(
+        left, right, "person", "event_year", 1, "claim_count", ["payer", "zip"]
+    )
+    return near.select("person", "event_year", "nearest_payer", "nearest_zip")
+
+
 @query(f"""{_LOOKUP}, one as (select person, event_year, min(age_imputed) as age_imputed,
     min(gender_imputed) as gender_imputed from lookup group by 1, 2)
 select claim_id, n.person, coalesce(age, age_imputed) as age, coalesce(gender, gender_imputed) as gender
