@@ -33,8 +33,8 @@ def cell(x):
     if isinstance(x, decimal.Decimal):
         x = float(x)
     if isinstance(x, float):
-        if math.isnan(x):
-            return "nan"
+        if math.isnan(x) or math.isinf(x):
+            return str(x)
         return int(x) if x == int(x) and abs(x) < 1e15 else round(x, 5)
     if isinstance(x, datetime.datetime):
         return x.isoformat()
