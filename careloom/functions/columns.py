@@ -171,4 +171,4 @@ def matches_variant(code: str | Column, wanted: str, mode: str = "contains") ->
 
 
 def pipe_join(values: str | Column) -> Column:
-    return F.array_join(F.array_sort(col(values)), "|")
+    return F.array_join(F.sort_array(col(values)), "|")

@@ -37,7 +37,7 @@ def clean_drug_name_simple(name: str | Column) -> Column:
 
 def sort_combination(name: str | Column, sep: str = "+") -> Column:
     """Parts of a combination in alphabetical order."""
-    return F.array_join(F.array_sort(F.split(col(name), rf"\{sep}")), sep)
+    return F.array_join(F.sort_array(F.split(col(name), rf"\{sep}")), sep)
 
 
 def normalize_report_drug(name: str | Column) -> Column:
@@ -76,7 +76,7 @@ def rule_code(words: str | Column, rule_codes: Mapping[str, str]) -> Column:
     table = F.create_map(*[F.lit(x) for pair in sorted(rule_codes.items()) for x in pair])
     codes = F.filter(F.transform(col(words), lambda w: F.try_element_at(table, w)),
                      lambda c: c.isNotNull())
-    return F.array_join(F.array_sort(codes), "_")
+    return F.array_join(F.sort_array(codes), "_")
 
 
 def drug_text_features(name: str | Column) -> dict[str, Column]:

@@ -159,7 +159,7 @@ def target_average_stats(
     dense = cells.drop("id").join(counts.select(*by, value), list(by), "left")
     n = F.coalesce(F.col(value), F.lit(0))
     present = F.when(n > 0, n)
-    ordered = F.array_sort(F.collect_list(present))
+    ordered = F.sort_array(F.collect_list(present))
     middle = F.try_element_at(ordered, (F.size(ordered) / 2).cast("int") + 1)
     return dense.agg(
         F.count(F.lit(1)).alias("total_partitions"),
@@ -175,7 +175,7 @@ def target_average_stats(
 def polypharmacy(df: DataFrame, drugs: str, min_reports: int = 2) -> DataFrame:
     """Drug combinations reported more than once, with their size."""
     return (
-        df.groupBy(F.array_sort(col(drugs)).alias("drugs"))
+        df.groupBy(F.sort_array(col(drugs)).alias("drugs"))
         .agg(F.count(F.lit(1)).alias("occurrences"))
         .filter(F.col("occurrences") >= min_reports)
         .withColumn("polypharmacy", F.size("drugs"))
@@ -309,7 +309,7 @@ def self_pairs(
     if selected is not None:
         rows = rows.join(selected.select(item).distinct(), item, "left_semi")
     baskets = rows.groupBy(*by).agg(
-        F.array_sort(F.collect_set(item)).alias("__items")
+        F.sort_array(F.collect_set(item)).alias("__items")
     )
     pairs = F.flatten(
         F.transform(

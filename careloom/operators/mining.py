@@ -44,7 +44,7 @@ def transactions(rows: DataFrame, key: str, item: str = "item") -> DataFrame:
     item per task; its size is bounded by the vocabulary.
     """
     return rows.filter(F.col(item).isNotNull() & (F.col(item) != "")).groupBy(key).agg(
-        F.array_sort(F.collect_set(item)).alias("items"),
+        F.sort_array(F.collect_set(item)).alias("items"),
         F.count(F.lit(1)).alias("size"),
     )
 
@@ -74,7 +74,7 @@ def frequent_itemsets(tx: DataFrame, min_support: float, column: str = "items")
         return _empty_itemsets(tx)
     model = FPGrowth(itemsCol=column, minSupport=min_support, minConfidence=1.0).fit(tx)
     found = model.freqItemsets.select(
-        F.array_sort("items").alias("items"),
+        F.sort_array("items").alias("items"),
         F.col("freq").alias("frequency"),
         (F.col("freq") / F.lit(n)).alias("support"),
     )
@@ -250,7 +250,7 @@ def mine_marked(
     kept = filter_by_lift(found, min_lift, drop_singletons=True).filter(F.size("items") > 1)
     return kept, association_rules(found, min_confidence).join(
         kept.select(F.col("items").alias("__i")),
-        F.array_sort(F.concat("antecedents", "consequents")) == F.col("__i"), "left_semi",
+        F.sort_array(F.concat("antecedents", "consequents")) == F.col("__i"), "left_semi",
     )
 
 
@@ -398,6 +398,6 @@ def rule_network(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
 def encoding_collisions(df: DataFrame, name: str, encoding: str) -> DataFrame:
     """Encodings that several names share."""
     shared = df.groupBy(encoding).agg(
-        F.countDistinct(name).alias("drugs"), F.array_sort(F.collect_set(name)).alias("names")
+        F.countDistinct(name).alias("drugs"), F.sort_array(F.collect_set(name)).alias("names")
     )
     return shared.filter(F.col("drugs") > 1)

@@ -156,7 +156,7 @@ def _reports(t):
         F.col("o_orderkey").alias("primaryid"), F.col("o_custkey").alias("caseid"),
         F.col("o_orderstatus").alias("outc_cod"), "o_orderdate",
     ).agg(
-        F.array_sort(F.collect_set("p_type")).alias("drugs"),
+        F.sort_array(F.collect_set("p_type")).alias("drugs"),
         F.min("l_shipdate").alias("__ship"),
         F.max("p_size").alias("age"),
     ).select(
