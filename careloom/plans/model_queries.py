@@ -172,9 +172,28 @@ def classification_metrics(t):
     )
 
 
-@query()
+@query(f"""with {_SCORES}, g as (select score, avg(label) as y, count(*) as w from scores group by 1),
+  n as (select score, row_number() over (order by score) as i, sum(w) over (order by score) as cw,
+    sum(w * y) over (order by score) as cy, w, y from g),
+  mean as (select a.i as j, b.i as k, (b.cy - a.cy + a.w * a.y) / (b.cw - a.cw + a.w) as m
+    from n a join n b on b.i >= a.i),
+  low as (select j, k, min(m) over (partition by j order by k desc) as m from mean),
+  fit as (select k as i, max(m) as calibrated from low group by 1)
+select doc_id, label, round(s.score, 6) as score, round(calibrated, 6) as calibrated
+from scores s join n on s.score = n.score join fit on n.i = fit.i""")
 def calibrated_scores(t):
-    return V.calibrate(_scores(t), "label", "score", ["doc_id"])
+    out = V.calibrate(_scores(t), "label", "score", ["doc_id"])
+    return out.select(
+        "doc_id", F.col("label").cast("int").alias("label"), F.round("score", 6).alias("score"),
+        F.round("calibrated", 6).alias("calibrated"),
+    )
+
+
+@query(f"""with {_SCORES} select round(avg((score - label) ** 2), 6) as brier, count(*) as n from scores""")
+def brier_score(t):
+    return _scores(t).agg(
+        F.round(V.brier("label", "score"), 6).alias("brier"), F.count("*").alias("n")
+    )
 
 
 @query(f"""with {_SCORES} select lang as model, round(avg(case when score >= 0.5 then 1 else 0 end), 6) as mean_recall
