@@ -33,6 +33,13 @@ def brier(label: str, probability: str) -> Column:
     return F.avg(gap * gap)
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson correlation, null when a column is constant (``corr`` fails there in ANSI mode)."""
+    x = F.when(F.col(b).isNotNull(), F.col(a)).cast("double")
+    y = F.when(F.col(a).isNotNull(), F.col(b)).cast("double")
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def score_table(df: DataFrame, label: str, score: str) -> DataFrame:
     """Positives and negatives per distinct score, with running totals from the highest score."""
     groups = df.groupBy(F.col(score).alias("score")).agg(
@@ -122,7 +129,7 @@ def best_model(results: DataFrame, model: str = "model", metric: str = "recall")
 def correlation_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Pairwise Pearson correlations of the listed features, in one pass."""
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
-    row = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    row = df.agg(*[correlation(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     entries = F.array(
         *[
             F.struct(F.lit(x).alias("feature_a"), F.lit(y).alias("feature_b"),

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from careloom.operators.evaluation import correlation
 from careloom.operators.importance import assemble, positive_probability
 
 RULE_SCHEMA = ("tree int, rule_id int, prediction double, "
@@ -341,7 +342,7 @@ def rule_change_effect(
     rows = rows.join(literals, "rule_id")
     pairs = [(a, b) for a in names for b in names if a != b]
     stats = rows.groupBy("rule_id").agg(
-        *[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs] or [F.count(F.lit(1)).alias("__n")]
+        *[correlation(a, b).alias(f"{a}__{b}") for a, b in pairs] or [F.count(F.lit(1)).alias("__n")]
     )
     joined = rows.join(stats, "rule_id").withColumns({f"__o_{f}": F.col(f) for f in names})
     for i, f in enumerate(names):

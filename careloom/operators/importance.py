@@ -219,7 +219,7 @@ def native_vs_explained(
     """Both importances of the shared features and their correlation."""
     means = explained.groupBy(feature).agg(F.avg(b).alias(b))
     both = native.select(feature, a).join(means, feature)
-    return both.withColumn("correlation", both.agg(F.corr(a, b).alias("c")).scalar())
+    return both.withColumn("correlation", both.agg(ev.correlation(a, b).alias("c")).scalar())
 
 
 def permutation_test(

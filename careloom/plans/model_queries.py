@@ -448,7 +448,7 @@ def permutation_significance(t):
 
     def strength(rows, by):
         return rows.groupBy(by).agg(
-            F.abs(F.corr("n_orders", "label")).alias("importance")
+            F.abs(V.correlation("n_orders", "label")).alias("importance")
         )
 
     return I.permutation_test(people, "person", ["n_orders"], "n_orders", strength, n=20)
