@@ -2,7 +2,8 @@
 
 A cohort needs one row per person (label, first dates) and then the events of the chosen persons.
 The person table comes from a map-side combined aggregate; the events meet it in one equi-join, in
-which adaptive execution splits hot persons. Controls are drawn by the smallest seeded hashes, so
+which adaptive execution splits hot persons. The person table is far smaller than the events and is
+used twice, so it is checkpointed instead of computed twice. Controls are drawn by the smallest seeded hashes, so
 a recomputed task draws the same sample.
 """
 
@@ -17,6 +18,7 @@ from pyspark.sql.window import Window
 from careloom.constants import DIAGNOSIS_SLOTS, ED_LINES, MODIFIER_SLOTS, opioid_codes
 from careloom.functions.columns import any_code_in, code_prefix, col
 from careloom.operators.ordering import hash_bucket, hash_text, with_position
+from careloom.session import cut_lineage
 
 TARGET, EXCLUSION, OTHER = "opioid_ed", "ed_non_opioid", "non_target"
 
@@ -122,15 +124,14 @@ def sample_controls(
         wanted.alias("__limit"),
         F.coalesce(F.sum("__controls").over(earlier), F.lit(0)).alias("__before"),
     )
-    joined = cut.join(offsets, "__b")
-    cases = joined.filter(F.col(is_case))
-    inside = Window.partitionBy("__b").orderBy("__h", key)
-    controls = (
-        joined.filter(~F.col(is_case) & (F.col("__before") < F.col("__limit")))
+    inside = Window.partitionBy("__b", is_case).orderBy("__h", key)
+    ranked = (
+        cut.join(offsets, "__b")
+        .filter(F.col(is_case) | (F.col("__before") < F.col("__limit")))
         .withColumn("__rank", F.col("__before") + F.row_number().over(inside))
-        .filter(F.col("__rank") <= F.col("__limit"))
     )
-    return cases.select(*people.columns).unionByName(controls.select(*people.columns))
+    chosen = F.col(is_case) | (F.col("__rank") <= F.col("__limit"))
+    return ranked.filter(chosen).select(*people.columns)
 
 
 def _finish(events: DataFrame, members: DataFrame, key: str, cohort: str, control: str,
@@ -160,7 +161,7 @@ def case_control_cohort(
         F.coalesce(F.bool_or(is_target), F.lit(False)).alias("is_case"),
         F.min(F.when(is_target, F.col(date))).alias(first_date),
     )
-    members = sample_controls(people, key, "is_case", ratio, seed=seed)
+    members = sample_controls(cut_lineage(people), key, "is_case", ratio, seed=seed)
     return _finish(events, members, key, cohort_name.upper(), "NON_ED", cohort_name)
 
 
@@ -204,7 +205,7 @@ def windowed_cohort(
         )
         .select(key, "is_case", first_date, "__reference")
     )
-    members = sample_controls(people, key, "is_case", ratio, seed=seed)
+    members = sample_controls(cut_lineage(people), key, "is_case", ratio, seed=seed)
     joined = _finish(events, members, key, cohort_name.upper(), "NON_ED", cohort_name)
     gap = F.datediff(F.col("__reference"), day)
     return (
@@ -232,7 +233,7 @@ def control_only_cohort(
         .agg(F.coalesce(F.bool_or(is_target), F.lit(False)).alias("is_case"))
         .filter(~F.col("is_case"))
     )
-    members = sample_controls(people, key, "is_case", None, limit=limit, seed=seed)
+    members = sample_controls(cut_lineage(people), key, "is_case", None, limit=limit, seed=seed)
     return events.join(members.select(key), key).withColumns(
         {
             "target": F.lit(0),
@@ -332,5 +333,5 @@ def model_events(
     that still have events."""
     kept = important_item_events(cohort, items, slots, item)
     people = kept.groupBy(key).agg((F.max("is_target_case") == 1).alias("is_case"))
-    members = sample_controls(people, key, "is_case", ratio, seed=seed)
+    members = sample_controls(cut_lineage(people), key, "is_case", ratio, seed=seed)
     return kept.join(members.select(key), key)

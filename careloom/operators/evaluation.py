@@ -104,10 +104,9 @@ def classification_metrics(
     df: DataFrame, label: str, score: str, threshold: float = 0.5
 ) -> DataFrame:
     """All scores of one prediction table in one row."""
-    one = F.lit(1).alias("__one")
-    ranked = ranking_metrics(df, label, score).select(one, "*")
-    fixed = threshold_metrics(df, label, score, threshold).select(one, "*")
-    return ranked.join(fixed, "__one").drop("__one")
+    ranked = ranking_metrics(df, label, score)
+    fixed = threshold_metrics(df, label, score, threshold)
+    return ranked.withColumns({c: fixed.select(c).scalar() for c in fixed.columns})
 
 
 def calibrate(df: DataFrame, label: str, score: str, keep: Sequence[str] = ()) -> DataFrame:

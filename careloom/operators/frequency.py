@@ -103,8 +103,7 @@ def frequency_summary(freq: DataFrame, item: str, period: str) -> DataFrame:
         F.countDistinct(item).alias("unique_items"),
         F.countDistinct(period).alias("periods_covered"),
     )
-    one = F.lit(1).alias("__one")
-    return names.select(one, "*").join(spread.select(one, "*"), "__one").drop("__one")
+    return names.withColumns({c: spread.select(c).scalar() for c in spread.columns})
 
 
 def yearly_trend(freq: DataFrame, item: str, period: str, top: int = 10) -> DataFrame:

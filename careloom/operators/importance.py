@@ -74,12 +74,12 @@ def split_importance(
     scores = scored.groupBy("variant").agg(
         ev.recall(label, "prediction").alias("recall"), ev.log_loss(label, "__p").alias("logloss")
     )
-    base = scores.filter(F.col("variant") == BASELINE).select(
-        F.lit(1).alias("__one"), F.col("recall").alias("base_recall"),
-        F.col("logloss").alias("base_logloss"),
+    scores = cut_lineage(scores)
+    base = scores.filter(F.col("variant") == BASELINE)
+    rest = scores.filter(F.col("variant") != BASELINE).withColumns(
+        {f"base_{m}": base.select(m).scalar() for m in ("recall", "logloss")}
     )
-    rest = scores.filter(F.col("variant") != BASELINE).withColumn("__one", F.lit(1))
-    return rest.join(base, "__one").select(
+    return rest.select(
         F.col("variant").alias("feature"), "base_recall", "base_logloss",
         (F.col("base_recall") - F.col("recall")).alias("recall_drop"),
         (F.col("logloss") - F.col("base_logloss")).alias("logloss_rise"),

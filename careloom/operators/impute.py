@@ -42,9 +42,10 @@ def normalize_claims(
         (clean_int(source) if field == "age" else blank_to_null(source)).alias(field)
         for field, source in demographics.items()
     ]
+    # The filter leaves real dates only, so their first four digits are the year.
     return df.filter(is_valid_claim(key, date_text, first, last)).select(
         F.col(key).cast("string").alias("person"),
-        event_year(date_text).alias("event_year"),
+        F.substring(F.col(date_text).cast("string"), 1, 4).cast("int").alias("event_year"),
         *typed,
         F.col(date_text).alias("date_text"),
         *[select_or_null(df, name, *alts) for name, alts in keep.items()],
@@ -58,13 +59,23 @@ def period_profile(
 
     The smallest value stands for "any value", so that reruns agree.
     """
-    return (
-        df.filter(F.col(period).isNotNull())
-        .groupBy(key, period)
-        .agg(*[F.min(c).alias(c) for c in cols], F.count(F.lit(1)).alias("claim_count"))
+    return _distinct_combinations(df, key, period, cols).groupBy(key, period).agg(
+        *[F.min(c).alias(c) for c in cols], F.sum("__n").alias("claim_count")
     )
 
 
+def _distinct_combinations(
+    df: DataFrame, key: str, period: str, cols: Sequence[str]
+) -> DataFrame:
+    """Claims counted per combination of values.
+
+    Text minimums need a sorting aggregate; a count does not. Most claims of a person-year agree,
+    so hashing them together first leaves few rows to sort.
+    """
+    rows = df.filter(F.col(period).isNotNull())
+    return rows.groupBy(key, period, *cols).agg(F.count(F.lit(1)).alias("__n"))
+
+
 def _is_missing(field: str) -> Column:
     missing = F.col(field).isNull()
     return missing | (F.col(field) > MAX_AGE) if field == "age" else missing
@@ -127,14 +138,11 @@ def attach_best(left: DataFrame, best: DataFrame, keys: Sequence[str]) -> DataFr
 def _claim_profile(claims: DataFrame) -> DataFrame:
     """Person-year profile that also tells whether some claim of the year lacked a field."""
     lacking = F.greatest(*[F.coalesce(_is_missing(d), F.lit(True)) for d in DEMOGRAPHICS])
-    return (
-        claims.filter(F.col("event_year").isNotNull())
-        .groupBy("person", "event_year")
-        .agg(
-            *[F.min(d).alias(d) for d in DEMOGRAPHICS],
-            F.count(F.lit(1)).alias("w"),
-            F.bool_or(lacking).alias("lacking"),
-        )
+    combinations = _distinct_combinations(claims, "person", "event_year", DEMOGRAPHICS)
+    return combinations.groupBy("person", "event_year").agg(
+        *[F.min(d).alias(d) for d in DEMOGRAPHICS],
+        F.sum("__n").alias("w"),
+        F.bool_or(lacking).alias("lacking"),
     )
 
 

@@ -154,7 +154,7 @@ def dtw_to_prototypes(
     """Warping distance of every person to every prototype: (person, prototype, distance).
 
     ``prototype`` counts from 1 in the order of the prototype ids. With ``cost='abs'`` the value
-    column must be numeric.
+    column must be numeric. The result is small next to what it costs, so its lineage is cut.
     """
     listed = _prototype_values(protos, value, max_len)
     if not listed:
@@ -189,7 +189,7 @@ def dtw_to_prototypes(
         last = F.array(*[F.col("costs")[int(e) - 1] for e in ends])
         done = done.unionByName(pending.select("person", last.alias("costs")))
     proto_ids = F.array(*[F.lit(p) for p, _ in listed])
-    return done.select("person", F.posexplode("costs").alias("i", "distance")).select(
+    return cut_lineage(done).select("person", F.posexplode("costs").alias("i", "distance")).select(
         "person", (F.col("i") + 1).alias("prototype"), proto_ids[F.col("i")].alias("prototype_id"),
         "distance",
     )

@@ -41,26 +41,24 @@ def transaction_density(t):
     return binned.groupBy("density", "size").agg(F.count("*").alias("n"))
 
 
-_SETS = """{p}s1 as (select {b}'' || item as items, 1 as k, count(*) as f from base {j} group by {g}item),
-  {p}s2 as (select {b}x.item || '|' || y.item as items, 2 as k, count(*) as f
-    from base x join base y on x.key = y.key and x.item < y.item {jx} group by {g}x.item, y.item),
-  {p}s3 as (select {b}x.item || '|' || y.item || '|' || z.item as items, 3 as k, count(*) as f
-    from base x join base y on x.key = y.key and x.item < y.item
-    join base z on y.key = z.key and y.item < z.item {jx} group by {g}x.item, y.item, z.item),
-  {p}s4 as (select {b}x.item || '|' || y.item || '|' || z.item || '|' || v.item as items, 4 as k,
-    count(*) as f from base x join base y on x.key = y.key and x.item < y.item
-    join base z on y.key = z.key and y.item < z.item
-    join base v on z.key = v.key and z.item < v.item {jx}
-    group by {g}x.item, y.item, z.item, v.item),
-  {p}sets as (select * from {p}s1 union all select * from {p}s2 union all select * from {p}s3
-    union all select * from {p}s4)"""
-_ALL = _SETS.format(p="", b="", j="", jx="", g="")
-_BYBIN = _SETS.format(
-    p="b", b="density, ", j="join binned using (key)",
-    jx="join binned d on x.key = d.key", g="density, "
-)
-_FREQUENT = f"""with {_TX}, {_ALL}, n as (select count(*) as n from sized),
-  frequent as (select items, k, f, f / n as support from sets, n where f / n >= 0.02)"""
+def _mined(floor: str, by: str = "1") -> str:
+    """CTEs tid, n and frequent: itemsets of any size grown item by item over basket lists."""
+    return f"""tid as (select {by} as g, item, list(key) as tids from based group by 1, 2),
+  n as (select {by} as g, count(distinct key) as n from based group by 1),
+  grown as (
+    select g, item as items, item as last, 1 as k, tids from tid join n using (g)
+      where len(tids) / n >= {floor}
+    union all
+    select g, items, last, k, tids from (
+      select r.g, r.items || '|' || t.item as items, t.item as last, k + 1 as k,
+        list_intersect(r.tids, t.tids) as tids
+      from grown r join tid t on r.g = t.g and t.item > r.last) join n using (g)
+      where len(tids) / n >= {floor}),
+  frequent as (select g as density, items, k, len(tids) as f, len(tids) / n as support
+    from grown join n using (g))"""
+
+
+_FREQUENT = f"""with recursive {_TX}, based as (select key, item from base), {_mined("0.02")}"""
 
 
 def _itemsets(t, min_support=0.02):
@@ -75,9 +73,9 @@ def frequent_itemsets(t):
     )
 
 
-_FREQBIN = f"""with {_BINS}, {_BYBIN}, n as (select density, count(*) as n from binned group by 1),
-  frequent as (select density, items, k, f, f / n as support from bsets join n using (density)
-    where f / n >= case when density = 'extreme' then 0.02 else 0.04 end)"""
+_FREQBIN = f"""with recursive {_BINS},
+  based as (select key, item, density from base join binned using (key)),
+  {_mined("case when g = 'extreme' then 0.02 else 0.04 end", "density")}"""
 
 
 def _by_density(t):
@@ -236,15 +234,9 @@ def target_markers(t):
     )
 
 
-@query(f"""with {Q._COHORT}, base as (select distinct person as key, code_1 as item from cohort
-    where is_target_case = 1 and event_type = 'medical'), n as (select count(distinct key) as n from base),
-  sets as (select item as items, count(*) as f from base group by 1
-    union all select x.item || '|' || y.item, count(*) from base x join base y on x.key = y.key
-      and x.item < y.item group by x.item, y.item
-    union all select x.item || '|' || y.item || '|' || z.item, count(*) from base x
-      join base y on x.key = y.key and x.item < y.item
-      join base z on y.key = z.key and y.item < z.item group by x.item, y.item, z.item)
-  select items, f as frequency, round(f / n, 6) as support from sets, n where f / n >= 0.7""")
+@query(f"""with recursive {Q._COHORT}, based as (select distinct person as key, code_1 as item
+    from cohort where is_target_case = 1 and event_type = 'medical'), {_mined("0.7")}
+  select items, f as frequency, round(support, 6) as support from frequent""")
 def target_itemsets(t):
     rows = N.items(Q._cohort(t), "person", "icd_code", icd_slots=["code_1"],
                    keep=["is_target_case"])
@@ -255,13 +247,41 @@ def target_itemsets(t):
     )
 
 
-@query()
+@query(f"""with recursive {Q._FACT}, based as (
+    select distinct person as key, drug_name as item from fact where event_type = 'pharmacy'
+    union select person, 'TARGET_ICD:OPIOID_DEPENDENCE' from fact
+      where replace(replace(upper(code_1), '.', ''), ' ', '') like 'BRAND#1%'
+    union select person, 'TARGET_ED:EMERGENCY_DEPT' from fact where priority = '1-URGENT'),
+  {_mined("0.6")}, sets as (select items, string_split(items, '|') as l, k, support from frequent),
+  kept as (select * from (select s.*, support / (select product(o.support) from frequent o
+      where o.k = 1 and list_contains(s.l, o.items)) as lift from sets s where k > 1) where lift >= 1.0005),
+  rules as (select a.items as antecedents, c.items as consequents, a.support as sa, c.support as sc,
+    f.support, f.support / a.support as confidence from kept f
+    join sets a on a.k < f.k and list_has_all(f.l, a.l)
+    join sets c on c.items = array_to_string(list_filter(f.l, lambda x: not list_contains(a.l, x)), '|')
+    where f.support / a.support >= 0.5)
+select antecedents, consequents, round(support, 6) as support, round(confidence, 6) as confidence,
+  round(confidence / sc, 6) as lift, round(support - sa * sc, 6) as leverage,
+  case when confidence < 1 then round(least((1 - sc) / (1 - confidence), 1e6), 6) else 1e6 end as conviction,
+  case when sc < 1 then round((confidence - sc) / (1 - sc), 6) else 0 end as certainty,
+  case when consequents like '%TARGET_ICD:%' then 'TARGET_ICD'
+    when consequents like '%TARGET_ED:%' then 'TARGET_ED' else 'CONTROL' end as rule_target from rules
+union all
+select antecedents, consequents, round(support, 6), round(confidence, 6),
+  round(confidence / sc, 6), round(support - sa * sc, 6),
+  case when confidence < 1 then round(least((1 - sc) / (1 - confidence), 1e6), 6) else 1e6 end,
+  case when sc < 1 then round((confidence - sc) / (1 - sc), 6) else 0 end, 'TARGET_ED' from rules
+where consequents like '%TARGET_ICD:%' and consequents like '%TARGET_ED:%'""")
 def marked_rules(t):
+    """Rules with target markers; a rule that predicts both markers is listed under both."""
     fact = Q.facts(t)
     rows = N.items(fact, "person", "drug_name")
     marked = N.add_markers(rows, fact, "person", "code_1", ["Brand#1"], "priority", ["1-URGENT"])
-    _, rules = N.mine_marked(marked, "person", 0.6, 0.5, 1.0)
-    return _rounded(N.split_rules(rules, {"TARGET_ICD": "TARGET_ICD:", "TARGET_ED": "TARGET_ED:"}))
+    _, rules = N.mine_marked(marked, "person", 0.6, 0.5, 1.0005)
+    rules = rules.withColumn("conviction", F.least("conviction", F.lit(1e6)))
+    return _rounded(N.split_rules(
+        rules, {"TARGET_ICD": "TARGET_ICD:", "TARGET_ED": "TARGET_ED:"}, 100_000
+    ))
 
 
 _PATTERNS = _RULES.format(conf=0.01) + """, pats as (select items, support, row_number() over (

@@ -341,7 +341,7 @@ def _explained(t):
     model, scored = _fitted(t)
     rules = X.tree_rules(t.spark, model)
     classed = rules.withColumn("prediction", F.round("prediction"))
-    return model, classed, X.explain(scored, classed, FEATURES)
+    return model, classed, cut_lineage(X.explain(scored, classed, FEATURES))
 
 
 @query()

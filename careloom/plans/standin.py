@@ -74,7 +74,7 @@ def claims_a(t) -> DataFrame:
         .join(t.part, F.col("l_partkey") == F.col("p_partkey"))
         .select(
             F.col("o_custkey").alias("key"),
-            F.date_format("l_shipdate", "yyyyMMdd").alias("day"),
+            F.translate(F.to_date("l_shipdate").cast("string"), "-", "").alias("day"),
             F.when(F.col("l_returnflag") == "R", " ").otherwise(
                 (F.col("p_size") * 3).cast("string")).alias("age"),
             F.when(F.col("l_linestatus") == "F", F.col("p_type")).alias("gender"),
@@ -91,7 +91,7 @@ def claims_b(t) -> DataFrame:
     """Raw-looking pharmacy claims: one per order."""
     return t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("o_custkey").alias("key"),
-        F.date_format("o_orderdate", "yyyyMMdd").alias("day"),
+        F.translate(F.to_date("o_orderdate").cast("string"), "-", "").alias("day"),
         F.when(F.col("o_orderstatus") == "F", "NULL").otherwise(
             (F.col("c_nationkey") * 5).cast("string")).alias("age"),
         F.when(F.col("o_orderstatus") == "O", F.col("c_mktsegment")).alias("gender"),
