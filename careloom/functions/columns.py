@@ -80,8 +80,29 @@ def season(ts: str | Column) -> Column:
 def is_valid_claim(
     key: str | Column, date_text: str | Column, first: int = FIRST_YEAR, last: int = LAST_YEAR
 ) -> Column:
-    """Key present and the eight-digit date falls in the years in scope. Never null."""
-    in_scope = event_year(date_text).between(first, last)
+    """Key present and the eight-digit date falls in the years in scope. Never null.
+
+    Every raw claim passes here, so the date is checked on its number, not parsed. Eight characters
+    that make a number above 10,000,000 are eight digits; the first year must be 1000 or later.
+    """
+    text = col(date_text).cast("string")
+    number = text.try_cast("int")
+    year = F.floor(number / 10_000)
+    month, day = F.floor(number / 100) % 100, number % 100
+    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
+    last_day = (
+        F.when(month.isin(4, 6, 9, 11), 30)
+        .when(month == 2, F.when(leap, 29).otherwise(28))
+        .otherwise(31)
+    )
+    in_scope = (
+        (F.length(text) == 8)
+        & (number >= max(first, 1000) * 10_000)
+        & (number < (last + 1) * 10_000)
+        & month.between(1, 12)
+        & (day >= 1)
+        & (day <= last_day)
+    )
     return col(key).isNotNull() & F.coalesce(in_scope, F.lit(False))
 
 

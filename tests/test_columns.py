@@ -35,6 +35,14 @@ def test_dates(spark):
     assert not any(apply(spark, lambda c: C.is_valid_claim(F.lit(None), c), days))
 
 
+def test_validity_agrees_with_the_parser(spark):
+    days = [f"{y}{m:02d}{d:02d}" for y in (1900, 2000, 2016, 2019) for m in range(0, 14) for d in range(0, 33)]
+    days += ["+2016010", "-2016010", " 2016010", "2016010 ", "2016010.", "2016 101", "abcdefgh", "201601011"]
+    parsed = apply(spark, C.parse_yyyymmdd, days)
+    valid = apply(spark, lambda c: C.is_valid_claim(F.lit("p"), c, 1900, 2020), days)
+    assert valid == [p is not None for p in parsed] and sum(valid) == 365 + 366 + 366 + 365
+
+
 def test_year_window_ends_at_midnight(spark):
     times = ["2016-12-31 00:00:00", "2016-12-31 08:00:00", "2016-01-01 00:00:00"]
     keep = apply(spark, lambda c: C.in_age_and_year(F.lit(50), c.cast("timestamp_ntz"), 2016), times)
