@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from careloom.constants import DIAGNOSIS_SLOTS, ED_LINES, MODIFIER_SLOTS, opioid_codes
-from careloom.functions.columns import any_code_in, code_prefix, col
+from careloom.functions.columns import any_code_in, code_prefix
 from careloom.operators.ordering import hash_bucket, hash_text, with_position
 from careloom.session import cut_lineage
 

@@ -208,18 +208,19 @@ def dtw_pairs(
     traj: DataFrame, pairs: DataFrame, value: str = "item_id", cost: str = "mismatch",
     max_len: int = 20_000,
 ) -> DataFrame:
-    """Warping distance of the listed pairs (id_a, id_b); fails on longer trajectories.
+    """Warping distance of the listed pairs (id_a, id_b); fails when a listed one is longer.
 
     The pairs are the caller's list: a full distance matrix of all persons is not formed.
     """
-    sizes = traj.groupBy("person").agg(F.max("position").alias("n"))
+    wanted = pairs.select(F.explode(F.array("id_a", "id_b")).alias("person")).distinct()
+    steps = traj.join(wanted, "person", "left_semi")
+    sizes = steps.groupBy("person").agg(F.max("position").alias("n"))
     checked = sizes.withColumn(
         "n", F.when(F.col("n") <= max_len, F.col("n")).otherwise(
             F.raise_error(F.lit(f"a trajectory has more than {max_len} steps")).cast("bigint"))
     )
-    wanted = pairs.select(F.explode(F.array("id_a", "id_b")).alias("person")).distinct()
-    small = traj.join(checked.filter(F.col("n") > 0).select("person"), "person", "left_semi")
-    listed = _chunks(small.join(wanted, "person", "left_semi"), value, max_len).drop("chunk")
+    small = steps.join(checked.filter(F.col("n") > 0).select("person"), "person", "left_semi")
+    listed = _chunks(small, value, max_len).drop("chunk")
 
     @F.pandas_udf("double")
     def pair_cost(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from careloom.functions import drugs as D
 from careloom.operators import mining as N
 from careloom.plans import claims_queries as Q
-from careloom.plans import standin as S
 from careloom.plans.registry import query
 
 _TX = """lines as (select l_orderkey as key, p_brand as item from lineitem

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from careloom.operators import frequency as Q
 from careloom.operators import trajectory as J
 from careloom.plans import claims_queries as C
-from careloom.plans import standin as S
 from careloom.plans.registry import query
 
 

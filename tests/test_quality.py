@@ -1,7 +1,5 @@
 import datetime
 
-from pyspark.sql import functions as F
-
 from careloom.operators import compare as P
 from careloom.operators import frequency as Q
 from careloom.operators import quality as Z
