@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careloom.llm import packing, tokens, urls, warc
+from careloom.llm import decontaminate, packing, tokens, urls, warc
 from careloom.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,11 @@ def op7_url_filter(t: Tables) -> DataFrame:
 def op10_best_fit_packing(t: Tables) -> DataFrame:
     """Every document's pieces packed into sequences of 2048 tokens."""
     return packing.pack_documents(t.documents, tokens.tokenizer_path("word_bpe_49k.json"), 2048)
+
+
+@query
+def op2_decontaminate(t: Tables) -> DataFrame:
+    """Words of every document inside benchmark windows."""
+    found = decontaminate.find_items(t.documents, t.benchmark)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
