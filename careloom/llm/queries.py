@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careloom.llm import decontaminate, packing, tokens, urls, warc
+from careloom.llm import decontaminate, packing, quality, tokens, toxicity, urls, warc
 from careloom.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,20 @@ def op2_decontaminate(t: Tables) -> DataFrame:
     found = decontaminate.find_items(t.documents, t.benchmark)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op8_toxicity(t: Tables) -> DataFrame:
+    """Toxicity of every document by a model of the labels that are not held out."""
+    labels = t.labels.filter(~toxicity.held_out(F.col("doc_id"))).select("doc_id", "toxic")
+    model = toxicity.fit_toxicity(t.documents, labels)
+    scored = toxicity.score_toxicity(t.documents.select("doc_id", "text"), model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", F.col("predicted").cast("int").alias("predicted"))
+
+
+@query
+def op9_quality(t: Tables) -> DataFrame:
+    """Quality of every document by heuristics whose accuracy is learned without labels."""
+    model = quality.fit_quality(t.documents)
+    scored = quality.score_quality(t.documents.select("doc_id", "text"), model)
+    return scored.select("doc_id", "quality_score", "keep")

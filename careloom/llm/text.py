@@ -19,10 +19,10 @@ import xxhash
 SLICE_BYTES = 8 << 20
 
 
-def byte_table(separators: str) -> bytes:
+def byte_table(separators: str, lower: bool = True) -> bytes:
     """Maps A-Z to a-z and every separator byte to a space; bytes from 0x80 stay."""
     table = bytearray(range(256))
-    for upper in range(0x41, 0x5B):
+    for upper in range(0x41, 0x5B) if lower else ():
         table[upper] = upper + 0x20
     for byte in separators.encode():
         table[byte] = 0x20
@@ -31,6 +31,8 @@ def byte_table(separators: str) -> bytes:
 
 #: Words are runs of anything but white space.
 SPACED = byte_table(" \t\n\x0b\x0c\r")
+#: The same with capitals kept.
+CASED = byte_table(" \t\n\x0b\x0c\r", lower=False)
 #: Words are runs of a-z, 0-9 and everything outside ASCII.
 ALNUM = byte_table("".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])))
 
