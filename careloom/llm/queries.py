@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careloom.llm import decontaminate, packing, quality, tokens, toxicity, urls, warc
+from careloom.llm import decontaminate, neardup, packing, quality, tokens, toxicity, urls, warc
 from careloom.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,10 @@ def op9_quality(t: Tables) -> DataFrame:
     model = quality.fit_quality(t.documents)
     scored = quality.score_quality(t.documents.select("doc_id", "text"), model)
     return scored.select("doc_id", "quality_score", "keep")
+
+
+@query
+def op4_minhash_near_dedup(t: Tables) -> DataFrame:
+    """Components of documents of which 85 of 100 shingles agree."""
+    found = neardup.near_duplicates(t.documents, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
