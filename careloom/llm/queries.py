@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careloom.llm import decontaminate, neardup, packing, quality, tokens, toxicity, urls, warc
+from careloom.llm import decontaminate, embeddings, neardup, packing, quality, tokens, toxicity, urls, warc
 from careloom.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,10 @@ def op4_minhash_near_dedup(t: Tables) -> DataFrame:
     """Components of documents of which 85 of 100 shingles agree."""
     found = neardup.near_duplicates(t.documents, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+@query
+def op6_embedding_near_dedup(t: Tables) -> DataFrame:
+    """Components of vectors with a cosine of 0.95 or more."""
+    found = embeddings.near_duplicates(t.embeddings, cosine=0.95)
+    return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
