@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careloom.llm import decontaminate, embeddings, neardup, packing, quality, tokens, toxicity, urls, warc
+from careloom.llm import decontaminate, embeddings, neardup, packing, quality, substrings, tokens, toxicity, urls, warc
 from careloom.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,10 @@ def op6_embedding_near_dedup(t: Tables) -> DataFrame:
     """Components of vectors with a cosine of 0.95 or more."""
     found = embeddings.near_duplicates(t.embeddings, cosine=0.95)
     return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
+@query
+def op5_substring_dedup(t: Tables) -> DataFrame:
+    """Passages of 50 words and more that a smaller document holds as well."""
+    found = substrings.repeated_spans(t.documents)
+    return found.select(F.col("id").alias("doc_id"), F.col("kept").alias("kept_doc_id"), F.col("start").alias("start_word"), (F.col("end") - F.col("start")).alias("n_words"))
