@@ -7,6 +7,7 @@ goes on to an exact join.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,3 +32,17 @@ def maybe_in(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """False where the hash was certainly not added; takes signed or unsigned 64-bit hashes."""
     at = np.mod(hashes.view(np.int64), np.int64(len(bits) * 8))
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def parted(rows: DataFrame, key: Column, keys: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key is certainly not in column ``name`` of ``keys``, and the rest, for an exact join.
+
+    Only the rest, with its texts, has to be shuffled.
+    """
+    bits = bitmap(keys, F.xxhash64(name))
+
+    @F.pandas_udf("boolean")
+    def maybe(h: pd.Series) -> pd.Series:
+        return pd.Series(maybe_in(bits, h.to_numpy()))
+
+    return rows.filter(~maybe(F.xxhash64(key))), rows.filter(maybe(F.xxhash64(key)))

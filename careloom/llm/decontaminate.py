@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from careloom.llm.bits import bitmap, maybe_in
+from careloom.llm.bits import bitmap, maybe_in, parted
 from careloom.llm.text import ALNUM, Words, as_texts, gram_hashes, mixed, slices, split_words
 from careloom.session import cut_lineage
 
@@ -165,3 +165,11 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text:
 
 def ranges_type() -> ArrayType:
     return ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` without those that hold a window of an item; rows without an id stay."""
+    found = find_items(docs, items, id_col, text, item_id, item_text)
+    hit = cut_lineage(found.filter("n_hit > 0").select(F.col(id_col).alias("__id")).filter("__id is not null").distinct())
+    whole, maybe = parted(docs, F.col(id_col), hit, "__id")
+    return whole.unionByName(maybe.join(hit, F.col(id_col) == F.col("__id"), "left_anti"))

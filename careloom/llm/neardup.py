@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from careloom.llm.banding import band_keys, blocked, clusters, digests, linked_components
-from careloom.llm.bits import bitmap, maybe_in
+from careloom.llm.bits import bitmap, maybe_in, parted
 from careloom.llm.text import SPACED, Words, as_texts, gram_hashes, mixed, slices, split_words
 from careloom.session import cut_lineage
 
@@ -110,3 +110,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     out = signed.drop("bands").join(of_class, "key", "left")
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"),
                       F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "key")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component: the one that names it.
+
+    Rows that repeat id and text stay once. Rows without an id stay, as nothing names them.
+    Rows of one id but of different texts go together if one of them goes.
+    """
+    found = near_duplicates(docs, id_col, text, percent).select(F.col(id_col).alias("__id"), "component_id").filter("__id is not null")
+    marks = found.groupBy("__id").agg(F.max(F.col("component_id") < F.col("__id")).alias("__goes"), F.count(F.lit(1)).alias("__n"))
+    marks = cut_lineage(marks.filter("__goes or __n > 1"))
+    whole, maybe = parted(docs, F.col(id_col), marks, "__id")
+    joined = maybe.join(marks, F.col(id_col) == F.col("__id"), "left").filter("not coalesce(__goes, false)")
+    repeated = F.coalesce(F.col("__n") > 1, F.lit(False))
+    once = joined.filter(~repeated).select(*docs.columns)
+    several = joined.filter(repeated).select(*docs.columns).dropDuplicates([id_col, text])
+    return whole.unionByName(once).unionByName(several)

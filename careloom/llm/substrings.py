@@ -21,10 +21,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructField, StructType
 
 from careloom.llm.banding import band_keys, blocked, clusters, digests, linked_components
-from careloom.llm.bits import bitmap, maybe_in
+from careloom.llm.bits import bitmap, maybe_in, parted
 from careloom.llm.decontaminate import winnowed
 from careloom.llm.neardup import shingle_sets
 from careloom.llm.text import SPACED, Words, as_texts, gram_hashes, slices, split_words
@@ -237,10 +237,12 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
 
     All columns stay, the text is the shortened one; documents without ranges stay as they are.
     """
-    listed = spans.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("ranges")).withColumnRenamed("id", "__id")
-    joined = docs.join(listed, F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
+    listed = spans.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("ranges")).withColumnsRenamed({"id": "__id", "ranges": "__ranges"})
+    key = F.col(id_col).cast("long")
+    whole, maybe = parted(docs, key, listed, "__id")
+    joined = maybe.join(listed, key == F.col("__id"), "left").drop("__id")
     at = docs.columns.index(text)
-    schema = StructType([StructField(f.name, StringType() if f.name == text else f.dataType) for f in docs.schema])
+    schema = StructType([StructField(f.name, f.dataType) for f in docs.schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -254,4 +256,4 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
             columns = [pa.array(texts, pa.string()) if i == at and texts is not None else c for i, c in enumerate(b.columns[:-1])]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(pa.array(keep))
 
-    return joined.select(*docs.columns, "ranges").mapInArrow(run, schema)
+    return whole.unionByName(joined.select(*docs.columns, "__ranges").mapInArrow(run, schema))
