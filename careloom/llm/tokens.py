@@ -124,23 +124,48 @@ def count_tokens(docs: DataFrame, model: str, text: str = "text", into: str = "n
     return kept.mapInArrow(run, schema)
 
 
+#: Words that fall into parts without asking the tokenizer: ASCII and Latin-1 letters, digits and
+#: marks. The apostrophe (contractions) and ``<`` (special tokens) are left to it.
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:;=-@\[-`{-~]*")
+PART = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
 def word_ids(path: str) -> Remembered:
-    """Little-endian 32-bit ids of the parts of a text between spaces."""
+    """Little-endian 32-bit ids of the parts of a text between spaces.
+
+    This vocabulary lower-cases and parts letters, digits and marks from each other, so the
+    ids of a plain word are those of its parts, and only distinct parts are encoded.
+    """
     model = word_model(path)
+    last = np.zeros(model.get_vocab_size(), bool)  # ids that end a word
+    last[[i for w, i in model.get_vocab().items() if w.endswith("</w>")]] = True
 
-    def make(words: list[str]) -> list[bytes]:
-        plain = [w for w in words if w.isascii() and w.isalpha()]
-        out = {}
-        for i in range(0, len(plain), 512):  # words of letters can share a text: each is one pre-token
-            some = plain[i: i + 512]
-            coded = model.encode(" ".join(some), add_special_tokens=False)
+    def encode(parts: list[str]) -> list[bytes]:
+        texts = [" ".join(parts[i: i + 512]) for i in range(0, len(parts), 512)]  # each part is one pre-token
+        out = []
+        for i, coded in enumerate(model.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(coded.ids, dtype="<u4")
-            at = np.searchsorted(np.array(coded.word_ids), np.arange(len(some) + 1))
-            out.update((w, ids[at[k]: at[k + 1]].tobytes()) for k, w in enumerate(some))
-        rest = [w for w in words if w not in out]
-        for w, coded in zip(rest, model.encode_batch(rest, add_special_tokens=False), strict=True):
-            out[w] = np.array(coded.ids, dtype="<u4").tobytes()
-        return [out[w] for w in words]
+            ends = ((np.flatnonzero(last[ids]) + 1) * 4).tolist()
+            ids = ids.tobytes()
+            out += [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        if len(out) != len(parts):
+            raise ValueError("parts and words of the tokenizer differ")
+        return out
+
+    part_ids = Remembered(encode)
+
+    def make(words: list[str]) -> list[bytes]:
+        out: list = [None] * len(words)
+        plain = [i for i, w in enumerate(words) if PLAIN.fullmatch(w)]
+        split = [PART.findall(words[i].lower()) for i in plain]
+        distinct = list({p for parts in split for p in parts})
+        ids = dict(zip(distinct, part_ids(distinct), strict=True))
+        for i, parts in zip(plain, split, strict=True):
+            out[i] = ids[parts[0]] if len(parts) == 1 else b"".join([ids[p] for p in parts])
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, coded in zip(rest, model.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(coded.ids, dtype="<u4").tobytes()
+        return out
 
     return Remembered(make)
 
