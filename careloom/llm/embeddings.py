@@ -103,7 +103,8 @@ def code_for(dims: int, vectors: int, cosine: float) -> Code:
         score, density = points, block_density(dims, points)
     above = np.cumsum(density[::-1])[::-1] / density.sum()
     at = int(np.searchsorted(-above, -min(0.05, LOAD / max(vectors, 1) / 2)))
-    at = min(at, len(score) - 1)
+    # with few dimensions the caps stay at least as wide as the threshold is
+    at = min(at, int(np.searchsorted(score, cosine)), len(score) - 1)
     height = float(score[at])
     # the other vector's score: the same share of this one's, and an independent rest
     rest = block_density(max(dims - 1, 1), points)
