@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from careloom.constants import DIAGNOSIS_SLOTS, ED_LINES, MODIFIER_SLOTS, opioid_codes
+from careloom.constants import DIAGNOSIS_SLOTS, ED_LINES, MODIFIER_SLOTS, OPIOID_CODES
 from careloom.functions.columns import any_code_in, code_prefix
 from careloom.operators.ordering import hash_bucket, hash_text, with_position
 from careloom.session import cut_lineage
@@ -53,7 +53,7 @@ def classify_event(
             hit = hit | any_code_in(cpt_codes, [slot]) | code_prefix(cpt_prefixes, slot)
         first, last = "target", OTHER
     else:
-        hit, first, last = any_code_in(opioid_codes(), slots), TARGET, else_label
+        hit, first, last = any_code_in(OPIOID_CODES, slots), TARGET, else_label
     label = F.when(hit, first).when(is_ed, EXCLUSION).otherwise(last)
     return df.withColumn(out, label)
 

@@ -296,33 +296,21 @@ def co_occurrence(
 
 
 def self_pairs(
-    df: DataFrame, by: Sequence[str], item: str, period: str | None = None,
-    selected: DataFrame | None = None,
+    df: DataFrame, by: Sequence[str], item: str, selected: DataFrame, period: str | None = None
 ) -> DataFrame:
     """Unordered pairs of different items that occur under the same key, counted once per key.
 
-    ``selected`` limits the report to a list of items, as the chart does. Repeated items of a key
-    are merged first, so a key yields pairs of its distinct items, however many rows it holds.
+    ``selected`` is the list of items that the chart shows; it bounds the pairs of a key, however
+    many rows the key holds. Repeated items of a key are merged before the join.
     """
-    rows = df.filter(_present(item))
-    if selected is not None:
-        rows = rows.join(selected.select(item).distinct(), item, "left_semi")
-    baskets = rows.groupBy(*by).agg(
-        F.sort_array(F.collect_set(item)).alias("__items")
-    )
-    pairs = F.flatten(
-        F.transform(
-            "__items",
-            lambda x, i: F.transform(
-                F.slice("__items", i + 2, F.greatest(F.size("__items") - i - 1, F.lit(0))),
-                lambda y: F.struct(x.alias("a"), y.alias("b")),
-            ),
-        )
-    )
+    rows = df.filter(_present(item)).join(selected.select(item).distinct(), item, "left_semi")
+    items = rows.select(*by, F.col(item).alias("item_a")).distinct()
+    others = items.withColumnRenamed("item_a", "item_b")
     keys = [period] if period else []
     return (
-        baskets.select(*keys, F.explode(pairs).alias("__p"))
-        .groupBy(*keys, F.col("__p.a").alias("item_a"), F.col("__p.b").alias("item_b"))
+        items.join(others, list(by))
+        .filter("item_a < item_b")
+        .groupBy(*keys, "item_a", "item_b")
         .agg(F.count(F.lit(1)).alias("frequency"))
     )
 

@@ -18,7 +18,6 @@ from careloom.session import cut_lineage
 METRICS = ["support", "confidence", "lift", "certainty"]
 TARGET_ICD_MARKER = "TARGET_ICD:OPIOID_DEPENDENCE"
 TARGET_ED_MARKER = "TARGET_ED:EMERGENCY_DEPT"
-SMALL_COHORT = 10
 
 
 def items(
@@ -94,27 +93,24 @@ def density_support(density: str, min_support: float) -> float:
 
 
 def mine_by_density(tx: DataFrame, min_support: float) -> DataFrame:
-    """Frequent itemsets of each density bin; supports are shares of the bin.
-
-    Bins with fewer than ten transactions are left out.
-    """
+    """Frequent itemsets of each density bin, however small it is; supports are shares of the bin."""
     binned = cut_lineage(transaction_density(tx))
-    sizes = {r["density"]: r["n"] for r in
-             binned.groupBy("density").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = [
         frequent_itemsets(binned.filter(F.col("density") == d), density_support(d, min_support))
         .withColumn("density", F.lit(d))
         for d in DENSITY_BINS
-        if sizes.get(d, 0) >= SMALL_COHORT
     ]
-    out = parts[0] if parts else _empty_itemsets(tx).withColumn("density", F.lit(""))
+    out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
 def with_lift(itemsets: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Support over the product of the item supports; single items have lift 1."""
+    """Support over the product of the item supports; single items have lift 1.
+
+    The product is taken in item order, so that its last digits don't depend on the shuffle.
+    """
     by = list(by)
     singles = itemsets.filter(F.size("items") == 1).select(
         *by, F.col("items")[0].alias("__item"), F.col("support").alias("__s")
@@ -123,8 +119,10 @@ def with_lift(itemsets: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         itemsets.select(*by, "items", F.explode("items").alias("__item"))
         .join(singles, [*by, "__item"])
         .groupBy(*by, "items")
-        .agg(F.product("__s").alias("__expected"))
+        .agg(F.sort_array(F.collect_list(F.struct("__item", "__s"))).alias("__parts"))
     )
+    product = F.aggregate("__parts", F.lit(1.0), lambda acc, x: acc * x["__s"])
+    expected = expected.withColumn("__expected", product).drop("__parts")
     lift = F.when(F.size("items") == 1, 1.0).otherwise(F.col("support") / F.col("__expected"))
     return itemsets.join(expected, [*by, "items"]).withColumn("lift", lift).drop("__expected")
 
@@ -148,26 +146,42 @@ def association_rules(
 ) -> DataFrame:
     """All rules antecedent -> consequent of the itemsets, with their metrics.
 
-    Each itemset yields its proper subsets as antecedents (a bit mask picks the items); supports
-    come from two equi-joins with the itemset table. Rules whose parts are not listed drop out.
+    Consequents of an itemset are grown level by level: a consequent whose rule misses the
+    confidence is not grown, as a larger one leaves a more frequent antecedent. Supports
+    come from equi-joins with the itemset table, which holds all subsets of its itemsets, as
+    mining gives them; a rule through a subset that is not listed drops out.
     """
     by = list(by)
-    size = F.size("items")
-    masks = F.expr("sequence(1L, shiftleft(1L, size(items)) - 2L)")
-    rows = itemsets.filter(size >= 2).select(
-        *by, "items", "support", F.explode(masks).alias("__mask")
-    )
+    table = itemsets.select(*by, F.col("items").alias("__i"), F.col("support").alias("__s"))
 
-    def chosen(bit: int) -> Column:
-        return F.filter("items", lambda _, i: F.getbit(F.col("__mask"), i) == bit)
+    def looked_up(rows: DataFrame, side: str) -> DataFrame:
+        lookup = table.withColumnsRenamed({"__i": side, "__s": f"{side}_support"})
+        return rows.join(lookup, [*by, side])
 
-    rows = rows.select(
-        *by, "support", chosen(1).alias("antecedents"), chosen(0).alias("consequents")
+    def confident(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("antecedents", F.array_except("items", "consequents"))
+        rows = looked_up(rows, "antecedents")
+        return rows.filter(F.col("support") / F.col("antecedents_support") >= min_confidence)
+
+    one = itemsets.filter(F.size("items") >= 2).select(
+        *by, "items", "support", F.explode("items").alias("__y")
     )
-    table = itemsets.select(*by, F.col("items").alias("__i"), F.col("support").alias("__s"))
-    for side in ("antecedents", "consequents"):
-        lookup = table.withColumnsRenamed({"__i": side, "__s": f"{side}_support"})
-        rows = rows.join(lookup, [*by, side])
+    level = one.select(*by, "items", "support", F.array("__y").alias("consequents"))
+    level = cut_lineage(confident(level))
+    growing = level.select(*by, "items", F.col("consequents")[0].alias("__y"))
+    parts = level
+    while True:
+        # an antecedent of one item can't give another item away
+        last = level.filter(F.size("antecedents") > 1).select(*by, "items", "support", "consequents")
+        grown = last.join(growing, [*by, "items"]).filter(
+            F.col("__y") > F.element_at("consequents", -1)
+        )
+        grown = grown.withColumn("consequents", F.array_append("consequents", F.col("__y")))
+        level = cut_lineage(confident(grown.drop("__y")))
+        if level.isEmpty():
+            break
+        parts = parts.unionByName(level)
+    rows = looked_up(parts, "consequents")
     a, c, s = (F.col(x) for x in ("antecedents_support", "consequents_support", "support"))
     confidence = s / a
     return (
@@ -238,15 +252,8 @@ def mine_marked(
     rows: DataFrame, key: str, min_support: float, min_confidence: float,
     min_lift: float = MIN_LIFT,
 ) -> tuple[DataFrame, DataFrame]:
-    """Itemsets of two or more items and their rules.
-
-    Fewer than ten transactions raise the support to two transactions and the lift floor to 2.
-    """
-    tx = cut_lineage(transactions(rows, key))
-    n = tx.count()
-    if 0 < n < SMALL_COHORT:
-        min_support, min_lift = max(min_support, 2.0 / n), max(min_lift, 2.0)
-    found = frequent_itemsets(tx, min_support)
+    """Itemsets of two or more items and their rules, at the given thresholds whatever the size."""
+    found = frequent_itemsets(cut_lineage(transactions(rows, key)), min_support)
     kept = filter_by_lift(found, min_lift, drop_singletons=True).filter(F.size("items") > 1)
     return kept, association_rules(found, min_confidence).join(
         kept.select(F.col("items").alias("__i")),

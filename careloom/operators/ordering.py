@@ -4,6 +4,11 @@ A plain window over ``partitionBy(key)`` sends all rows of one key to one task.
 cut into buckets that follow the sort order (a day, an hour, a hash prefix). Rows are numbered
 inside (key, bucket), and a small per-bucket count table, built with map-side combine, supplies
 the offset. A key that holds a third of all rows is then spread over all its buckets.
+
+Where one bucket of one key can itself be hot (a placeholder person on a default date), callers
+give no bucket: the rows are then range-partitioned by key and order, and the partition is the bucket.
+
+Null keys are a key of their own, and null buckets and null times come first; no row is lost.
 """
 
 from __future__ import annotations
@@ -14,8 +19,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from careloom.session import cut_lineage
+
 _BUCKET = "__bucket"
-HASH_BUCKETS = 4096  # md5 prefixes of three hex digits
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join on columns of the same names in which null matches null."""
+    names = {c: f"__on_{i}" for i, c in enumerate(on)}
+    other = right.withColumnsRenamed(names)
+    same = F.lit(True)
+    for c, n in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    return left.join(other, same).drop(*names.values())
+
+
+def with_bucket(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column | None
+) -> DataFrame:
+    """Adds the bucket; without one, the number of a range partition by key and order.
+
+    Range partitions are checkpointed: counting and numbering must see the same ones.
+    """
+    if bucket is not None:
+        return df.withColumn(_BUCKET, bucket)
+    ranged = cut_lineage(df.repartitionByRange(*[F.col(k) for k in keys], *order))
+    return ranged.withColumn(_BUCKET, F.spark_partition_id())
 
 
 def hash_text(seed: str | int, *cols: str) -> Column:
@@ -29,15 +58,15 @@ def hash_bucket(hashed: Column) -> Column:
 
 
 def with_position(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, out: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column | None, out: str
 ) -> DataFrame:
     """1-based position of each row inside its key.
 
-    ``bucket`` must be non-null and must not decrease along ``order``. With no keys the rows get
-    one global position; the bucket table is then the only thing one task sees.
+    ``bucket`` must not decrease along ``order``. With no keys the rows get one global position;
+    the bucket table is then the only thing one task sees.
     """
     keys = list(keys)
-    cut = df.withColumn(_BUCKET, bucket)
+    cut = with_bucket(df, keys, order, bucket)
     counts = cut.groupBy(*keys, _BUCKET).agg(F.count(F.lit(1)).alias("__n"))
     earlier = (
         Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
@@ -47,7 +76,7 @@ def with_position(
     )
     inside = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
     return (
-        cut.join(offsets, [*keys, _BUCKET])
+        null_safe_join(cut, offsets, [*keys, _BUCKET])
         .withColumn(out, F.col("__before") + F.row_number().over(inside))
         .drop(_BUCKET, "__before")
     )
@@ -57,7 +86,7 @@ def with_neighbour(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    bucket: Column,
+    bucket: Column | None,
     value: str | Column,
     out: str,
     step: int = 1,
@@ -69,7 +98,7 @@ def with_neighbour(
     """
     keys = list(keys)
     value = F.col(value) if isinstance(value, str) else value
-    cut = df.withColumn(_BUCKET, bucket)
+    cut = with_bucket(df, keys, [F.col(c) for c in order], bucket)
     rank = F.struct(*[F.col(c) for c in order])
     edge = F.min_by(F.struct(value.alias("v")), rank) if step > 0 else F.max_by(
         F.struct(value.alias("v")), rank
@@ -81,7 +110,7 @@ def with_neighbour(
     inside = Window.partitionBy(*keys, _BUCKET).orderBy(*[F.col(c) for c in order])
     here = shift(F.struct(value.alias("v"))).over(inside)
     return (
-        cut.join(edges, [*keys, _BUCKET])
+        null_safe_join(cut, edges, [*keys, _BUCKET])
         .withColumn(out, F.coalesce(here, F.col("__edge"))["v"])
         .drop(_BUCKET, "__edge")
     )
@@ -91,12 +120,12 @@ def with_running_total(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    bucket: Column,
+    bucket: Column | None,
     totals: dict[str, str],
 ) -> DataFrame:
     """Running sums up to and including each row: ``totals`` maps new names to value columns."""
     keys = list(keys)
-    cut = df.withColumn(_BUCKET, bucket)
+    cut = with_bucket(df, keys, order, bucket)
     sums = cut.groupBy(*keys, _BUCKET).agg(
         *[F.sum(v).alias(f"__{name}") for name, v in totals.items()]
     )
@@ -113,7 +142,7 @@ def with_running_total(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    out = cut.join(sums, [*keys, _BUCKET])
+    out = null_safe_join(cut, sums, [*keys, _BUCKET])
     for name, value in totals.items():
         out = out.withColumn(name, F.col(f"__{name}") + F.sum(value).over(inside))
     return out.drop(_BUCKET, *[f"__{n}" for n in totals])

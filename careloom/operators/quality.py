@@ -28,21 +28,45 @@ def _stack(df: DataFrame, by: Sequence[str], cols: Sequence[str], name: str) ->
 
 
 def schema_check(df: DataFrame, expected: Sequence[str]) -> DataFrame:
-    """Status of each expected or actual column: ok, missing or extra."""
-    actual = list(df.columns)
-    rows = [(c, "ok" if c in actual else "missing") for c in expected]
-    rows += [(c, "extra") for c in actual if c not in expected]
-    return df.sparkSession.createDataFrame(rows, "column string, status string")
+    """Each expected or actual column: ok, missing or extra, and its filled and all rows.
+
+    One scan of the actual columns; a missing one has no filled rows.
+    """
+    names = [*expected, *[c for c in df.columns if c not in expected]]
+    filled = [F.count(F.col(f"`{c}`")) if c in df.columns else F.lit(0) for c in names]
+    counts = df.agg(F.array(*filled).alias("filled"), _n().alias("rows"))
+    entries = F.array(*[
+        F.struct(
+            F.lit(c).alias("column"),
+            F.lit("missing" if c not in df.columns else "ok" if c in expected else "extra")
+            .alias("status"),
+            F.col("filled")[i].cast("bigint").alias("filled"), F.col("rows").alias("rows"),
+        )
+        for i, c in enumerate(names)
+    ])
+    return counts.select(F.inline(entries))
 
 
 def structure_stats(df: DataFrame, key: str, band: str, year: str, date: str) -> DataFrame:
-    return df.agg(
-        _n().alias("rows"),
-        F.countDistinct(key).alias("persons"),
-        F.countDistinct(band).alias("bands"),
-        F.countDistinct(year).alias("years"),
-        F.min(date).alias("min_date"),
-        F.max(date).alias("max_date"),
+    """Rows, distinct persons, bands and years, and the date range.
+
+    The rows are counted by (person, band, year) once; the distinct counts come from that table
+    instead of copies of every row.
+    """
+    grouped = df.groupBy(key, band, year).agg(
+        _n().alias("__n"), F.min(date).alias("__first"), F.max(date).alias("__last")
+    )
+    persons = grouped.groupBy(key).agg(
+        F.sum("__n").alias("__n"), F.collect_set(band).alias("__bands"),
+        F.collect_set(year).alias("__years"), F.min("__first").alias("__first"),
+        F.max("__last").alias("__last"),
+    )
+    # bands and years are a few values; the sets of all persons merge map-side
+    return persons.agg(
+        F.coalesce(F.sum("__n"), F.lit(0)).alias("rows"), F.count(key).alias("persons"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("__bands")))).cast("bigint").alias("bands"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("__years")))).cast("bigint").alias("years"),
+        F.min("__first").alias("min_date"), F.max("__last").alias("max_date"),
     )
 
 

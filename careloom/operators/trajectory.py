@@ -21,6 +21,8 @@ from careloom.session import cut_lineage
 
 CHUNK = 16_384
 FAN = 16
+# Cells of a padded matrix of sequences that a task works on at once.
+CELLS = 1 << 21
 
 
 def trajectories(
@@ -66,24 +68,22 @@ def _chunks(traj: DataFrame, value: str, chunk_len: int) -> DataFrame:
     return grouped.select("person", "chunk", F.col("s.v").alias("values"))
 
 
-def pick_prototypes(traj: DataFrame, k: int = 20, max_len: int = 64) -> DataFrame:
-    """Trajectories of the k smallest person ids among those of at most ``max_len`` steps.
+def _whole(traj: DataFrame, value: str) -> DataFrame:
+    """(person, values in order) of listed trajectories."""
+    steps = F.struct("position", F.col(value).alias("v"))
+    grouped = traj.groupBy("person").agg(F.sort_array(F.collect_list(steps)).alias("s"))
+    return grouped.select("person", F.col("s.v").alias("values"))
 
-    Any fixed choice of prototypes is valid; short ones keep the chunk matrices small. Every person
-    is still compared with every prototype.
-    """
-    lengths = traj.groupBy("person").agg(F.max("position").alias("n"))
-    chosen = lengths.filter(F.col("n") <= max_len).orderBy("person").limit(k).select("person")
+
+def pick_prototypes(traj: DataFrame, k: int = 20) -> DataFrame:
+    """Trajectories of the k smallest person ids, whatever their length."""
+    chosen = traj.select("person").distinct().orderBy("person").limit(k)
     return traj.join(chosen, "person", "left_semi")
 
 
-def _prototype_values(protos: DataFrame, value: str, limit: int) -> list[tuple]:
-    """(person, values) of the prototypes on the driver: k rows of at most ``limit`` steps."""
-    sizes = protos.groupBy("person").agg(F.max("position").alias("n"))
-    too_long = sizes.filter(F.col("n") > limit).limit(1).collect()
-    if too_long:
-        raise ValueError(f"a prototype has more than {limit} steps")
-    rows = _chunks(protos, value, limit).orderBy("person").collect()
+def _prototype_values(protos: DataFrame, value: str) -> list[tuple]:
+    """(person, values) of the prototypes on the driver: k rows."""
+    rows = _whole(protos, value).orderBy("person").collect()
     return [(r["person"], list(r["values"])) for r in rows]
 
 
@@ -98,11 +98,28 @@ def _encode(values: pd.Series, ids: dict | None) -> tuple[np.ndarray, np.ndarray
     return out, lengths
 
 
+def _by_cells(lengths: np.ndarray, cells: int = CELLS) -> list[np.ndarray]:
+    """Row numbers in groups of like length, of at most so many cells when padded."""
+    order = np.argsort(lengths, kind="stable")
+    out, start = [], 0
+    for i in range(1, len(order) + 1):
+        if i == len(order) or (i + 1 - start) * lengths[order[i]] > cells:
+            out.append(order[start:i])
+            start = i
+    return out
+
+
 def _chunk_udf(prototypes: list[np.ndarray], ids: dict | None, cost: str):
     """Batch function (values, chunk, chunks of the person) -> distances, state or matrices."""
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def chunk_costs(values: pd.Series, chunk: pd.Series, chunks: pd.Series) -> pd.Series:
+        out = pd.Series(np.empty(len(values), dtype=object))
+        for part in _by_cells(values.map(len).to_numpy()):
+            out.iloc[part] = costs_of(*(s.iloc[part] for s in (values, chunk, chunks)))
+        return out
+
+    def costs_of(values: pd.Series, chunk: pd.Series, chunks: pd.Series) -> list[np.ndarray]:
         matrix, lengths = _encode(values, ids)
         later = (chunk > 0).to_numpy()
         single = (chunks == 1).to_numpy()
@@ -120,7 +137,7 @@ def _chunk_udf(prototypes: list[np.ndarray], ids: dict | None, cost: str):
                 steps = matrix[i, : lengths[i]]
                 out.append(np.concatenate(
                     [warping.transfer(steps, p, cost).ravel() for p in prototypes]))
-        return pd.Series(out)
+        return out
 
     return chunk_costs
 
@@ -149,14 +166,14 @@ def _chain_chunks(sizes: list[int]):
 
 def dtw_to_prototypes(
     traj: DataFrame, protos: DataFrame, value: str = "item", cost: str = "mismatch",
-    chunk_len: int = CHUNK, max_len: int = 2_048,
+    chunk_len: int = CHUNK,
 ) -> DataFrame:
     """Warping distance of every person to every prototype: (person, prototype, distance).
 
     ``prototype`` counts from 1 in the order of the prototype ids. With ``cost='abs'`` the value
     column must be numeric. The result is small next to what it costs, so its lineage is cut.
     """
-    listed = _prototype_values(protos, value, max_len)
+    listed = _prototype_values(protos, value)
     if not listed:
         raise ValueError("no prototypes")
     ids = None
@@ -205,22 +222,15 @@ def distances_wide(distances: DataFrame, k: int) -> DataFrame:
 
 
 def dtw_pairs(
-    traj: DataFrame, pairs: DataFrame, value: str = "item_id", cost: str = "mismatch",
-    max_len: int = 20_000,
+    traj: DataFrame, pairs: DataFrame, value: str = "item_id", cost: str = "mismatch"
 ) -> DataFrame:
-    """Warping distance of the listed pairs (id_a, id_b); fails when a listed one is longer.
+    """Warping distance of the listed pairs (id_a, id_b), whatever their lengths.
 
     The pairs are the caller's list: a full distance matrix of all persons is not formed.
     """
     wanted = pairs.select(F.explode(F.array("id_a", "id_b")).alias("person")).distinct()
     steps = traj.join(wanted, "person", "left_semi")
-    sizes = steps.groupBy("person").agg(F.max("position").alias("n"))
-    checked = sizes.withColumn(
-        "n", F.when(F.col("n") <= max_len, F.col("n")).otherwise(
-            F.raise_error(F.lit(f"a trajectory has more than {max_len} steps")).cast("bigint"))
-    )
-    small = steps.join(checked.filter(F.col("n") > 0).select("person"), "person", "left_semi")
-    listed = _chunks(small, value, max_len).drop("chunk")
+    listed = _whole(steps, value)
 
     @F.pandas_udf("double")
     def pair_cost(a: pd.Series, b: pd.Series) -> pd.Series:

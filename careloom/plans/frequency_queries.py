@@ -359,7 +359,7 @@ def drug_pairs(t):
     rows = S.medical(t)
     totals = rows.groupBy("drug_name").agg(F.count("*").alias("frequency"))
     best = Q.top_bars(totals, "drug_name", 15)
-    return Q.self_pairs(rows, ["claim_id", "event_year"], "drug_name", "event_year", best)
+    return Q.self_pairs(rows, ["claim_id", "event_year"], "drug_name", best, "event_year")
 
 
 @query(_FREQ + """ select drug_name, cast(sum(frequency) as bigint) as frequency from freq

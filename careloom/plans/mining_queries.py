@@ -91,13 +91,13 @@ def itemsets_by_density(t):
 
 @query(_FREQBIN + """, one as (select density, items, support from frequent where k = 1),
   lifted as (select f.density, f.items, f.support, case when k = 1 then 1.0 else f.support /
-    (select product(o.support) from one o where o.density = f.density
+    (select list_reduce(list(o.support order by o.items), lambda a, b: a * b) from one o where o.density = f.density
       and list_contains(string_split(f.items, '|'), o.items)) end as lift, k from frequent f)
-  select density, items, round(lift, 5) as lift from lifted where lift >= 1.1 or k = 1""")
+  select density, items, round(lift + 1e-9, 5) as lift from lifted where lift >= 1.1 or k = 1""")
 def lifted_itemsets(t):
     kept = N.filter_by_lift(_by_density(t), 1.1, ["density"])
     return kept.select(
-        "density", F.array_join("items", "|").alias("items"), F.round("lift", 5).alias("lift")
+        "density", F.array_join("items", "|").alias("items"), F.round(F.col("lift") + 1e-9, 5).alias("lift")
     )
 
 
@@ -124,13 +124,13 @@ def item_encoding_map(t):
     )
 
 
-_RULES = _FREQUENT + """, one as (select items, support from frequent where k = 1),
+# rules of itemsets of any size: every listed subset is an antecedent, the rest its consequent
+_RULES = _FREQUENT + """, sets as (select items, string_split(items, '|') as l, k, support from frequent),
   rules as (select a.items as antecedents, c.items as consequents, a.support as sa, c.support as sc,
-    f.support as support, f.support / a.support as confidence
-    from frequent f join one a on a.items = split_part(f.items, '|', 1)
-      or a.items = split_part(f.items, '|', 2)
-    join one c on c.items <> a.items and (c.items = split_part(f.items, '|', 1)
-      or c.items = split_part(f.items, '|', 2)) where f.k = 2 and f.support / a.support >= {conf})"""
+    f.support as support, f.support / a.support as confidence from sets f
+    join sets a on a.k < f.k and list_has_all(f.l, a.l)
+    join sets c on c.items = array_to_string(list_filter(f.l, lambda x: not list_contains(a.l, x)), '|')
+    where f.support / a.support >= {conf})"""
 _METRICS = """round(support, 6) as support, round(confidence, 6) as confidence,
   round(confidence / sc, 6) as lift, round(support - sa * sc, 6) as leverage,
   round((1 - sc) / (1 - confidence), 6) as conviction,
@@ -174,9 +174,9 @@ def split_rules(t):
     return _rounded(N.split_rules(rules, {"THREE": "Brand#3", "FOUR": "Brand#4"}, 10))
 
 
-@query(_RULES.format(conf=0.14).replace("frequent where k = 1)", """topk where k = 1)""").replace(
-    "one as", "topk as (select * from frequent order by support desc, string_split(items, '|') limit 60), one as"
-).replace("from frequent f join", "from topk f join") + f""", rung as (select max(r) as r
+@query(_RULES.format(conf=0.14).replace("from frequent)", "from topk)").replace(
+    "sets as", "topk as (select * from frequent order by support desc, string_split(items, '|') limit 60), sets as"
+) + f""", rung as (select max(r) as r
     from (select unnest([0.04, 0.035, 0.03, 0.025, 0.02]) as r), (select max(support) as s from rules)
     where r <= s)
   select antecedents, consequents, {_METRICS}, r as min_support from rules, rung where support >= r""")
@@ -252,7 +252,7 @@ def target_itemsets(t):
       where replace(replace(upper(code_1), '.', ''), ' ', '') like 'BRAND#1%'
     union select person, 'TARGET_ED:EMERGENCY_DEPT' from fact where priority = '1-URGENT'),
   {_mined("0.6")}, sets as (select items, string_split(items, '|') as l, k, support from frequent),
-  kept as (select * from (select s.*, support / (select product(o.support) from frequent o
+  kept as (select * from (select s.*, support / (select list_reduce(list(o.support order by o.items), lambda a, b: a * b) from frequent o
       where o.k = 1 and list_contains(s.l, o.items)) as lift from sets s where k > 1) where lift >= 1.0005),
   rules as (select a.items as antecedents, c.items as consequents, a.support as sa, c.support as sc,
     f.support, f.support / a.support as confidence from kept f
@@ -311,7 +311,7 @@ def pattern_features(t):
 
 
 @query(_PATTERNS + """ select one.items, round(one.support, 6) as support,
-  round(coalesce(mc, 0), 6) as mean_confidence from one left join means using (items)""")
+  round(coalesce(mc, 0), 6) as mean_confidence from sets one left join means using (items) where one.k = 1""")
 def pattern_metrics(t):
     found = _itemsets(t)
     rules = N.association_rules(found, 0.01)

@@ -124,3 +124,60 @@ def loaded_mapping(t):
     )
     objects.repartition("letter").write.partitionBy("letter").text(root)
     return B.load_mapping(t.spark, f"{root}/*/*.txt")
+
+
+@query("""select c_custkey, c_mktsegment as segment, round(c_acctbal, 2) as balance from customer""")
+def latest_copy(t):
+    """The latest copy of a table and its CSV twin; the second write replaces the first."""
+    root = _folder(t, "latest")
+    rows = t.customer.select(
+        "c_custkey", F.col("c_mktsegment").alias("segment"), F.round("c_acctbal", 2).alias("balance")
+    )
+    sinks.write_latest(rows.limit(1), f"{root}/p", f"{root}/c")
+    sinks.write_latest(rows, f"{root}/p", f"{root}/c")
+    twin = t.spark.read.csv(f"{root}/c", header=True, schema=rows.schema)
+    return t.spark.read.parquet(f"{root}/p").intersectAll(twin)
+
+
+@query("""select o_orderkey, o_orderstatus as cohort_name, cast(year(o_orderdate) as integer) as event_year,
+  o_orderpriority as age_band from orders""")
+def written_cohort(t):
+    """A cohort table by cohort, year and band; a second write skips the partitions that are there."""
+    root = _folder(t, "cohort")
+    rows = t.orders.select(
+        "o_orderkey", F.col("o_orderstatus").alias("cohort_name"),
+        F.year("o_orderdate").alias("event_year"), F.col("o_orderpriority").alias("age_band"),
+    )
+    sinks.write_cohort(rows.filter("cohort_name <> 'P'"), root)
+    sinks.write_cohort(rows, root, if_exists="skip")
+    return t.spark.read.parquet(root)
+
+
+@query("""select p_brand as brand, array_to_string(list_sort(list(distinct p_type)), '|') as types,
+  count(*) as n from part group by 1""")
+def json_records(t):
+    """Records with lists, written as JSON lines and read back."""
+    path = _folder(t, "json")
+    rows = t.part.groupBy(F.col("p_brand").alias("brand")).agg(
+        F.sort_array(F.collect_set("p_type")).alias("types"), F.count("*").alias("n")
+    )
+    sinks.write_json_records(rows, path)
+    read = t.spark.read.schema(rows.schema).json(path)
+    return read.withColumn("types", F.array_join("types", "|"))
+
+
+@query(f"""with {_LINES}, n as (select count(*) as n_lines from lines)
+select case when len(f) = 5 then 'fixed' when len(f) < 5 then 'padded' else 'spilled' end as repair_status,
+  f[1] as key, case when len(f) = 6 then f[2] || '|' || f[3] else f[2] end || ' é' as part_name,
+  case when len(f) = 6 then f[4] else f[3] end as flag,
+  cast(case when len(f) = 6 then f[5] else f[4] end as integer) as quantity, count(*) as n,
+  0 as rejects from lines group by all""")
+def repaired_files(t):
+    """CP1252 files with a header each: read, split, repaired and typed; rejects are counted."""
+    path = _folder(t, "raw")
+    body = _lines(t).select(F.regexp_replace("value", r"^([^|]*[|](?:a[|]b|x|plain))", "$1 é").alias("value"))
+    D.write_delimited(body.withColumnRenamed("value", "|".join(_HEADER)).repartition(3), path, "\u0001")
+    table, rejects = D.read_repaired(t.spark, path, _HEADER, 2)
+    typed = table.withColumn("quantity", F.expr("try_cast(quantity as int)"))
+    counted = typed.groupBy("repair_status", "key", "part_name", "flag", "quantity").agg(F.count("*").alias("n"))
+    return counted.withColumn("rejects", F.lit(rejects.count()))

@@ -44,7 +44,7 @@ def encoded_trajectories(t):
 
 
 def _protos(t, traj):
-    return J.pick_prototypes(traj, 5, 300)
+    return J.pick_prototypes(traj, 5)
 
 
 _COST = "list_transform(range(1, len(p) + 1), lambda j: list_sum(list_transform(p[1:j], " \
@@ -56,7 +56,7 @@ def _dtw(tag: str, item: str = "event_type") -> str:
     return f"""{tag}seqs as (select user_id as person, list({item} order by ts, event_id) as s
     from events group by 1),
   {tag}protos as (select person as pid, s as p, row_number() over (order by person) as k
-    from {tag}seqs where len(s) <= 300 qualify k <= 5),
+    from {tag}seqs qualify k <= 5),
   {_recursion(tag, f"select person, pid, k, s, p from {tag}seqs, {tag}protos")}"""
 
 

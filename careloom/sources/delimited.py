@@ -37,13 +37,34 @@ def read_delimited(
     return reader.csv(path)
 
 
-def read_lines(spark: SparkSession, path: str | list[str], encoding: str = CP1252) -> DataFrame:
-    """Raw lines in the column ``value``, decoded from any single-byte encoding."""
+def read_lines(
+    spark: SparkSession, path: str | list[str], encoding: str = CP1252, header: bool = False
+) -> DataFrame:
+    """Raw lines in the column ``value``, decoded from any single-byte encoding.
+
+    ``header`` leaves out the first line of each file.
+    """
     _allow_charset(spark, encoding)
-    lines = spark.read.options(sep=_NO_SEPARATOR, encoding=encoding, quote="", header=False)
+    lines = spark.read.options(sep=_NO_SEPARATOR, encoding=encoding, quote="", header=header,
+                               enforceSchema=True)
     return lines.schema("value string").csv(path).filter(F.length("value") > 0)
 
 
+def read_repaired(
+    spark: SparkSession, path: str | list[str], header: Sequence[str], tail_numeric: int,
+    sep: str = PIPE, encoding: str = CP1252,
+) -> tuple[DataFrame, DataFrame]:
+    """Raw text files as a table of the header's columns, and the lines that can't be repaired.
+
+    Each file's header line is left out; every other line is fixed, padded, spilled or a reject,
+    so no field of an over-long line is lost. The table keeps ``repair_status``.
+    """
+    rows = repair_ragged_rows(read_lines(spark, path, encoding, header=True), header,
+                              tail_numeric, sep, keep_line=True)
+    unfit = F.col("repair_status") == "unfixable"
+    return rows.filter(~unfit).drop("value"), rows.filter(unfit).select("value")
+
+
 def sniff_separator(lines: DataFrame, candidates: Sequence[str] = (PIPE, "\t")) -> str:
     """Separator that occurs most often in the first non-blank line (the first one on a tie)."""
     row = lines.filter(F.trim("value") != "").limit(1).collect()
@@ -85,7 +106,8 @@ def split_good_bad(
 
 
 def repair_ragged_rows(
-    lines: DataFrame, header: Sequence[str], tail_numeric: int, sep: str = PIPE
+    lines: DataFrame, header: Sequence[str], tail_numeric: int, sep: str = PIPE,
+    keep_line: bool = False,
 ) -> DataFrame:
     """Columns of the header plus ``repair_status`` for every line.
 
@@ -112,9 +134,10 @@ def repair_ragged_rows(
         .otherwise("unfixable")
     )
     fixed = F.when(F.col("m") <= n, padded).otherwise(spilled)
-    return rows.select(status.alias("repair_status"), fixed.alias("f")).select(
+    line = ["value"] if keep_line else []
+    return rows.select(status.alias("repair_status"), fixed.alias("f"), *line).select(
         *[F.try_element_at("f", F.lit(i + 1)).alias(c) for i, c in enumerate(header)],
-        "repair_status",
+        "repair_status", *line,
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from careloom.sources.tables import exists
 
@@ -15,11 +16,20 @@ def write_partitioned(
 ) -> bool:
     """Parquet partitioned by the keys; only the partitions at hand are replaced.
 
-    The rebalance hint lets adaptive execution merge small partitions and split a hot one over
-    several tasks and files, instead of sending each key to one task. Returns whether it wrote.
+    With ``if_exists='skip'`` the partitions that are there already stay as they are and only
+    new ones are written. The rebalance hint lets adaptive execution merge small partitions and
+    split a hot one over several tasks and files. Returns whether it wrote.
     """
     if if_exists == "skip" and exists(df.sparkSession, root):
-        return False
+        # partition values only: no column of the files is read
+        there = df.sparkSession.read.parquet(root).select(*keys).distinct()
+        there = there.select(*[F.col(k).cast(df.schema[k].dataType).alias(f"__{k}") for k in keys])
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+        df = df.join(there, same, "left_anti")
+        if df.isEmpty():
+            return False
     rows = df.hint("rebalance", *keys)
     if sort:
         rows = rows.sortWithinPartitions(*keys, *sort)

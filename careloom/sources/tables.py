@@ -17,15 +17,19 @@ PART_FILES = r"\.part_[^/]*\.parquet$"
 def read_parquet_merge(
     spark: SparkSession, paths: Sequence[str], exclude_pattern: str | None = PART_FILES
 ) -> DataFrame:
-    """Union by name of many Parquet files; files that match the pattern are skipped.
+    """Union by name of many Parquet files; files whose path matches the pattern are skipped.
 
-    The pattern is a filter on the file path, which Spark applies to the file list.
+    The files are listed first and only the others are opened, so a skipped file adds no column
+    and may be broken. The list of paths is what Spark's own scan holds on the driver as well.
     """
-    df = spark.read.option("mergeSchema", True).option("recursiveFileLookup", True)
-    df = df.parquet(*paths)
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    files = listing.load(list(paths)).select("path").filter(F.col("path").endswith(".parquet"))
     if exclude_pattern:
-        df = df.filter(~F.col("_metadata.file_path").rlike(exclude_pattern))
-    return df
+        files = files.filter(~F.col("path").rlike(exclude_pattern))
+    kept = [r["path"] for r in files.collect()]
+    if not kept:
+        return spark.range(0).select()  # no file is left to take columns from
+    return spark.read.option("mergeSchema", True).parquet(*kept)
 
 
 def read_partitions(

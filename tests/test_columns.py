@@ -1,6 +1,8 @@
 from pyspark.sql import functions as F
 
-from careloom.constants import EXCLUDED_CODES, MEDICAL_HEADER, PHARMACY_HEADER, opioid_codes
+from careloom.constants import (
+    EXCLUDED_CODES, MEDICAL_HEADER, MEDICAL_REPAIR_HEADER, OPIOID_CODES, PHARMACY_HEADER,
+)
 from careloom.functions import columns as C
 from careloom.functions import drugs as D
 from careloom.operators.projection import (
@@ -76,14 +78,17 @@ def test_excluded_codes(spark):
 
 
 def test_opioid_code_set():
-    codes = opioid_codes()
+    codes = OPIOID_CODES
     assert len(codes) == len(set(codes)) == 180
     assert {"F11.20", "F1120", "T40.0", "T4069", "Y129", "F1199"} <= set(codes)
 
 
 def test_headers():
     assert len(PHARMACY_HEADER) == 51 and PHARMACY_HEADER[-1] == "Total RX Days Supply"
-    assert MEDICAL_HEADER.index("6th ICD Rollup", 70) == MEDICAL_HEADER.index("6th ICD Procedure Desc") + 1
+    assert len(MEDICAL_HEADER) == len(set(MEDICAL_HEADER)) == 113
+    second = MEDICAL_REPAIR_HEADER.index("6th ICD Procedure Rollup")
+    assert MEDICAL_REPAIR_HEADER[second - 1] == "6th ICD Procedure Desc"
+    assert MEDICAL_REPAIR_HEADER[:second] + MEDICAL_REPAIR_HEADER[second + 1:] == MEDICAL_HEADER
 
 
 def test_drug_names(spark):

@@ -92,14 +92,13 @@ def test_merge_keeps_the_first_bin(spark):
     assert rows(N.merge_bins(df).select("items", "support", "rank")) == [(["a"], 0.1, 1), (["b"], 0.3, 0)]
 
 
-def test_small_cohorts_raise_support_and_lift(spark):
+def test_small_cohorts_use_the_given_thresholds(spark):
     data = [["a", "b"], ["a", "b"], ["c"], ["c", "a"]]
-    kept, rules = N.mine_marked(baskets(spark, data), "key", 0.05, 0.1)
-    # two of four transactions are needed; lift of {a, b} is 0.5 / (0.75 * 0.5) < 2
-    assert kept.count() == 0 and rules.count() == 0
-    data = [["a", "b"], ["a", "b"], ["c"], ["d"]]
-    kept, rules = N.mine_marked(baskets(spark, data), "key", 0.05, 0.1)
+    kept, rules = N.mine_marked(baskets(spark, data), "key", 0.05, 0.1, 1.1)
+    # lift of {a, b} is 0.5 / (0.75 * 0.5), of {a, c} 0.25 / (0.75 * 0.5)
     assert rows(kept.select("items")) == [(["a", "b"],)] and rules.count() == 2
+    kept, _ = N.mine_marked(baskets(spark, data), "key", 0.5, 0.1, 2.0)
+    assert kept.count() == 0
 
 
 def test_markers_and_split(spark):
@@ -137,3 +136,17 @@ def test_patterns_and_network(spark):
     assert rows(wide) == [(1, 0.5, 0.0, 0.0), (2, 0.0, 0.0, 0.0)]
     metrics = N.pattern_metrics(patterns, rules).select("slot", "mean_confidence")
     assert rows(metrics) == [(1, 0.6), (2, 0.0)]
+
+
+def test_rules_of_a_wide_itemset(spark):
+    """All subsets of up to two items out of one set of 25: no subset is enumerated by masks."""
+    names = [f"i{n:02d}" for n in range(25)]
+    data = [([n], 0.5) for n in names] + [([a, b], 0.4) for i, a in enumerate(names) for b in names[i + 1:]] + [(names, 0.3)]
+    sets = spark.createDataFrame(data, "items array<string>, support double")
+    assert N.association_rules(sets, 0.7).count() == 25 * 24
+
+
+def test_lift_is_the_same_in_any_partitioning(spark):
+    found = N.frequent_itemsets(N.transactions(baskets(spark, sample_data()), "key"), 0.1)
+    lifts = [{tuple(r["items"]): r["lift"] for r in N.with_lift(found.repartition(n)).collect()} for n in (1, 3, 7)]
+    assert lifts[0] == lifts[1] == lifts[2]

@@ -71,3 +71,41 @@ def test_first_per_key(spark):
     rows, df = data(spark)
     got = {tuple(r) for r in O.first_per_key(df, ["k"], ["t", "id"]).collect()}
     assert got == {g[0] for g in by_key(rows).values()}
+
+
+def odd_rows(spark):
+    """Null keys, null times and one key with nine tenths of the rows on one day."""
+    rows = [(None, None, 0), (None, 3, 1), (1, None, 2), (1, None, 3), (1, 5, 4)]
+    rows += [(9, 7, i) for i in range(5, 1000)] + [(i, i % 5, i) for i in range(1000, 1100)]
+    return rows, spark.createDataFrame(rows, "k int, t int, id int")
+
+
+def nulls_first(rows):
+    groups = {}
+    for r in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+        groups.setdefault(r[0], []).append(r)
+    return groups
+
+
+def buckets():
+    return [F.floor(F.col("t") / 2), None]
+
+
+def test_null_keys_and_times_keep_their_rows(spark):
+    rows, df = odd_rows(spark)
+    expected = {r[2]: i + 1 for g in nulls_first(rows).values() for i, r in enumerate(g)}
+    following = {r[2]: n for g in nulls_first(rows).values() for r, n in zip(g, [x[2] for x in g[1:]] + [None])}
+    for bucket in buckets():
+        out = O.with_position(df, ["k"], [F.col("t"), F.col("id")], bucket, "p").collect()
+        assert len(out) == len(rows) and {r["id"]: r["p"] for r in out} == expected
+        out = O.with_neighbour(df, ["k"], ["t", "id"], bucket, "id", "n").collect()
+        assert len(out) == len(rows) and {r["id"]: r["n"] for r in out} == following
+        out = O.with_running_total(df, ["k"], [F.col("t"), F.col("id")], bucket, {"s": "id"})
+        assert out.count() == len(rows)
+
+
+def test_hot_day_is_spread_by_range(spark):
+    _, df = odd_rows(spark)
+    cut = O.with_bucket(df.repartition(8), ["k"], [F.col("t"), F.col("id")], None)
+    sizes = [r["count"] for r in cut.groupBy("k", "__bucket").count().collect()]
+    assert max(sizes) <= 1100 / 4  # 995 rows of one key and day lie in many partitions

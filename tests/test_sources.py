@@ -90,3 +90,40 @@ def test_latest_and_json(spark, tmp_path):
     sinks.write_json_records(df, str(tmp_path / "j"))
     assert spark.read.csv(str(tmp_path / "c"), header=True).first()["v"] == "1"
     assert spark.read.json(str(tmp_path / "j")).first()["items"] == ["a"]
+
+
+def test_skip_is_per_partition(spark, tmp_path):
+    root = str(tmp_path / "t")
+    schema = "v int, age_band string, event_year int"
+    sinks.write_partitioned(spark.createDataFrame([(1, "0-12", 2016)], schema), root)
+    more = spark.createDataFrame([(5, "0-12", 2016), (2, "0-12", 2017)], schema)
+    assert sinks.write_partitioned(more, root, if_exists="skip")
+    assert rows(spark.read.parquet(root).select("v")) == [(1,), (2,)]
+
+
+def test_skipped_files_give_no_columns(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "a"))
+    spark.range(2).selectExpr("id as other").write.parquet(str(tmp_path / "skipped"))
+    (tmp_path / "x.part_1.parquet").write_text("broken")
+    out = B.read_parquet_merge(spark, [str(tmp_path)], r"/skipped/|\.part_[^/]*\.parquet$")
+    assert out.columns == ["id"] and out.count() == 3
+
+
+def test_raw_files_lose_no_line(spark, tmp_path):
+    head = "|".join(HEADER)
+    (tmp_path / "one.txt").write_bytes(f"{head}\n1|x|c|2|3\n2|y|surplus|c|4|5\n".encode("latin1"))
+    (tmp_path / "two.txt").write_bytes(f"{head}\n3|caf\xe9\n\n".encode("latin1"))
+    table, rejects = D.read_repaired(spark, str(tmp_path / "*.txt"), HEADER, 2)
+    assert rows(table) == [
+        ("1", "x", "c", "2", "3", "fixed"), ("2", "y|surplus", "c", "4", "5", "spilled"),
+        ("3", "café", "", "", "", "padded"),
+    ]
+    assert rejects.count() == 0
+    _, rejects = D.read_repaired(spark, str(tmp_path / "one.txt"), HEADER[:2], 2)
+    assert rows(rejects) == [("1|x|c|2|3",), ("2|y|surplus|c|4|5",)]
+
+
+def test_cohort_partitions(spark, tmp_path):
+    df = spark.createDataFrame([(1, "c", 2016, "0-12")], "v int, cohort_name string, event_year int, age_band string")
+    assert sinks.write_cohort(df, str(tmp_path / "c"))
+    assert (tmp_path / "c" / "cohort_name=c" / "event_year=2016" / "age_band=0-12").is_dir()

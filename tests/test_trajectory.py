@@ -48,10 +48,10 @@ def test_distance_properties():
 def test_chunked_distances_match_brute_force(spark, chunk_len, cost, value):
     seqs = people()
     traj = frame(spark, seqs)
-    protos = J.pick_prototypes(traj, 4, 11)
+    protos = J.pick_prototypes(traj, 4)
     out = J.dtw_to_prototypes(traj, protos, value, cost, chunk_len=chunk_len)
     got = {(r["person"], r["prototype_id"]): r["distance"] for r in out.collect()}
-    chosen = sorted(p for p, s in seqs.items() if len(s) <= 11)[:4]
+    chosen = sorted(p for p, s in seqs.items() if s)[:4]
     fn = (lambda x, y: float(x != y)) if cost == "mismatch" else (lambda x, y: abs(ord(x) - ord(y)))
     assert got == {(p, q): brute(s, seqs[q], fn) for p, s in seqs.items() for q in chosen}
 
@@ -63,8 +63,13 @@ def test_listed_pairs(spark):
     got = {(r[0], r[1]): r[2] for r in J.dtw_pairs(traj, pairs).collect()}
     assert got == {(0, 1): brute(seqs[0], seqs[1]), (1, 0): brute(seqs[0], seqs[1]),
                    (8, 3): brute(seqs[8], seqs[3]), (2, 99): float("inf")}
-    with pytest.raises(Exception, match="more than 5 steps"):
-        J.dtw_pairs(traj, pairs, max_len=5).collect()
+
+
+def test_batches_are_cut_by_cells():
+    lengths = np.array([5, 1, 9, 3, 3, 20])
+    parts = J._by_cells(lengths, 10)
+    assert sorted(np.concatenate(parts).tolist()) == list(range(6))
+    assert all(len(p) == 1 or len(p) * lengths[p].max() <= 10 for p in parts)
 
 
 def test_clusters_and_archetypes(spark):
