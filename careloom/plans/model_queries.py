@@ -441,7 +441,15 @@ def rule_patterns(t):
     return X.rule_table(rules, metrics, names, patterns)
 
 
-@query()
+_PERMUTED = f"""{_PERSONS}, draws as (select p, person, n_orders, label from persons, (select unnest(range(1, 21)) as p)),
+  byrow as (select p, label, row_number() over (partition by p order by md5('42-row:' || p || ':' || person), person) as r from draws),
+  byvalue as (select p, n_orders, row_number() over (partition by p order by md5('42-value:' || p || ':' || person), person) as r from draws),
+  drawn as (select p, abs(corr(n_orders, label)) as v from byrow join byvalue using (p, r) group by p),
+  seen as (select abs(corr(n_orders, label)) as v from persons)"""
+
+
+@query(f"""with {_PERMUTED} select 'n_orders' as feature, round(seen.v, 6) as observed,
+  count(*) filter (drawn.v >= seen.v) / 20 as p_value from drawn, seen group by all""")
 def permutation_significance(t):
     """Does n_orders relate to the label beyond chance? Importance: absolute correlation."""
     people = _persons(t).select("person", "n_orders", "label")
@@ -451,4 +459,108 @@ def permutation_significance(t):
             F.abs(V.correlation("n_orders", "label")).alias("importance")
         )
 
-    return I.permutation_test(people, "person", ["n_orders"], "n_orders", strength, n=20)
+    out = I.permutation_test(people, "person", ["n_orders"], "n_orders", strength, n=20)
+    return out.withColumn("observed", F.round("observed", 6))
+
+
+# --- explanations of given rules: what follows a fit, without one --------------------------
+
+_N_ORDERS, _BALANCE = FEATURES.index("n_orders"), FEATURES.index("balance")
+_GIVEN_RULES = [
+    (0, 0, 0.0, [(1, _N_ORDERS, True, 9.0)]),
+    (0, 1, 0.0, [(2, _N_ORDERS, False, 12.0), (3, _BALANCE, True, 4000.0)]),
+    (1, 2, 1.0, [(4, _BALANCE, False, 4000.0)]),
+    (1, 3, 1.0, [(4, _BALANCE, False, 4000.0), (5, _N_ORDERS, False, 6.0)]),
+    (1, 4, 1.0, [(2, _N_ORDERS, False, 12.0), (6, _BALANCE, False, 2000.0)]),
+]
+_GIVEN = f"""{_PERSONS}, predicted as (select *, case when balance > 4000
+    or (n_orders > 12 and balance > 2000) then 1.0 else 0.0 end as prediction from persons),
+  matched as (select *, list_filter(case when prediction = 1 then [
+      case when balance > 4000 then 2 end, case when balance > 4000 and n_orders > 6 then 3 end,
+      case when n_orders > 12 and balance > 2000 then 4 end]
+    else [case when n_orders <= 9 then 0 end, case when n_orders > 12 and balance <= 4000 then 1 end] end,
+    lambda x: x is not null) as m from predicted),
+  explained as (select *, case when prediction = 0 and n_orders <= 9 then ['n_orders <= 9.0']
+    when prediction = 0 and n_orders > 12 then ['n_orders > 12.0'] when prediction = 0 then []
+    when balance > 4000 and n_orders > 12 then ['n_orders > 12.0', 'balance > 4000.0']
+    when balance > 4000 then ['balance > 4000.0'] else ['n_orders > 12.0'] end as e from matched),
+  steps as (select person, len(e) as length, unnest(range(len(e))) as position,
+    split_part(unnest(e), ' ', 1) as feature from explained)"""
+
+
+def _given(t):
+    """Rules, and persons with predictions, matched rules and explanations."""
+    rules = t.spark.createDataFrame(_GIVEN_RULES, X.RULE_SCHEMA)
+    target = (F.col("balance") > 4000) | ((F.col("n_orders") > 12) & (F.col("balance") > 2000))
+    people = _persons(t).withColumn("prediction", target.cast("double"))
+    return rules, X.explain(people, rules, FEATURES)
+
+
+@query(f"""with {_GIVEN} select person, prediction, array_to_string(m, '|') as matched,
+  array_to_string(e, ' AND ') as explanation from explained""")
+def given_rule_explanations(t):
+    _, explained = _given(t)
+    return explained.select(
+        "person", "prediction", F.array_join(F.transform("matched", lambda x: x.cast("string")), "|").alias("matched"),
+        F.array_join("explanation", " AND ").alias("explanation"),
+    )
+
+
+@query(f"""with {_GIVEN}, n as (select count(distinct person) as persons, count(*) as uses from steps)
+select feature, count(*) as support, count(*) as coverage, round(avg(length), 6) as specificity,
+  round(count(*) / any_value(persons), 6) as essentiality_ratio, cast(0 as bigint) as contrastive_instances,
+  0.0 as stability, round(count(*) / any_value(uses), 6) as relative_importance,
+  round(avg(position), 6) as avg_position, round(stddev_pop(position), 6) as position_std
+from steps, n group by feature""")
+def given_rule_metrics(t):
+    _, explained = _given(t)
+    out = X.explanation_metrics(X.explanation_steps(explained, "person"), "person")
+    return out.withColumns({c: F.round(c, 6) for c, kind in out.dtypes if kind == "double"})
+
+
+@query(f"""with {_GIVEN}, share as (select feature, count(distinct person) as raw_count, count(*) as mentions from steps group by 1),
+  n as (select count(*) as n from explained)
+select feature, raw_count, round(raw_count / n, 6) as normalized,
+  case when mentions < 0.5 * n then mentions end as mentions from share, n""")
+def given_rule_quality(t):
+    _, explained = _given(t)
+    steps = X.explanation_steps(explained, "person")
+    share = X.explanation_importance(steps, explained, "person")
+    unstable = X.unstable_features(steps, explained, 0.5)
+    return share.join(unstable, "feature", "left").withColumn("normalized", F.round("normalized", 6))
+
+
+@query(f"""with {_GIVEN} select prediction, count(*) as total_predictions,
+  count(*) filter (len(m) = 0) as unmatched_predictions from explained group by 1""")
+def given_rule_unmatched(t):
+    return X.unmatched_rows(_given(t)[1])
+
+
+@query(f"""with {_GIVEN}, f as (select distinct person, feature from steps)
+select a.feature as feature_a, b.feature as feature_b, count(*) as weight from f a
+  join f b on a.person = b.person and a.feature < b.feature group by 1, 2 having count(*) >= 2""")
+def given_rule_interactions(t):
+    _, explained = _given(t)
+    return X.pair_interactions(X.explanation_steps(explained, "person"), "person")
+
+
+@query(f"""with {_GIVEN}, hits as (select unnest(m) as rule_id, * from matched), n as (select count(*) as n from matched)
+select rule_id, case when rule_id < 2 then 0.0 else 1.0 end as rule_prediction, count(*) as matched_rows,
+  round(stddev_pop(prediction), 6) as stability, round(avg(case when prediction = label then 1 else 0 end), 6) as accuracy,
+  round(stddev_pop(balance), 4) as balance_std, round(max(balance) - min(balance), 4) as balance_range,
+  round(avg(balance), 4) as balance_mean, round(count(*) / any_value(n), 6) as coverage
+from hits, n group by 1, 2""")
+def given_rule_validation(t):
+    rules, explained = _given(t)
+    out = X.rule_validation(explained, rules, "label", "prediction", ["balance"])
+    return out.withColumns({c: F.round(c, 4 if c.startswith("balance") else 6) for c, kind in out.dtypes if kind == "double"})
+
+
+@query(f"""with {_GIVEN}, hits as (select unnest(m) as rule_id from matched)
+select rule_id, count(*) as persons from hits group by 1""")
+def given_rule_matches(t):
+    rules, _ = _given(t)
+    target = (F.col("balance") > 4000) | ((F.col("n_orders") > 12) & (F.col("balance") > 2000))
+    people = _persons(t).withColumn("prediction", target.cast("double"))
+    hits = X.match_rules(people, rules, FEATURES, "prediction").select(F.explode("matched").alias("rule_id"))
+    return hits.groupBy("rule_id").agg(F.count("*").alias("persons"))
