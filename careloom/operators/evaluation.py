@@ -45,10 +45,8 @@ def score_table(df: DataFrame, label: str, score: str) -> DataFrame:
     groups = df.groupBy(F.col(score).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
-    desc = groups.withColumn("__d", -F.col("score"))
-    return with_running_total(
-        desc, [], [F.col("__d")], F.floor(F.col("__d") * 1000), {"tp": "pos", "fp": "neg"}
-    ).drop("__d")
+    # by range: with a rare label nearly all scores can lie below a thousandth
+    return with_running_total(groups, [], [F.col("score").desc()], None, {"tp": "pos", "fp": "neg"})
 
 
 def ranking_metrics(df: DataFrame, label: str, score: str) -> DataFrame:

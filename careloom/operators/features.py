@@ -52,6 +52,25 @@ def feature_matrix(
     return persons.select(key).distinct().join(wide, key, "left").fillna(empty, list(columns))
 
 
+def sparse_features(items: DataFrame, persons: DataFrame, key: str) -> DataFrame:
+    """One row per person over the whole vocabulary: sorted item numbers and their counts.
+
+    Numbers are ranks in the sorted vocabulary, from 0. A person without items has empty arrays;
+    no column per item is formed, so the vocabulary may be of any size.
+    """
+    words = items.select("item").distinct()
+    ranked = with_position(words, [], [F.col("item")], None, "__r")
+    ids = ranked.select("item", (F.col("__r") - 1).alias("__i"))
+    pairs = F.sort_array(F.collect_list(F.struct("__i", "n")))
+    rows = items.join(ids, "item").groupBy(key).agg(pairs.alias("__p"))
+    out = persons.select(key).distinct().join(rows, key, "left")
+    empty = F.array().cast("array<bigint>")
+    return out.select(
+        key, F.coalesce(F.col("__p.__i"), empty).alias("indices"),
+        F.coalesce(F.col("__p.n"), empty).alias("values"),
+    )
+
+
 def constant_features(train_items: DataFrame, train_persons: DataFrame, key: str) -> DataFrame:
     """Items with one value over all training persons (a person without the item has 0)."""
     total = train_persons.agg(F.countDistinct(key).alias("n")).scalar()

@@ -135,11 +135,21 @@ def attach_best(left: DataFrame, best: DataFrame, keys: Sequence[str]) -> DataFr
     return left.join(best, list(keys), "left")
 
 
-def _claim_profile(claims: DataFrame) -> DataFrame:
-    """Person-year profile that also tells whether some claim of the year lacked a field."""
+def _claim_profiles(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Person-year profiles of both sources, told apart by ``from_a``; each also tells whether
+    some claim of the year lacked a field.
+
+    Claims shrink to distinct combinations first. These are dealt by person once, so neither
+    this grouping nor a later one by person moves them again.
+    """
     lacking = F.greatest(*[F.coalesce(_is_missing(d), F.lit(True)) for d in DEMOGRAPHICS])
-    combinations = _distinct_combinations(claims, "person", "event_year", DEMOGRAPHICS)
-    return combinations.groupBy("person", "event_year").agg(
+    tagged = [
+        _distinct_combinations(claims, "person", "event_year", DEMOGRAPHICS)
+        .withColumn("from_a", F.lit(from_a))
+        for claims, from_a in ((a, True), (b, False))
+    ]
+    dealt = tagged[0].unionByName(tagged[1]).repartition("person")
+    return dealt.groupBy("person", "from_a", "event_year").agg(
         *[F.min(d).alias(d) for d in DEMOGRAPHICS],
         F.sum("__n").alias("w"),
         F.bool_or(lacking).alias("lacking"),
@@ -191,12 +201,9 @@ def impute_profiles(
     replaced by the candidate even when there is none; its provenance then stays 'original'.
     """
     row = F.struct(F.col("event_year").alias("p"), "w", "lacking", *DEMOGRAPHICS)
-    tagged = _claim_profile(a).select("person", row.alias("a"), F.lit(None).alias("b"))
-    tagged = tagged.unionByName(
-        _claim_profile(b).select("person", F.lit(None).alias("a"), row.alias("b"))
-    )
-    people = tagged.groupBy("person").agg(
-        F.collect_list("a").alias("a"), F.collect_list("b").alias("b")
+    people = _claim_profiles(a, b).groupBy("person").agg(
+        F.collect_list(F.when(F.col("from_a"), row)).alias("a"),
+        F.collect_list(F.when(~F.col("from_a"), row)).alias("b"),
     )
     return (
         _imputed(people, "a", "b", b_name, years),

@@ -55,7 +55,7 @@ def trajectories(
 def sequence_encode(traj: DataFrame) -> DataFrame:
     """Add ``item_id``, the rank of the item in the sorted vocabulary (from 0)."""
     words = traj.select("item").distinct()
-    ranked = with_position(words, [], [F.col("item")], F.substring("item", 1, 2), "__r")
+    ranked = with_position(words, [], [F.col("item")], None, "__r")
     ids = ranked.select("item", (F.col("__r") - 1).cast("int").alias("item_id"))
     return traj.join(ids, "item")
 

@@ -65,6 +65,17 @@ def person_items(t):
 _COLS = ["SMALL", "LARGE", "3-MEDIUM"]
 
 
+@query(f"""with {_ITEMS}, ids as (select item, row_number() over (order by item) - 1 as i from (select distinct item from items)),
+  rows as (select person, array_to_string(list(i order by i), '|') as indices, array_to_string(list(n order by i), '|') as values
+    from items join ids using (item) group by 1)
+select person, coalesce(indices, '') as indices, coalesce(values, '') as values
+from (select distinct person from cohort) left join rows using (person)""")
+def sparse_features(t):
+    """Every item of the vocabulary, as numbered counts per person."""
+    out = R.sparse_features(_items(t), C._cohort(t), "person")
+    return out.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), "|") for c in ("indices", "values")})
+
+
 @query(f"""with {_ITEMS} select person, """ + ", ".join(
     f"""coalesce(max(n) filter (item = '{c}'), 0) as "{c}\"""" for c in _COLS)
     + " from (select distinct person from cohort) left join items using (person) group by 1")

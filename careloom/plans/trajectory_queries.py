@@ -91,7 +91,7 @@ select person as id_a, prototype_id as id_b, distance from dist""")
 def dtw_neighbour_pairs(t):
     traj = J.sequence_encode(_traj(t))
     users = traj.select("person").distinct()
-    following = J.with_position(users, [], [F.col("person")], F.floor(F.col("person") / 64), "r")
+    following = J.with_position(users, [], [F.col("person")], None, "r")
     pairs = following.select(F.col("person").alias("id_a"), "r").join(
         following.select(F.col("person").alias("id_b"), (F.col("r") - 1).alias("r")), "r"
     ).drop("r")
