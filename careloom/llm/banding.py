@@ -13,17 +13,21 @@ a task returns at most one link per set.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from careloom.llm.bits import bitmap, maybe_in
 from careloom.llm.graph import components
 from careloom.llm.text import mixed
 from careloom.session import cut_lineage
 
 #: Sets of a block, and hashes of all its sets together.
-BLOCK_SETS, BLOCK_HASHES = 96, 200_000
+BLOCK_SETS, BLOCK_HASHES = 160, 200_000
 #: Columns of the membership matrix that is multiplied at once.
 MATRIX_COLUMNS = 8192
 
@@ -58,19 +62,39 @@ def digests(hashes: np.ndarray, starts: np.ndarray) -> list[bytes]:
     return [both[i: i + 16] for i in range(0, len(both), 16)]
 
 
+def numbered(classes: DataFrame) -> DataFrame:
+    """The classes, checkpointed, with a number ``no`` each: graphs of numbers are cheaper than of digests."""
+    return cut_lineage(classes).withColumn("no", F.monotonically_increasing_id())
+
+
 def clusters(sets: DataFrame) -> DataFrame:
-    """``key`` and ``cluster`` of all sets that collide with another one; ``sets`` has key and bands."""
-    keyed = sets.select("key", F.explode("bands").alias("band"))
-    hubs = keyed.groupBy("band").agg(F.min("key").alias("hub"), F.max("key").alias("last")).filter("hub <> last").select("band", "hub")
-    ties = keyed.join(hubs, "band").filter("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b"))
-    return components(ties).select(F.col("node").alias("key"), F.col("root").alias("cluster"))
+    """``no`` and ``cluster`` of all sets that collide with another one; ``sets`` has no and bands.
+
+    The hubs of shared bands come first; a bitmap of them then spares the bands that one set has
+    alone, which are nearly all, the way to the join.
+    """
+    keyed = sets.select("no", F.explode("bands").alias("band"))
+    hubs = keyed.groupBy("band").agg(F.min("no").alias("hub"), F.max("no").alias("last")).filter("hub <> last").select("band", "hub")
+    hubs = cut_lineage(hubs)
+    bits = bitmap(hubs, F.col("band"))
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bands = b.column(1)
+            no = np.repeat(b.column(0).to_numpy(), bands.value_lengths().to_numpy())
+            band = bands.flatten().to_numpy()
+            some = maybe_in(bits, band)
+            yield pa.RecordBatch.from_arrays([pa.array(no[some]), pa.array(band[some])], names=["no", "band"])
+
+    ties = sets.select("no", "bands").mapInArrow(shared, "no long, band long").join(hubs, "band").filter("no <> hub")
+    return components(ties, "no", "hub").select(F.col("node").alias("no"), F.col("root").alias("cluster"))
 
 
 def blocked(members: DataFrame) -> DataFrame:
-    """Adds each set's block and the number of blocks to ``key, cluster, size``."""
+    """Adds each set's block and the number of blocks to ``no, cluster, size``."""
     need = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("size") / BLOCK_HASHES))
     blocks = members.groupBy("cluster").agg(need.cast("int").alias("blocks"))
-    return members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    return members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int"))
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -115,14 +139,13 @@ def spanning(n: int, left: np.ndarray, right: np.ndarray) -> list[int]:
 def verified_links(members: DataFrame, percent: int) -> DataFrame:
     """Links ``a, b`` between sets of a cluster whose Jaccard similarity is at least ``percent`` in 100.
 
-    ``members`` has key, cluster, block, blocks and the sorted set of hashes as bytes. All pairs
+    ``members`` has no, cluster, block, blocks and the sorted set of hashes as bytes. All pairs
     of a cluster are compared, colliding or not, by blocks. Of the links that a pair of blocks
     has, those that join the same sets are returned.
     """
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    pairs = members.select("key", "cluster", "block", "set", other)
-    pairs = pairs.select("key", "cluster", "block", "set", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-    key_type = members.schema["key"].dataType.simpleString()
+    pairs = members.select("no", "cluster", "block", "set", other)
+    pairs = pairs.select("no", "cluster", "block", "set", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(s, "<u8") for s in rows["set"]]
@@ -134,13 +157,13 @@ def verified_links(members: DataFrame, percent: int) -> DataFrame:
             linked &= block[:, None] != block[None, :]
         left, right = np.nonzero(np.triu(linked, 1))
         some = spanning(len(sets), left, right)
-        keys = rows["key"].to_numpy()
+        keys = rows["no"].to_numpy()
         return pd.DataFrame({"a": keys[left[some]], "b": keys[right[some]]})
 
-    return pairs.groupBy("cluster", "p", "q").applyInPandas(compare, f"a {key_type}, b {key_type}")
+    return pairs.groupBy("cluster", "p", "q").applyInPandas(compare, "a long, b long")
 
 
 def linked_components(members: DataFrame, percent: int) -> DataFrame:
-    """``key`` and ``root`` of every set that is linked with another."""
+    """``no`` and ``root`` of every set that is linked with another."""
     links = cut_lineage(verified_links(members, percent))
-    return components(links).select(F.col("node").alias("key"), "root")
+    return components(links).select(F.col("node").alias("no"), "root")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from careloom.llm.banding import shared_counts, spanning
+from careloom.llm.banding import numbered, shared_counts, spanning
 from careloom.llm.graph import components
 from careloom.session import cut_lineage
 
@@ -145,7 +145,7 @@ def classes_of(vectors: DataFrame) -> DataFrame:
 
 
 def decoded(classes: DataFrame, codes: dict[int, Code]) -> DataFrame:
-    """Adds the array of directions to ``key, copies, unit``; codes of other lengths never meet."""
+    """Adds the array of directions to ``no, copies, unit``; codes of other lengths never meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -158,9 +158,9 @@ def decoded(classes: DataFrame, codes: dict[int, Code]) -> DataFrame:
                     at = np.flatnonzero(dims == d)
                     for i, list_of in zip(at, codes[int(d)].decode(np.stack([units[i] for i in at])), strict=True):
                         found[i] = list_of
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.int64()))], names=["key", "copies", "unit", "directions"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.int64()))], names=["no", "copies", "unit", "directions"])
 
-    return classes.mapInArrow(run, "key binary, copies long, unit binary, directions array<long>")
+    return classes.mapInArrow(run, "no long, copies long, unit binary, directions array<long>")
 
 
 def compared(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
@@ -178,7 +178,7 @@ def compared(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
     here = rows["direction"].iloc[0]
     earlier = [x[x < here] for x in rows["directions"]]
     left, right = np.nonzero(close & (shared_counts(earlier) == 0))
-    copies, keys = rows["copies"].to_numpy(), rows["key"].to_numpy()
+    copies, keys = rows["copies"].to_numpy(), rows["no"].to_numpy()
     n = np.bincount(left, weights=copies[right], minlength=len(keys)) + np.bincount(right, weights=copies[left], minlength=len(keys))
     some, joined = np.flatnonzero(n), spanning(len(keys), left, right)
     counts = pd.DataFrame({"a": keys[some], "b": None, "n": n[some]})
@@ -197,15 +197,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", embedding: str =
     """
     source = vectors.select(F.col(id_col).alias("id"), F.col(embedding).cast("array<double>").alias("v"))
     keyed = cut_lineage(classes_of(source))
-    classes = keyed.filter("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit"))
+    classes = numbered(keyed.filter("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit")))
     sizes = classes.groupBy((F.octet_length("unit") / 8).cast("int").alias("dims")).agg(F.count(F.lit(1)).alias("n")).collect()
     codes = {r["dims"]: code_for(r["dims"], r["n"], cosine) for r in sizes}
     total = sum(r["n"] for r in sizes)
-    found = cut_lineage(decoded(classes.select("key", "copies", "unit"), codes))
-    spread = found.select("key", F.octet_length("unit").alias("bytes"), F.explode("directions").alias("direction"))
+    found = cut_lineage(decoded(classes.select("no", "copies", "unit"), codes))
+    spread = found.select("no", F.octet_length("unit").alias("bytes"), F.explode("directions").alias("direction"))
     shared = spread.groupBy("bytes", "direction").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = spread.join(shared, ["bytes", "direction"]).join(found, "key")
-    met = met.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    met = spread.join(shared, ["bytes", "direction"]).join(found, "no")
+    met = met.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")})
     # directions of one block share groups by hash; each pair of blocks of a larger one has its own
@@ -214,12 +214,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", embedding: str =
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
         parts = [compared(part, cosine) for _, part in rows.groupby(["bytes", "direction", "p", "q"])]
-        return pd.concat(parts).astype({"n": "int64"})
+        return pd.concat(parts).astype({"a": "Int64", "b": "Int64", "n": "int64"})
 
-    links = cut_lineage(met.select("g", "bytes", "direction", "p", "q", "block", "key", "copies", "unit", "directions").groupBy("g").applyInPandas(group, "a binary, b binary, n long"))
-    counted = links.filter("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("others"))
-    roots = components(links.filter("b is not null")).select(F.col("node").alias("key"), "root")
-    named = classes.select("key", "id", "copies").join(roots, "key", "left").join(counted, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    links = cut_lineage(met.select("g", "bytes", "direction", "p", "q", "block", "no", "copies", "unit", "directions").groupBy("g").applyInPandas(group, "a long, b long, n long"))
+    counted = links.filter("b is null").groupBy(F.col("a").alias("no")).agg(F.sum("n").alias("others"))
+    roots = components(links.filter("b is not null")).select(F.col("node").alias("no"), "root")
+    named = classes.select("key", "no", "id", "copies").join(roots, "no", "left").join(counted, "no", "left").withColumn("root", F.coalesce("root", "no"))
     smallest = named.groupBy("root").agg(F.min("id").alias("component_id"))
     of_class = named.join(smallest, "root").select("key", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     out = keyed.select("id", "key").join(of_class, "key", "left")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from careloom.llm.banding import band_keys, blocked, clusters, digests, linked_components
+from careloom.llm.banding import band_keys, blocked, clusters, digests, linked_components, numbered
 from careloom.llm.bits import bitmap, maybe_in, parted
 from careloom.llm.text import SPACED, Words, as_texts, gram_hashes, mixed, slices, split_words
 from careloom.session import cut_lineage
@@ -98,13 +98,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     if it has none. Further columns are not read; an empty table gives an empty one.
     """
     signed = cut_lineage(signatures(docs, id_col, text, bands, rows))
-    classes = signed.filter("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.min("size").alias("size"), F.first("bands").alias("bands"))
-    tied = cut_lineage(clusters(classes))
-    members = cut_lineage(blocked(classes.drop("bands").join(tied, "key")))
+    classes = numbered(signed.filter("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.min("size").alias("size"), F.first("bands").alias("bands")))
+    members = cut_lineage(blocked(classes.drop("bands").join(clusters(classes), "no")))
     # a class without an id can't be looked up by it; those few are looked up by null
     sets = sets_of(docs, id_col, text, members).dropDuplicates(["key"])
     roots = linked_components(members.join(sets, "key"), percent)
-    named = classes.select("key", "id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    named = classes.select("key", "id", "no").join(roots, "no", "left").withColumn("root", F.coalesce("root", "no"))
     smallest = named.groupBy("root").agg(F.min("id").alias("component_id"))
     of_class = named.join(smallest, "root").select("key", "component_id")
     out = signed.drop("bands").join(of_class, "key", "left")

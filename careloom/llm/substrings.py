@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from careloom.llm.banding import band_keys, blocked, clusters, digests, linked_components
+from careloom.llm.banding import band_keys, blocked, clusters, digests, linked_components, numbered
 from careloom.llm.bits import bitmap, maybe_in, parted
 from careloom.llm.decontaminate import winnowed
 from careloom.llm.neardup import shingle_sets
@@ -100,13 +100,12 @@ def paragraph_sets(rows: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
 def similar_paragraphs(rows: DataFrame, least: int, percent: int) -> DataFrame:
     """``id, start, end, kept`` of paragraphs whose component is kept in a smaller document."""
     found = cut_lineage(paragraphs(rows, least))
-    classes = found.groupBy("key").agg(F.min("id").alias("id"), F.min("size").alias("size"), F.first("bands").alias("bands"))
-    tied = cut_lineage(clusters(classes))
-    members = cut_lineage(blocked(classes.drop("bands").join(tied, "key")))
+    classes = numbered(found.groupBy("key").agg(F.min("id").alias("id"), F.min("size").alias("size"), F.first("bands").alias("bands")))
+    members = cut_lineage(blocked(classes.drop("bands").join(clusters(classes), "no")))
     # a paragraph of one document can stand in many places; its set is wanted once
     sets = paragraph_sets(rows, members, least).groupBy("key").agg(F.first("set").alias("set"))
     roots = linked_components(members.join(sets, "key"), percent)
-    of_class = classes.select("key", "id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    of_class = classes.select("key", "id", "no").join(roots, "no", "left").withColumn("root", F.coalesce("root", "no"))
     kept = of_class.join(of_class.groupBy("root").agg(F.min("id").alias("kept")), "root").select("key", "kept")
     return found.join(kept, "key").filter("id <> kept").select("id", "start", (F.col("start") + F.col("length")).alias("end"), "kept")
 
