@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Transformer
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
     RandomForestClassifier,
 )
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from careloom.operators import evaluation as V
@@ -575,3 +577,42 @@ def given_rule_matches(t):
     people = _persons(t).withColumn("prediction", target.cast("double"))
     hits = X.match_rules(people, rules, FEATURES, "prediction").select(F.explode("matched").alias("rule_id"))
     return hits.groupBy("rule_id").agg(F.count("*").alias("persons"))
+
+
+class LinearScore(Transformer):
+    """A fixed linear score that stands in for a fitted model: what SQL can say as well."""
+
+    def _transform(self, dataset):
+        z = 0.3 * (F.col("n_orders") - 12) + (F.col("balance") - 4000) / 2000
+        p = 1 / (1 + F.exp(-z))
+        scored = dataset.withColumn("probability", array_to_vector(F.array(1 - p, p)))
+        return scored.withColumn("prediction", (p >= 0.5).cast("double"))
+
+
+def _score(n_orders: str, balance: str) -> str:
+    return f"1 / (1 + exp(-(0.3 * ({n_orders} - 12) + ({balance} - 4000) / 2000)))"
+
+
+@query(f"""with {_GIVEN}, s as (select stddev_samp(n_orders) as sn, stddev_samp(balance) as sb from explained where prediction = 1),
+  hit as (select e, n_orders, balance from explained where prediction = 1),
+  flips as (select 'n_orders' as feature, count(*) as k from hit, s
+      where list_contains(e, 'n_orders > 12.0') and {_score("n_orders + sign(n_orders) * sn", "balance")} < 0.5
+    union all select 'balance', count(*) from hit, s
+      where list_contains(e, 'balance > 4000.0') and {_score("n_orders", "balance + sign(balance) * sb")} < 0.5)
+select feature, round(k / (select count(*) from hit), 6) as causal_responsibility from flips where k > 0""")
+def given_counterfactuals(t):
+    _, explained = _given(t)
+    out = X.counterfactual_effect(LinearScore(), explained, "person", FEATURES, target=1.0)
+    return out.withColumn("causal_responsibility", F.round("causal_responsibility", 6))
+
+
+@query(f"""with {_PERSONS}, s as (select stddev_samp(n_orders) as sn, stddev_samp(balance) as sb from persons),
+  changes as (select unnest(['n_orders', 'balance', 'avg_total', 'urgent', 'n_open']) as feature,
+    unnest([abs({_score("n_orders + sn", "balance")} - {_score("n_orders", "balance")}),
+      abs({_score("n_orders", "balance + sb")} - {_score("n_orders", "balance")}), 0.0, 0.0, 0.0]) as change
+    from persons, s)
+select feature, round(avg(change), 6) as causal_importance, round(stddev_samp(change), 6) as change_std
+from changes group by 1""")
+def given_probability_change(t):
+    out = X.mean_abs_change(LinearScore(), _persons(t), "person", FEATURES)
+    return out.withColumns({c: F.round(c, 6) for c in ("causal_importance", "change_std")})
