@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from oracle import TABLE_DIR, compare, connect
 
-FOLDER = f"{TABLE_DIR}/sf0.001"
+FOLDER, LARGER = f"{TABLE_DIR}/sf0.001", f"{TABLE_DIR}/sf0.01"
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
 
@@ -17,6 +17,8 @@ def con():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     verdict = compare(spark, con, name, QUERIES[name], SQL.get(name), FOLDER)
+    if verdict == "EMPTY":  # thresholds that the smallest tables don't reach: an empty match is none
+        verdict = compare(spark, connect(LARGER), name, QUERIES[name], SQL.get(name), LARGER)
     assert verdict == "ok" or verdict.startswith("rows only"), verdict
 
 
