@@ -114,3 +114,49 @@ def op5_substring_dedup(t: Tables) -> DataFrame:
     """Passages of 50 words and more that a smaller document holds as well."""
     found = substrings.repeated_spans(t.documents)
     return found.select(F.col("id").alias("doc_id"), F.col("kept").alias("kept_doc_id"), F.col("start").alias("start_word"), (F.col("end") - F.col("start")).alias("n_words"))
+
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM_WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SPACED_WORDS = rf"regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+')"
+
+SQL["op2_decontaminate"] = f"""
+with d as (select row_number() over () r, doc_id, {_ALNUM_WORDS} w from documents),
+i as (select item_id, w, least(10, len(w)) n from (select item_id, {_ALNUM_WORDS} w from benchmark) where len(w) > 0),
+iw as (select distinct item_id, n, array_to_string(w[k:k + n - 1], ' ') win from (
+    select *, unnest(range(1, len(w) - n + 2)) k from i)),
+dw as (select r, k, n, array_to_string(w[k:k + n - 1], ' ') win from (
+    select r, w, n, unnest(range(1, len(w) - n + 2)) k from d, (select distinct n from iw))),
+hit as (select r, k, n, item_id from dw join iw using (n, win)),
+place as (select r, count(distinct p) n_hit from (select r, unnest(range(k, k + n)) p from hit) group by r),
+named as (select r, count(distinct item_id) n_items,
+    sha256(string_agg(distinct item_id::varchar, ',' order by item_id::varchar)) ids from hit group by r)
+select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
+    coalesce(ids, sha256('')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join place using (r) left join named using (r)"""
+
+SQL["op4_minhash_near_dedup"] = f"""
+with recursive d as (select doc_id, {_SPACED_WORDS} w from documents),
+s as (select distinct doc_id, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(w[k:k + 4], ' ') end x
+    from (select *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) k from d where len(w) > 0)),
+n as (select doc_id, count(*) n from s group by 1),
+link as (select a, b from (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.x = b.x and a.doc_id <> b.doc_id group by 1, 2)
+    join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+reach as (select a, b from link union select r.a, l.b from reach r join link l on r.b = l.a),
+least as (select a doc_id, min(b) m from reach group by 1)
+select doc_id, coalesce(n, 0)::bigint n_shingles, least(doc_id, coalesce(m, doc_id)) component_id,
+    doc_id = least(doc_id, coalesce(m, doc_id)) kept
+from d left join n using (doc_id) left join least using (doc_id)"""
+
+SQL["op6_embedding_near_dedup"] = """
+with recursive v as (select vec_id, embedding::double[] e from embeddings),
+ok as (select vec_id, e from v where e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+    and list_sum(list_transform(e, lambda x: abs(x))) > 0),
+link as (select a.vec_id a, b.vec_id b from ok a join ok b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+    where list_cosine_similarity(a.e, b.e) >= 0.95),
+reach as (select a, b from link union select r.a, l.b from reach r join link l on r.b = l.a),
+least as (select a vec_id, min(b) m from reach group by 1),
+n as (select a vec_id, count(*) n from link group by 1)
+select vec_id, coalesce(n, 0)::bigint n_links, least(vec_id, coalesce(m, vec_id)) component_id,
+    vec_id = least(vec_id, coalesce(m, vec_id)) kept
+from v left join n using (vec_id) left join least using (vec_id)"""

@@ -45,6 +45,13 @@ def test_columns_and_rows(spark, name):
         assert df.count() == spark.read.parquet(f"{FOLDER}/{table}.parquet").count()
 
 
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_sql_twins(spark, name):
+    from oracle import compare, connect
+
+    assert compare(spark, connect(FOLDER), name, queries.QUERIES[name], queries.SQL[name], FOLDER) == "ok"
+
+
 def near_kept(docs, percent=80):
     sets = {d: shingles(t) for d, t in docs.items()}
     by = {}
