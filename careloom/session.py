@@ -19,6 +19,8 @@ def tune(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    # a batch for Python is held twice over by the task and its worker
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     return spark
 
 
