@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Texts handled at once inside a task; a longer text is a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def byte_table(separators: str, lower: bool = True) -> bytes:

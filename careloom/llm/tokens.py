@@ -25,7 +25,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from careloom.llm.text import as_texts, slices, split_words
 
 #: Pre-tokens that a task remembers; beyond that it starts again, which costs time only.
-KEPT = 400_000
+KEPT = 300_000
 #: Longer pre-tokens are encoded each time they occur in a batch and not remembered.
 LONGEST_KEPT = 64
 
