@@ -27,8 +27,8 @@ SPAN, K = 10, 5
 MARK = StructType([StructField("print", LongType()), StructField("at", LongType()), StructField("first", LongType()), StructField("words", ArrayType(StringType()))])
 
 
-def winnowed(hashes: np.ndarray, row: np.ndarray, span: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and fingerprints chosen from the words of many rows laid end to end."""
+def least_grams(hashes: np.ndarray, span: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The place of the smallest gram, the first of equal ones, in every ``span`` words; and all grams."""
     grams = gram_hashes(hashes, k)
     width = span - k + 1
     windows = len(grams) - width + 1
@@ -40,7 +40,13 @@ def winnowed(hashes: np.ndarray, row: np.ndarray, span: int, k: int) -> tuple[np
         less = later < least
         least[less] = later[less]
         at[less] = np.flatnonzero(less) + i
-    chosen = np.unique(at[row[:windows] == row[span - 1:]])
+    return at, grams
+
+
+def winnowed(hashes: np.ndarray, row: np.ndarray, span: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and fingerprints chosen from the words of many rows laid end to end."""
+    at, grams = least_grams(hashes, span, k)
+    chosen = np.unique(at[row[: len(at)] == row[span - 1:]]) if len(at) else at
     return chosen, grams[chosen]
 
 

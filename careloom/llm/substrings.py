@@ -5,18 +5,18 @@ recall; colliding ones are compared by the exact Jaccard similarity of their wor
 and components of similar paragraphs keep the one in the smallest document.
 
 A passage need not be a paragraph: it can begin and end inside one, or run over several. So
-that these are found as well, content-anchored paragraphs of ``PIECE`` words are matched
-whole: they begin where winnowing of word grams puts an anchor, and any run of words of at
-least ``least`` that two documents share holds one in both. Such matches are extended word by word to
-the passage's ends, and count if they reach ``least`` words.
+that these are found as well, every window of ``least`` words is matched by its hash, and the
+windows that a smaller document holds are merged. Content-anchored pieces of ``PIECE`` words spare
+most windows that: pieces begin where winnowing of word grams puts an anchor, and all
+that lie in a shared window by their anchors' own choice are shared pieces.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -25,9 +25,9 @@ from pyspark.sql.types import StructField, StructType
 
 from careloom.llm.banding import band_keys, blocked, clusters, digests, linked_components, numbered
 from careloom.llm.bits import bitmap, maybe_in, parted
-from careloom.llm.decontaminate import winnowed
+from careloom.llm.decontaminate import least_grams, winnowed
 from careloom.llm.neardup import shingle_sets
-from careloom.llm.text import SPACED, Words, as_texts, gram_hashes, slices, split_words
+from careloom.llm.text import SPACED, Words, as_texts, gram_hashes, mixed, slices, split_words
 from careloom.session import cut_lineage
 
 #: Words of a repeated passage at least.
@@ -36,8 +36,6 @@ LEAST_WORDS = 50
 BANDS, ROWS = 12, 3
 #: Words of an anchored piece; grams of so many words, of which one in so many is an anchor.
 PIECE, GRAM, WIDTH = 16, 4, 20
-#: Pieces of one passage lie no further apart, and its ends no further from them.
-GAP, REACH = 8, 32
 
 
 def long_lines(texts: pa.Array, least: int) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -110,8 +108,8 @@ def similar_paragraphs(rows: DataFrame, least: int, percent: int) -> DataFrame:
     return found.join(kept, "key").filter("id <> kept").select("id", "start", (F.col("start") + F.col("length")).alias("end"), "kept")
 
 
-def pieces(rows: DataFrame, bits: np.ndarray | None) -> DataFrame:
-    """``id, start, h`` of every anchored piece, or of those whose hash the bitmap may hold."""
+def pieces(rows: DataFrame) -> DataFrame:
+    """``id, h`` of every anchored piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -120,80 +118,136 @@ def pieces(rows: DataFrame, bits: np.ndarray | None) -> DataFrame:
                 hashes, bounds = words.hashes(), words.bounds
                 at, _ = winnowed(hashes, words.row, WIDTH + GRAM - 1, GRAM)
                 at = at[at + PIECE <= bounds[words.row[at] + 1]]
-                h = gram_hashes(hashes, PIECE)[at]
-                if bits is not None:
-                    sure = maybe_in(bits, h)
-                    at, h = at[sure], h[sure]
-                doc = words.row[at]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array((at - bounds[doc]).astype(np.int64)), pa.array(h.view(np.int64))], names=["id", "start", "h"])
-
-    return rows.mapInArrow(run, "id long, start long, h long")
-
-
-def piece_runs(rows: DataFrame) -> DataFrame:
-    """``id, kept, start, end, kept_start``: pieces shared with a smaller document, joined to runs."""
-    every = pieces(rows, None)
-    shared = every.groupBy("h").agg(F.min("id").alias("kept"), F.max("id").alias("last"), F.min_by("start", "id").alias("kept_start"))
-    shared = cut_lineage(shared.filter("kept <> last").drop("last"))
-    again = pieces(rows, bitmap(shared, F.col("h"))).join(shared, "h").filter("id <> kept")
-    shift = (F.col("start") - F.col("kept_start")).alias("shift")
-    line = Window.partitionBy("id", "kept", "shift").orderBy("start")
-    at = again.select("id", "kept", "start", shift).withColumn("gap", F.col("start") - F.lag("start").over(line) - PIECE)
-    at = at.withColumn("run", F.sum(F.when(F.col("gap") <= GAP, 0).otherwise(1)).over(line))
-    runs = at.groupBy("id", "kept", "shift", "run").agg(F.min("start").alias("start"), (F.max("start") + PIECE).alias("end"))
-    return cut_lineage(runs.select("id", "kept", "start", "end", (F.col("start") - F.col("shift")).alias("kept_start")))
-
-
-def word_hashes(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
-    """``id`` and hashes of all words of the documents that a column names, and some more."""
-    bits = bitmap(wanted, F.xxhash64(column))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(words.row[at])), pa.array(gram_hashes(hashes, PIECE)[at].view(np.int64))], names=["id", "h"])
+
+    return rows.mapInArrow(run, "id long, h long")
+
+
+def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Like ``gram_hashes`` with other values, at a cost that doesn't grow with ``n``."""
+    if len(words) < n:
+        return np.zeros(0, np.uint64)
+    factor = 0x9E3779B97F4A7C15
+    powers, back = (np.full(len(words), x, np.uint64) for x in (factor, pow(factor, -1, 1 << 64)))
+    powers[0] = back[0] = 1
+    with np.errstate(over="ignore"):
+        powers, back = np.cumprod(powers), np.cumprod(back)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers, dtype=np.uint64)])
+        return mixed((total[n:] - total[:-n]) * back[: len(words) - n + 1])
+
+
+@dataclass
+class Regions:
+    """Stretches of words in which every window of ``least`` words may be shared, laid end to end.
+
+    ``row``, ``start`` and ``count`` of windows of every region; ``hashes`` of all its windows.
+    """
+
+    row: np.ndarray
+    start: np.ndarray
+    count: np.ndarray
+    hashes: np.ndarray
+
+    @property
+    def firsts(self) -> np.ndarray:
+        return np.cumsum(self.count) - self.count
+
+    def offsets(self) -> np.ndarray:
+        """Of every window in its region."""
+        return np.arange(len(self.hashes)) - np.repeat(self.firsts, self.count)
+
+    def keys(self) -> list[bytes]:
+        """128 bits for the words of every region."""
+        with np.errstate(over="ignore"):
+            return digests(self.hashes ^ mixed(self.offsets().astype(np.uint64)), self.firsts) if len(self.row) else []
+
+    def tags(self, row_hash: np.ndarray) -> np.ndarray:
+        """64 bits for the place of every region."""
+        with np.errstate(over="ignore"):
+            return mixed(row_hash.view(np.uint64)[self.row] + mixed(self.start.astype(np.uint64))).view(np.int64)
+
+
+def regions(words: Words, bits: np.ndarray, least: int) -> Regions:
+    """The regions of all rows: where every piece that a shared window must hold may be a shared one."""
+    hashes, row, bounds = words.hashes(), words.row, words.bounds
+    windows = window_hashes(hashes, least)
+    if not len(windows):
+        none = np.zeros(0, np.int64)
+        return Regions(none, none, none, windows)
+    may = row[: len(windows)] == row[least - 1:]
+    inner = least - PIECE - WIDTH + 2
+    if inner > 0:
+        # the anchors of the first ``inner`` places begin pieces that end inside the window
+        at, _ = least_grams(hashes, WIDTH + GRAM - 1, GRAM)
+        piece = gram_hashes(hashes, PIECE)
+        missed = np.concatenate([[0], np.cumsum(~maybe_in(bits, piece)[np.minimum(at, len(piece) - 1)])])
+        may &= missed[inner: inner + len(windows)] == missed[: len(windows)]
+    places = np.flatnonzero(may)
+    new = np.ones(len(places), bool)
+    new[1:] = (np.diff(places) > 1) | (row[places[1:]] != row[places[:-1]])
+    first = places[new]
+    return Regions(row[first], first - bounds[row[first]], np.diff(np.append(np.flatnonzero(new), len(places))), windows[places])
+
+
+def region_rows(rows: DataFrame, bits: np.ndarray, least: int) -> DataFrame:
+    """``id, start, count`` of windows, ``key`` and ``tag`` of every region."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            whole = whole.filter(pa.array(maybe_in(bits, whole.column(2).to_numpy())))
             for batch in slices(whole, "text"):
-                words = split_words(as_texts(batch.column(1)), SPACED)
-                lists = pa.ListArray.from_arrays(pa.array(words.bounds, pa.int32()), pa.array(words.hashes().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "words"])
+                r = regions(split_words(as_texts(batch.column(1)), SPACED), bits, least)
+                tags = r.tags(batch.column(2).to_numpy())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r.row)), pa.array(r.start), pa.array(r.count), pa.array(r.keys(), pa.binary()), pa.array(tags)], names=["id", "start", "count", "key", "tag"])
+
+    return rows.withColumn("h", F.xxhash64("id")).mapInArrow(run, "id long, start long, count long, key binary, tag long")
 
-    # repeated rows of a document count once
-    return rows.withColumn("h", F.xxhash64("id")).mapInArrow(run, "id long, words array<long>").groupBy("id").agg(F.first("words").alias("words"))
 
+def region_windows(rows: DataFrame, bits: np.ndarray, wanted: np.ndarray, shared: np.ndarray | None, least: int) -> DataFrame:
+    """``id, start, at, h`` of the windows of the regions whose tags are wanted, and of some more.
 
-def around(start: str, end: str) -> list:
-    """Up to ``REACH`` words before and after a range of the joined document."""
-    low = F.greatest(F.col(start) - REACH, F.lit(0))
-    return [F.slice("words", (low + 1).cast("int"), (F.col(start) - low).cast("int")).alias("left"), F.slice("words", (F.col(end) + 1).cast("int"), F.lit(REACH)).alias("right")]
+    With a bitmap of hashes, of the windows that it may hold.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                r = regions(split_words(as_texts(batch.column(1)), SPACED), bits, least)
+                some = np.repeat(maybe_in(wanted, r.tags(batch.column(2).to_numpy())), r.count)
+                if shared is not None:
+                    some &= maybe_in(shared, r.hashes)
+                of = np.repeat(np.arange(len(r.row)), r.count)[some]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r.row[of])), pa.array(r.start[of]), pa.array(r.offsets()[some]), pa.array(r.hashes[some].view(np.int64))], names=["id", "start", "at", "h"])
 
-def common_length(pairs: Iterator, step: int) -> list[int]:
-    out = []
-    for a, b in pairs:
-        n = min(len(a), len(b))
-        a, b = np.asarray(a)[::step][:n], np.asarray(b)[::step][:n]
-        differ = np.flatnonzero(a != b)
-        out.append(int(differ[0]) if len(differ) else n)
-    return out
+    return rows.withColumn("h", F.xxhash64("id")).mapInArrow(run, "id long, start long, at long, h long")
 
 
 def shared_passages(rows: DataFrame, least: int) -> DataFrame:
-    """``id, start, end, kept`` of runs of ``least`` equal words and more that a smaller document holds."""
-    runs = piece_runs(rows)
-    ends = runs.select("id", "kept", "start", "end", "kept_start", (F.col("kept_start") + F.col("end") - F.col("start")).alias("kept_end"))
-    # the kept document's words around the run are looked up once for each of its places
-    places = ends.select("kept", "kept_start", "kept_end").distinct()
-    texts = word_hashes(rows, runs, "kept").withColumnRenamed("id", "kept")
-    near = places.join(texts, "kept").select("kept", "kept_start", "kept_end", *[c.alias(f"kept_{n}") for c, n in zip(around("kept_start", "kept_end"), ("left", "right"), strict=True)])
-    own = ends.join(word_hashes(rows, runs, "id"), "id").select("id", "kept", "start", "end", "kept_start", "kept_end", *around("start", "end"))
-    both = own.join(near, ["kept", "kept_start", "kept_end"]).select("id", "start", "end", "kept", "left", "right", "kept_left", "kept_right")
-
-    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["start"] -= common_length(zip(b["left"], b["kept_left"], strict=True), -1)
-            b["end"] += common_length(zip(b["right"], b["kept_right"], strict=True), 1)
-            yield b.loc[b["end"] - b["start"] >= least, ["id", "start", "end", "kept"]]
+    """``id, start, end, kept`` of all words in windows of ``least`` words that a smaller document holds.
 
-    return both.mapInPandas(extend, "id long, start long, end long, kept long")
+    Windows are compared by 64-bit hashes, so whoever else holds a part of one doesn't matter.
+    Shared pieces mark the regions that are worth it. Equal regions are one class, of
+    which the smallest document's windows are enough; the others' words are all held by it.
+    """
+    pairs = pieces(rows).groupBy("h").agg(F.min("id").alias("kept"), F.max("id").alias("last")).filter("kept <> last")
+    bits = bitmap(pairs, F.col("h"))
+    found = cut_lineage(region_rows(rows, bits, least))
+    classes = cut_lineage(found.groupBy("key").agg(F.min(F.struct("id", "start", "tag")).alias("first")).select("key", "first.*"))
+    wanted = bitmap(classes, F.col("tag"))
+    owners = region_windows(rows, bits, wanted, None, least).groupBy("h").agg(F.min("id").alias("kept"), F.max("id").alias("last"))
+    owners = cut_lineage(owners.filter("kept <> last").select("h", "kept"))
+    held = region_windows(rows, bits, wanted, bitmap(owners, F.col("h")), least).join(owners, "h").filter("id <> kept")
+    line = Window.partitionBy("id", "start").orderBy("at")
+    runs = held.withColumn("new", (F.col("at") - F.coalesce(F.lag("at").over(line), F.lit(-2)) > 1).cast("int"))
+    runs = runs.withColumn("run", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("id", "start", "run").agg(F.min("at").alias("low"), (F.max("at") + least).alias("high"), F.min("kept").alias("kept"))
+    ranges = runs.groupBy("id", "start").agg(F.collect_list(F.struct("low", "high", "kept")).alias("ranges"), F.min("kept").alias("kept"))
+    of_class = classes.select("key", F.col("id").alias("first"), F.col("start").alias("first_start"))
+    of_class = of_class.join(ranges.withColumnsRenamed({"id": "first", "start": "first_start"}), ["first", "first_start"], "left").select("key", "first", "ranges", F.coalesce("kept", "first").alias("kept"))
+    # alone in its class and with no window held elsewhere, a region says nothing
+    members = found.join(of_class, "key").filter("id <> first or ranges is not null")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("low"), (F.col("count") + least - 1).alias("high"), F.col("kept")))
+    each = members.select("id", "start", F.explode(F.when(F.col("id") == F.col("first"), F.col("ranges")).otherwise(whole)).alias("r"))
+    return each.select("id", (F.col("start") + F.col("r.low")).alias("start"), (F.col("start") + F.col("r.high")).alias("end"), "r.kept")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = LEAST_WORDS, percent: int = 80) -> DataFrame:

@@ -56,6 +56,37 @@ def test_short_runs_and_repeats_inside_one_document_stay(spark):
     assert substrings.repeated_spans(spark.createDataFrame(data, "doc_id long, text string")).count() == 0
 
 
+def words_held(rows, least=50):
+    """(id, place) of every word in a window that a smaller document holds."""
+    texts = {d: SPACED.findall(t.translate(LOW)) for d, t in rows}
+    owner = {}
+    for d in sorted(texts):
+        for i in range(len(texts[d]) - least + 1):
+            owner.setdefault(tuple(texts[d][i: i + least]), d)
+    return {(d, i + j) for d, w in texts.items() for i in range(len(w) - least + 1) if owner[tuple(w[i: i + least])] < d for j in range(least)}
+
+
+def words_found(spark, rows):
+    found = substrings.shared_passages(substrings.source_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "doc_id", "text"), 50)
+    return {(r["id"], i) for r in found.collect() for i in range(r["start"], r["end"])}
+
+
+def test_passage_whose_parts_smaller_documents_hold(spark):
+    rng = random.Random(17)
+    w = prose(rng, 71).split(" ")
+    parts = [w[:48], w[23:], w, w]
+    rows = [(i + 1, f"{prose(rng, 30)} {' '.join(p)} {prose(rng, 30)}") for i, p in enumerate(parts)]
+    assert words_found(spark, rows) == {(4, 30 + i) for i in range(71)} == words_held(rows)
+
+
+def test_recombined_lines(spark):
+    rng = random.Random(19)
+    lines = [prose(rng, rng.randint(5, 70)) for _ in range(30)]
+    rows = [(d, "\n".join(rng.choices(lines, k=rng.randint(2, 12)) + [prose(rng, rng.randint(0, 60))])) for d in range(50)]
+    rows += [(100 + d, t) for d, t in rows[:5]]
+    assert words_found(spark, rows) == words_held(rows)
+
+
 def test_cut_keeps_the_rest():
     assert substrings.cut("Aé b  c\nd e", [(1, 3)]) == "Aé\nd e"
     assert substrings.cut("a b c", [(0, 3)]) == ""
