@@ -79,6 +79,14 @@ def test_passage_whose_parts_smaller_documents_hold(spark):
     assert words_found(spark, rows) == {(4, 30 + i) for i in range(71)} == words_held(rows)
 
 
+def test_lines_that_the_kept_document_repeats(spark):
+    rng = random.Random(23)
+    lines = [prose(rng, 49) for _ in range(4)]
+    before, after = ([f"{x} {prose(rng, 25)}" for x in lines] for _ in range(2))
+    rows = [(1, "\n".join([*before, *lines, prose(rng, 25), *after])), (2, "\n".join([prose(rng, 10), *lines, prose(rng, 10)]))]
+    assert words_found(spark, rows) == {(2, 10 + i) for i in range(196)} == words_held(rows)
+
+
 def test_recombined_lines(spark):
     rng = random.Random(19)
     lines = [prose(rng, rng.randint(5, 70)) for _ in range(30)]
