@@ -174,8 +174,13 @@ def ranges_type() -> ArrayType:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` without those that hold a window of an item; rows without an id stay."""
-    found = find_items(docs, items, id_col, text, item_id, item_text)
-    hit = cut_lineage(found.filter("n_hit > 0").select(F.col(id_col).alias("__id")).filter("__id is not null").distinct())
-    whole, maybe = parted(docs, F.col(id_col), hit, "__id")
-    return whole.unionByName(maybe.join(hit, F.col(id_col) == F.col("__id"), "left_anti"))
+    """``docs`` without those that hold a window of an item, whatever their ids.
+
+    The verdict is joined back by the text's digest: rows of one id but of different texts
+    have one each, and so have rows without an id.
+    """
+    rows = docs.withColumn("__key", F.md5(F.col(text).cast("string")))
+    found = find_items(rows, items, "__key", text, item_id, item_text)
+    hit = cut_lineage(found.filter("n_hit > 0").select(F.col("__key").alias("__hit")).distinct())
+    whole, maybe = parted(rows, F.col("__key"), hit, "__hit")
+    return whole.unionByName(maybe.join(hit, F.col("__key") == F.col("__hit"), "left_anti")).drop("__key")

@@ -112,17 +112,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: the one that names it.
+    """``docs`` with one document of each component: the smallest id, then the smallest digest of the text.
 
-    Rows that repeat id and text stay once. Rows without an id stay, as nothing names them.
-    Rows of one id but of different texts go together if one of them goes.
+    Rows that repeat id and text stay once, also without an id. Every other row without an id
+    stays, as nothing names it. Rows of one id but of different texts are judged each by itself.
     """
-    found = near_duplicates(docs, id_col, text, percent).select(F.col(id_col).alias("__id"), "component_id").filter("__id is not null")
-    marks = found.groupBy("__id").agg(F.max(F.col("component_id") < F.col("__id")).alias("__goes"), F.count(F.lit(1)).alias("__n"))
-    marks = cut_lineage(marks.filter("__goes or __n > 1"))
-    whole, maybe = parted(docs, F.col(id_col), marks, "__id")
-    joined = maybe.join(marks, F.col(id_col) == F.col("__id"), "left").filter("not coalesce(__goes, false)")
+    source = F.col(id_col)
+    rows = docs.withColumn("__row", F.struct(source.isNull().alias("none"), source.alias("id"), F.md5(F.col(text).cast("string")).alias("text")))
+    found = near_duplicates(rows, "__row", text, percent).select("__row", "component_id")
+    goes = ~F.col("__row.none") & (F.col("component_id") < F.col("__row"))
+    marks = found.groupBy("__row").agg(F.max(goes).alias("__goes"), F.count(F.lit(1)).alias("__n"))
+    marks = cut_lineage(marks.filter("__goes or __n > 1").withColumnRenamed("__row", "__marked"))
+    whole, maybe = parted(rows, F.col("__row"), marks, "__marked")
+    joined = maybe.join(marks, F.col("__row") == F.col("__marked"), "left").filter("not coalesce(__goes, false)")
     repeated = F.coalesce(F.col("__n") > 1, F.lit(False))
     once = joined.filter(~repeated).select(*docs.columns)
     several = joined.filter(repeated).select(*docs.columns).dropDuplicates([id_col, text])
-    return whole.unionByName(once).unionByName(several)
+    return whole.select(*docs.columns).unionByName(once).unionByName(several)

@@ -56,6 +56,30 @@ def source_rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text")).filter("id is not null")
 
 
+def told_apart(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame | None]:
+    """``id, text`` in which every id has one text, and what the new ids stand for: ``no, id, text_key``.
+
+    Rows without an id, and those whose id has several texts, get ids past the largest one in the
+    order of id and text, so that the smallest document that keeps a passage has an id of its own
+    where there is one. The second table is None where no row needs that.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text")).withColumn("text_key", F.md5(F.coalesce("text", F.lit(""))))
+    texts = rows.groupBy("id").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high"))
+    several = cut_lineage(texts.filter("id is null or low <> high").select("id"))
+    if several.isEmpty():
+        return rows.select("id", "text"), None
+    whole, maybe = parted(rows, F.col("id"), several, "id")
+    odd = cut_lineage(maybe.filter("id is null").unionByName(maybe.join(several, "id", "left_semi")))
+    plain = cut_lineage(maybe.filter("id is not null").join(several, "id", "left_anti").select("id", "text"))
+    top = rows.agg(F.max("id")).first()[0]
+    names = odd.select("id", "text_key").distinct().orderBy(F.col("id").asc_nulls_last(), "text_key")
+    names = cut_lineage(names.withColumn("no", F.monotonically_increasing_id() + F.lit(0 if top is None else top + 1)))
+    other = names.select("no", F.col("id").alias("odd_id"), F.col("text_key").alias("odd_key"))
+    numbered_rows = odd.join(other, F.col("id").eqNullSafe(F.col("odd_id")) & (F.col("text_key") == F.col("odd_key")))
+    numbered_rows = cut_lineage(numbered_rows.select(F.col("no").alias("id"), "text"))
+    return whole.select("id", "text").unionByName(plain).unionByName(numbered_rows), names
+
+
 def paragraphs(rows: DataFrame, least: int) -> DataFrame:
     """``id, start, length`` in words, size of the shingle set, its digest as key, and bands."""
 
@@ -251,21 +275,29 @@ def shared_passages(rows: DataFrame, least: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = LEAST_WORDS, percent: int = 80) -> DataFrame:
-    """``id, start, end, kept``: word ranges to remove from a document, and the one that keeps them.
+    """``id, start, end, kept, text_key``: word ranges to remove from a document, and the one that keeps them.
 
     Ranges don't overlap or touch. Words are runs of anything but ASCII white space, compared with A-Z
     lower-cased. The smallest document of each component or shared run keeps its words; a
     passage that repeats in one document only stays. Null and empty texts have no ranges.
-    Documents without an id take no part; rows that share an id are taken for one document
-    repeated. Further columns are not read.
+    Rows that share id and text are taken for one document repeated. Rows without an id, and those that share
+    an id but not the text, are documents of their own that come after all others; ``text_key``, else
+    null, is then the MD5 of the text that the range is of. Further columns are not read.
     """
-    rows = source_rows(docs, id_col, text)
+    rows, names = told_apart(docs, id_col, text)
     found = similar_paragraphs(rows, least, percent).unionByName(shared_passages(rows, least)).distinct()
     before = Window.partitionBy("id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     new = F.col("start") > F.coalesce(F.max("end").over(before), F.lit(-1))
     order = Window.partitionBy("id").orderBy("start", "end", "kept")
     joined = found.withColumn("new", new).withColumn("part", F.sum(F.col("new").cast("int")).over(order))
-    return cut_lineage(joined.groupBy("id", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("kept").alias("kept")).drop("part"))
+    spans = joined.groupBy("id", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("kept").alias("kept")).drop("part")
+    if names is None:
+        return cut_lineage(spans.withColumn("text_key", F.lit(None).cast("string")))
+    of = names.select(F.col("no").alias("id"), F.col("id").alias("own"), "text_key")
+    keeps = names.select(F.col("no").alias("kept"), F.col("id").alias("keeper"), F.lit(True).alias("odd"))
+    spans = spans.join(of, "id", "left").join(keeps, "kept", "left")
+    own, keeper = F.when(F.col("text_key").isNull(), F.col("id")).otherwise(F.col("own")), F.when(F.col("odd"), F.col("keeper")).otherwise(F.col("kept"))
+    return cut_lineage(spans.select(own.alias("id"), "start", "end", keeper.alias("kept"), "text_key"))
 
 
 def cut(text: str, spans) -> str:
@@ -290,10 +322,15 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
 
     All columns stay, the text is the shortened one; documents without ranges stay as they are.
     """
-    listed = spans.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("ranges")).withColumnsRenamed({"id": "__id", "ranges": "__ranges"})
+    listed = spans.groupBy("id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("ranges"))
+    listed = cut_lineage(listed.withColumnsRenamed({"id": "__id", "text_key": "__key", "ranges": "__ranges"}))
     key = F.col(id_col).cast("long")
     whole, maybe = parted(docs, key, listed, "__id")
-    joined = maybe.join(listed, key == F.col("__id"), "left").drop("__id")
+    joined = maybe.join(listed.filter("__key is null").drop("__key"), key == F.col("__id"), "left").drop("__id")
+    odd = listed.filter("__key is not null").withColumnRenamed("__ranges", "__own")
+    if not odd.isEmpty():
+        same = key.eqNullSafe(F.col("__id")) & (F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))) == F.col("__key"))
+        joined = joined.join(odd, same, "left").withColumn("__ranges", F.coalesce("__own", "__ranges"))
     at = docs.columns.index(text)
     schema = StructType([StructField(f.name, f.dataType) for f in docs.schema])
 

@@ -53,6 +53,15 @@ def test_passage_at_every_offset(spark):
     assert decontaminate.drop_contaminated(df, item).count() == 0
 
 
+def test_every_row_has_its_own_verdict(spark):
+    rng = random.Random(31)
+    passage, clean = prose(rng, 12), prose(rng, 40)
+    df = spark.createDataFrame([(None, f"x {passage}"), (None, clean), (None, None), (1, passage), (1, clean)], "doc_id long, text string")
+    item = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    got = decontaminate.drop_contaminated(df, item).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(None, clean), (None, None), (1, clean)]))
+
+
 def test_empty_tables(spark, docs, no_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_items(no_docs, none).count() == 0

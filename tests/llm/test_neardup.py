@@ -38,6 +38,12 @@ def test_one_document_of_each_group_stays(docs, rows):
     assert ids.count(None) == 2
 
 
+def test_rows_of_one_id_are_judged_each_by_itself(spark):
+    one, other = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    df = spark.createDataFrame([(1, one), (2, one), (2, other), (None, "x y"), (None, "x y")], "doc_id long, text string")
+    assert sorted(map(repr, map(tuple, neardup.drop_near_duplicates(df).collect()))) == sorted(map(repr, [(1, one), (2, other), (None, "x y")]))
+
+
 def test_no_row_per_pair_of_copies(spark):
     df = spark.createDataFrame([(i, "the same few words in every one of these rows") for i in range(3000)], "doc_id long, text string")
     got = neardup.near_duplicates(df).collect()

@@ -95,6 +95,15 @@ def test_recombined_lines(spark):
     assert words_found(spark, rows) == words_held(rows)
 
 
+def test_every_row_has_its_own_ranges(spark):
+    rng = random.Random(29)
+    passage, clean, alone = prose(rng, 60), prose(rng, 70), prose(rng, 80)
+    rows = [(1, passage), (2, f"{alone} {passage}"), (2, clean), (2, None), (2, "one two"), (None, f"{passage} {clean}"), (None, "three")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = substrings.remove_spans(df, substrings.repeated_spans(df)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, passage), (2, alone), (2, clean), (2, None), (2, "one two"), (None, "three")]))
+
+
 def test_cut_keeps_the_rest():
     assert substrings.cut("Aé b  c\nd e", [(1, 3)]) == "Aé\nd e"
     assert substrings.cut("a b c", [(0, 3)]) == ""
