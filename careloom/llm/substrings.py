@@ -286,9 +286,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     rows, names = told_apart(docs, id_col, text)
     found = similar_paragraphs(rows, least, percent).unionByName(shared_passages(rows, least)).distinct()
-    before = Window.partitionBy("id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    new = F.col("start") > F.coalesce(F.max("end").over(before), F.lit(-1))
+    # one order for both: equal ranges that two documents keep must not change places in between
     order = Window.partitionBy("id").orderBy("start", "end", "kept")
+    new = F.col("start") > F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     joined = found.withColumn("new", new).withColumn("part", F.sum(F.col("new").cast("int")).over(order))
     spans = joined.groupBy("id", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("kept").alias("kept")).drop("part")
     if names is None:
