@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careloom.llm import decontaminate, embeddings, neardup, packing, quality, substrings, tokens, toxicity, urls, warc
+from careloom.llm import conversations, decontaminate, embeddings, licenses, neardup, packing, quality, spelling, substrings, tokens, toxicity, urls, warc
 from careloom.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,6 +116,25 @@ def op5_substring_dedup(t: Tables) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("kept").alias("kept_doc_id"), F.col("start").alias("start_word"), (F.col("end") - F.col("start")).alias("n_words"))
 
 
+@query
+def op11_spelling_variants(t: Tables) -> DataFrame:
+    """Words of all documents with their near words, most frequent form and root."""
+    return spelling.spelling_variants(t.documents)
+
+
+@query
+def op12_license_scan(t: Tables) -> DataFrame:
+    """License phrases and labels of every document."""
+    found = licenses.scan_licenses(t.documents.select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@query
+def op13_prefix_trie(t: Tables) -> DataFrame:
+    """Nodes of the prefix trie of all conversations, rebuilt around those that share first turns."""
+    return conversations.prefix_trie(t.conversations, every=20)
+
+
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM_WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _SPACED_WORDS = rf"regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+')"
@@ -160,3 +179,46 @@ n as (select a vec_id, count(*) n from link group by 1)
 select vec_id, coalesce(n, 0)::bigint n_links, least(vec_id, coalesce(m, vec_id)) component_id,
     vec_id = least(vec_id, coalesce(m, vec_id)) kept
 from v left join n using (vec_id) left join least using (vec_id)"""
+
+
+def _crc32(text: str) -> str:
+    """SQL for the checksum of a text of ASCII and Latin-1 letters, byte by byte."""
+    step = "list_reduce(list_concat([xor(c, b)], range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))"
+    code = f"list_transform(string_split({text}, ''), lambda x: ord(x)::bigint)"
+    both = f"flatten(list_transform({code}, lambda x: case when x < 128 then [x] else [192 + (x >> 6), 128 + (x & 63)] end))"
+    return f"xor(list_reduce(list_concat([4294967295::bigint], {both}), lambda c, b: {step}), 4294967295)"
+
+
+SQL["op11_spelling_variants"] = rf"""
+with recursive r as (select coalesce(doc_id::varchar, '') || ':' id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') run, count(*) n
+    from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) run from documents) group by all),
+h as (select run, n, {_crc32('id || run')} h from r),
+c as (select case when h % 31 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end word, sum(n)::bigint n from h group by 1),
+w as (select word, n from c where n >= 2 and length(word) >= 7),
+cut as (select word, n, i, left(word, i) || substr(word, i + 2) rest from (select *, unnest(range(0, length(word)))::int i from w)),
+near as (select a.word, a.n, b.word other, b.n other_n from cut a join cut b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+    union select a.word, a.n, b.word, b.n from cut a join w b on a.rest = b.word
+    union select b.word, b.n, a.word, a.n from cut a join w b on a.rest = b.word),
+best as (select word, count(*) n_near, arg_min(other, (-other_n, other)) form, max(other_n) form_n from near group by 1),
+f as (select w.word, w.n, coalesce(n_near, 0) n_near, case when form_n >= 10 * w.n then form end form, case when form_n >= 10 * w.n then form_n end form_n
+    from w left join best using (word)),
+walk as (select word, word here, 0 k from f union all select walk.word, f.form, k + 1 from walk join f on f.word = walk.here where f.form is not null),
+ends as (select word, arg_max(here, k) root from walk group by 1)
+select word, form, root, n, n_near, form_n from f join ends using (word)"""
+
+SQL["op13_prefix_trie"] = rf"""
+with turns as (select conv_id c, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) t,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint w from conversations where conv_id is not null),
+own as (select c, list({{'t': t, 'w': w}} order by turn nulls first, t) x from turns group by c),
+built as (select a.c, list_concat(case when h > 0 then coalesce(b.x, [])[1:h] else [] end, a.x[h + 1:]) x
+    from (select *, ({_crc32('c::varchar')} % 4)::int h from own) a left join own b on b.c = a.c - a.c % 20),
+member as (select c, d, len(x) size, array_to_string(list_transform(x[1:d], lambda y: y.t), '') k, case when d > 0 then x[d].w else 0 end w
+    from (select *, unnest(range(0, len(x) + 1))::int d from built)),
+node as (select d, k, min(c) conv_id, count(*) n_convs, any_value(w) w, sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (d = size), '')) ends_sha256
+    from member group by d, k),
+under as (select d - 1 d, left(k, (d - 1) * 32) k, count(*) n_children from node where d > 0 group by 1, 2),
+full_node as (select node.*, coalesce(n_children, 0) n_children from node left join under using (d, k)),
+sums as (select d, left(k, d * 32) k, sum((n_children = 0)::int)::bigint n_leaves, sum((n_convs - 1) * w)::bigint saved_tokens
+    from (select unnest(range(0, d + 1))::int d, k, n_children, n_convs, w from full_node) group by 1, 2)
+select n.conv_id, n.d::bigint as depth, p.conv_id parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+from full_node n join sums s using (d, k) left join node p on p.d = n.d - 1 and p.k = left(n.k, (n.d - 1) * 32)"""
