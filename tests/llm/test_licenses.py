@@ -65,14 +65,38 @@ def test_labels():
     assert {k: brute(k)[5] for k in want} == want
 
 
-def test_rules_are_reachable():
-    """Every keyword can occur in what its pattern matches, and no rule matches the empty text."""
+def spelled(parsed, rng):
+    """A random text that a parsed pattern matches."""
+    out = ""
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "MAX_REPEAT":
+            lo, hi, inner = arg
+            out += "".join(spelled(inner, rng) for _ in range(rng.randint(lo, min(int(hi), lo + 3))))
+        elif op == "SUBPATTERN":
+            out += spelled(arg[-1], rng)
+        elif op == "BRANCH":
+            out += spelled(rng.choice(arg[1]), rng)
+        elif op == "IN":
+            out += "0" if str(arg[0][0]) == "CATEGORY" and "DIGIT" in str(arg[0][1]) else "w" if str(arg[0][0]) == "CATEGORY" else chr(rng.choice(arg)[1])
+        else:
+            raise ValueError(op)
+    return out
+
+
+def test_keywords_stand_in_every_match():
+    """No rule matches the empty text, and no match lacks a keyword of its rule."""
+    rng = random.Random(1)
     rules = signatures.rules()
     assert len(rules) >= 300 and [r.rank for r in rules] == sorted(r.rank for r in rules)
-    for r in rules:
-        assert r.keywords and not re.search(rf"(?<![^ ])(?:{r.pattern})(?![^ ])", "")
-        for branch in re.split(r"\|(?![^(]*\))", r.pattern) if "(?:" not in r.pattern else [r.pattern]:
-            assert all(k in branch for k in r.keywords), r
+    scanner = licenses.Scanner(rules)
+    for i, r in enumerate(rules):
+        for _ in range(30):
+            words = spelled(re._parser.parse(r.pattern), rng).split()
+            assert words and i in scanner.gated({scanner.keywords[w] for w in words if w in scanner.keywords}), (r, words)
+            assert any(h.rule == i and h.start == 0 for h in scanner.hits(words, [i]))
 
 
 def test_words_of_detections(spark):
