@@ -1,16 +1,19 @@
 """Trajectories (ordered item sequences), warping distances, clusters and their features.
 
-A trajectory is a long table (person, position, item, ...). Distances to prototypes run on chunks of
-at most ``chunk_len`` steps, so a person of any length is spread over many tasks: a chunk yields
-a small min-plus matrix per prototype, and matrices are chained in a few rounds.
+A trajectory is a long table (person, position, item, ...). Distances cut both sides of a pair into
+chunks of at most ``chunk_len`` steps. The warping grid of the pair falls into blocks (chunk of one, chunk
+of the other), which run in anti-diagonal rounds: a block takes the costs along its upper and left
+border and hands on those along its lower and right one. No row, task or driver ever holds a whole
+trajectory; a pair of short ones is a single block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +23,6 @@ from careloom.operators.ordering import with_position
 from careloom.session import cut_lineage
 
 CHUNK = 16_384
-FAN = 16
 # Cells of a padded matrix of sequences that a task works on at once.
 CELLS = 1 << 21
 
@@ -60,19 +62,17 @@ def sequence_encode(traj: DataFrame) -> DataFrame:
     return traj.join(ids, "item")
 
 
-def _chunks(traj: DataFrame, value: str, chunk_len: int) -> DataFrame:
-    """(person, chunk, values in order); a chunk holds at most ``chunk_len`` steps."""
+def _chunks(traj: DataFrame, value: str, chunk_len: int) -> tuple[DataFrame, int]:
+    """(person, chunk, chunks, values in order), at most ``chunk_len`` steps each; the most chunks of a person."""
     chunk = F.floor((F.col("position") - 1) / chunk_len).alias("chunk")
     steps = F.struct("position", F.col(value).alias("v"))
     grouped = traj.groupBy("person", chunk).agg(F.sort_array(F.collect_list(steps)).alias("s"))
-    return grouped.select("person", "chunk", F.col("s.v").alias("values"))
-
-
-def _whole(traj: DataFrame, value: str) -> DataFrame:
-    """(person, values in order) of listed trajectories."""
-    steps = F.struct("position", F.col(value).alias("v"))
-    grouped = traj.groupBy("person").agg(F.sort_array(F.collect_list(steps)).alias("s"))
-    return grouped.select("person", F.col("s.v").alias("values"))
+    cut = cut_lineage(grouped.select("person", "chunk", F.col("s.v").alias("values")))
+    most = cut.agg(F.max("chunk")).first()[0]
+    if not most:
+        return cut.withColumn("chunks", F.lit(1).cast("bigint")), 1
+    spans = cut.groupBy("person").agg((F.max("chunk") + 1).alias("chunks"))
+    return cut.join(spans, "person"), most + 1
 
 
 def pick_prototypes(traj: DataFrame, k: int = 20) -> DataFrame:
@@ -81,23 +81,6 @@ def pick_prototypes(traj: DataFrame, k: int = 20) -> DataFrame:
     return traj.join(chosen, "person", "left_semi")
 
 
-def _prototype_values(protos: DataFrame, value: str) -> list[tuple]:
-    """(person, values) of the prototypes on the driver: k rows."""
-    rows = _whole(protos, value).orderBy("person").collect()
-    return [(r["person"], list(r["values"])) for r in rows]
-
-
-def _encode(values: pd.Series, ids: dict | None) -> tuple[np.ndarray, np.ndarray]:
-    """Padded integer matrix and lengths; items outside the prototypes all become -1."""
-    lengths = values.map(len).to_numpy()
-    flat = pd.Series([x for row in values for x in row], dtype=object)
-    codes = flat.map(ids).fillna(-1).to_numpy(dtype=float) if ids is not None else \
-        flat.to_numpy(dtype=float)
-    out = np.full((len(values), int(lengths.max(initial=0))), -1.0)
-    out[np.arange(out.shape[1])[None, :] < lengths[:, None]] = codes
-    return out, lengths
-
-
 def _by_cells(lengths: np.ndarray, cells: int = CELLS) -> list[np.ndarray]:
     """Row numbers in groups of like length, of at most so many cells when padded."""
     order = np.argsort(lengths, kind="stable")
@@ -109,59 +92,108 @@ def _by_cells(lengths: np.ndarray, cells: int = CELLS) -> list[np.ndarray]:
     return out
 
 
-def _chunk_udf(prototypes: list[np.ndarray], ids: dict | None, cost: str):
-    """Batch function (values, chunk, chunks of the person) -> distances, state or matrices."""
+def _padded(lists: pa.ListArray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the lists, and their flat values in rows filled up with -1."""
+    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    out = np.full((len(lists), int(lengths.max(initial=0))), -1.0)
+    out[np.arange(out.shape[1])[None, :] < lengths[:, None]] = flat
+    return lengths, out
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def chunk_costs(values: pd.Series, chunk: pd.Series, chunks: pd.Series) -> pd.Series:
-        out = pd.Series(np.empty(len(values), dtype=object))
-        for part in _by_cells(values.map(len).to_numpy()):
-            out.iloc[part] = costs_of(*(s.iloc[part] for s in (values, chunk, chunks)))
-        return out
 
-    def costs_of(values: pd.Series, chunk: pd.Series, chunks: pd.Series) -> list[np.ndarray]:
-        matrix, lengths = _encode(values, ids)
-        later = (chunk > 0).to_numpy()
-        single = (chunks == 1).to_numpy()
-        states = [
-            warping.run(warping.start_state(len(values), len(p)), matrix, lengths, p, cost)
-            for p in prototypes
-        ]
-        out = []
-        for i in range(len(values)):
-            if single[i]:
-                out.append(np.array([s[i, -1] for s in states]))
-            elif not later[i]:
-                out.append(np.concatenate([s[i, 1:] for s in states]))
-            else:
-                steps = matrix[i, : lengths[i]]
-                out.append(np.concatenate(
-                    [warping.transfer(steps, p, cost).ravel() for p in prototypes]))
-        return out
-
-    return chunk_costs
-
-
-def _chain_chunks(sizes: list[int]):
-    """Grouped function that chains up to FAN consecutive chunk costs of one person."""
-
-    def parts(flat: np.ndarray, first: bool) -> list[np.ndarray]:
-        shapes = [(1, m) if first else (m, m) for m in sizes]
-        ends = np.cumsum([a * b for a, b in shapes])
-        return [x.reshape(s) for x, s in zip(np.split(flat, ends[:-1]), shapes)]
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        first = int(pdf["chunk"].iloc[0]) == 0
-        total = parts(np.asarray(pdf["costs"].iloc[0]), first)
-        for flat in pdf["costs"].iloc[1:]:
-            total = [warping.chain(a, b) for a, b in zip(total, parts(np.asarray(flat), False))]
-        costs = np.concatenate([x.ravel() for x in total])
-        group = int(pdf["chunk"].iloc[0]) // FAN
-        return pd.DataFrame({"person": [pdf["person"].iloc[0]], "chunk": [group],
-                             "costs": [costs]})
-
-    return chain
+def _values(a: pa.ListArray, b: pa.ListArray, cost: str) -> tuple[np.ndarray, np.ndarray]:
+    """Flat numeric values of both sides; for mismatches equal numbers stand for equal values."""
+    flat_a, flat_b = a.flatten(), b.flatten()
+    if cost == "mismatch":
+        codes = pa.concat_arrays([flat_a, flat_b]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        return codes[: len(flat_a)].astype(float), codes[len(flat_a):].astype(float)
+    return tuple(x.cast(pa.float64()).to_numpy(zero_copy_only=False) for x in (flat_a, flat_b))
+
+
+def _border(lists: pa.ListArray, rows: np.ndarray, width: int) -> np.ndarray:
+    """The borders of the rows, infinite where there is none or where it ends."""
+    out = np.full((len(rows), width), np.inf)
+    for k, i in enumerate(rows):
+        if lists[int(i)].is_valid:
+            values = lists[int(i)].values.to_numpy()
+            out[k, : len(values)] = values
+    return out
+
+
+def _blocks(cost: str):
+    """Batch function over blocks: the distance of a pair's last block, or borders for its neighbours."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield from advanced(batch)
+
+    def advanced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        col = {n: batch.column(n) for n in batch.schema.names}
+        i, j, na, nb = (col[n].to_numpy() for n in ("i", "j", "na", "nb"))
+        flat_a, flat_b = _values(col["a"], col["b"], cost)
+        ends = [np.concatenate([[0], np.cumsum(pc.list_value_length(col[n]).to_numpy(zero_copy_only=False))]) for n in "ab"]
+        for part in _by_cells(np.maximum(np.diff(ends[0]), np.diff(ends[1]))):
+            pick = pa.array(part)
+            (la, a), (lb, b) = (
+                _padded(col[n].take(pick), np.concatenate([flat[e[k]: e[k + 1]] for k in part]))
+                for n, flat, e in (("a", flat_a, ends[0]), ("b", flat_b, ends[1]))
+            )
+            top = _border(col["top"], part, b.shape[1] + 1)
+            top[(i[part] == 0) & (j[part] == 0), 0] = 0.0
+            state, right = warping.block(top, _border(col["left"], part, a.shape[1]), a, la, b, lb, cost)
+            yield handed_on(batch.take(pick), state, right, la, lb, *(x[part] for x in (i, j, na, nb)))
+
+    def handed_on(batch, state, right, la, lb, i, j, na, nb) -> pa.RecordBatch:
+        last, below, beside = (i + 1 == na) & (j + 1 == nb), i + 1 < na, j + 1 < nb
+        order = np.concatenate([np.flatnonzero(x) for x in (last, below, beside)])
+        n = [int(x.sum()) for x in (last, below, beside)]
+        step = np.repeat([[0, 0], [1, 0], [0, 1]], n, axis=0)
+        none = [None]
+        tops = none * n[0] + [state[k, : lb[k] + 1] for k in np.flatnonzero(below)] + none * n[2]
+        lefts = none * (n[0] + n[1]) + [right[k, : la[k]] for k in np.flatnonzero(beside)]
+        far = [float(state[k, lb[k]]) for k in np.flatnonzero(last)] + none * (n[1] + n[2])
+        ids = [batch.column(c).take(pa.array(order)) for c in ("id_a", "id_b")]
+        whole = [pa.array(x, pa.int64()) for x in (i[order] + step[:, 0], j[order] + step[:, 1], na[order], nb[order])]
+        vectors = [pa.array(x, pa.list_(pa.float64())) for x in (tops, lefts)]
+        return pa.RecordBatch.from_arrays([*ids, *whole, *vectors, pa.array(far, pa.float64())], names=names)
+
+    names = ["id_a", "id_b", "i", "j", "na", "nb", "top", "left", "distance"]
+    return run
+
+
+def _warped(pairs: DataFrame, left: DataFrame, right: DataFrame, rounds: int, cost: str) -> DataFrame:
+    """(id_a, id_b, distance) of distinct pairs, infinite where a side has no steps.
+
+    ``left`` and ``right`` are chunk rows; ``rounds`` is the number of anti-diagonals of the largest grid.
+    """
+    a = left.select(F.col("person").alias("id_a"), F.col("chunk").alias("i"), F.col("values").alias("a"), F.col("chunks").alias("na"))
+    b = right.select(F.col("person").alias("id_b"), F.col("chunk").alias("j"), F.col("values").alias("b"), F.col("chunks").alias("nb"))
+    border = T.ArrayType(T.DoubleType())
+    zero = F.lit(0).cast("bigint")
+    start = pairs.select("id_a", "id_b", zero.alias("i"), zero.alias("j"))
+    now = start.join(a, ["id_a", "i"], "left").join(b, ["id_b", "j"], "left")
+    empty = now.filter("a is null or b is null").select("id_a", "id_b", F.lit(float("inf")).alias("distance"))
+    now = now.filter("a is not null and b is not null").withColumns({"top": F.lit(None).cast(border), "left": F.lit(None).cast(border)})
+    kinds = {f.name: f.dataType for f in now.schema}
+    whole = [T.StructField(c, T.LongType()) for c in ("i", "j", "na", "nb")]
+    schema = T.StructType([
+        *(T.StructField(c, kinds[c]) for c in ("id_a", "id_b")), *whole,
+        T.StructField("top", border), T.StructField("left", border), T.StructField("distance", T.DoubleType()),
+    ])
+    done = empty
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for i in range(rounds):
+        blocks = now.select("id_a", "id_b", "i", "j", "na", "nb", "a", "b", "top", "left")
+        # a block's work is the product of its sides: few bytes are no reason for few tasks
+        blocks = blocks.repartition(tasks, "id_a", "id_b", "i")
+        step = blocks.mapInArrow(_blocks(cost), schema)
+        if rounds > 1:
+            step = cut_lineage(step)
+        done = done.unionByName(step.filter("distance is not null").select("id_a", "id_b", "distance"))
+        if i + 1 < rounds:
+            met = step.filter("distance is null").groupBy("id_a", "id_b", "i", "j", "na", "nb").agg(F.max("top").alias("top"), F.max("left").alias("left"))
+            now = met.join(a.drop("na"), ["id_a", "i"]).join(b.drop("nb"), ["id_b", "j"])
+    return done
 
 
 def dtw_to_prototypes(
@@ -170,45 +202,21 @@ def dtw_to_prototypes(
 ) -> DataFrame:
     """Warping distance of every person to every prototype: (person, prototype, distance).
 
-    ``prototype`` counts from 1 in the order of the prototype ids. With ``cost='abs'`` the value
-    column must be numeric. The result is small next to what it costs, so its lineage is cut.
+    ``prototype`` counts from 1 in the order of the prototype ids; only these ids reach the driver. With
+    ``cost='abs'`` the value column must be numeric. The result is small next to what it costs, so its
+    lineage is cut.
     """
-    listed = _prototype_values(protos, value)
+    others, longest = _chunks(protos, value, chunk_len)
+    listed = [r[0] for r in others.filter("chunk = 0").select("person").orderBy("person").collect()]
     if not listed:
         raise ValueError("no prototypes")
-    ids = None
-    if cost == "mismatch":
-        ids = {x: i for i, x in enumerate(sorted({x for _, v in listed for x in v}))}
-    arrays = [np.array([ids[x] if ids is not None else x for x in v], dtype=float)
-              for _, v in listed]
-    k, sizes = len(arrays), [len(a) for a in arrays]
-    spans = traj.groupBy("person").agg(
-        (F.floor((F.max("position") - 1) / chunk_len) + 1).alias("chunks")
-    )
-    chunks = _chunks(traj, value, chunk_len)
-    longest = spans.agg(F.max("chunks").alias("n")).first()["n"] or 1
-    udf = _chunk_udf(arrays, ids, cost)
-    if longest == 1:
-        done = chunks.select("person", udf("values", "chunk", F.lit(1)).alias("costs"))
-    else:
-        costs = chunks.join(spans, "person").select(
-            "person", "chunk", "chunks", udf("values", "chunk", "chunks").alias("costs")
-        )
-        costs = cut_lineage(costs)
-        done = costs.filter("chunks = 1").select("person", "costs")
-        pending = costs.filter("chunks > 1").select("person", "chunk", "costs")
-        while longest > 1:
-            pending = pending.groupBy("person", F.floor(F.col("chunk") / FAN)).applyInPandas(
-                _chain_chunks(sizes), pending.schema
-            )
-            longest = -(-longest // FAN)
-        ends = np.cumsum(sizes)
-        last = F.array(*[F.col("costs")[int(e) - 1] for e in ends])
-        done = done.unionByName(pending.select("person", last.alias("costs")))
-    proto_ids = F.array(*[F.lit(p) for p, _ in listed])
-    return cut_lineage(done).select("person", F.posexplode("costs").alias("i", "distance")).select(
-        "person", (F.col("i") + 1).alias("prototype"), proto_ids[F.col("i")].alias("prototype_id"),
-        "distance",
+    steps, most = _chunks(traj, value, chunk_len)
+    ids = F.array(*[F.lit(p).cast(traj.schema["person"].dataType) for p in listed])
+    pairs = steps.filter("chunk = 0").select(F.col("person").alias("id_a"), F.explode(ids).alias("id_b"))
+    found = cut_lineage(_warped(pairs, steps, others, most + longest - 1, cost))
+    return found.select(
+        F.col("id_a").alias("person"), F.array_position(ids, F.col("id_b")).cast("int").alias("prototype"),
+        F.col("id_b").alias("prototype_id"), "distance",
     )
 
 
@@ -222,28 +230,17 @@ def distances_wide(distances: DataFrame, k: int) -> DataFrame:
 
 
 def dtw_pairs(
-    traj: DataFrame, pairs: DataFrame, value: str = "item_id", cost: str = "mismatch"
+    traj: DataFrame, pairs: DataFrame, value: str = "item_id", cost: str = "mismatch", chunk_len: int = CHUNK,
 ) -> DataFrame:
-    """Warping distance of the listed pairs (id_a, id_b), whatever their lengths.
+    """Warping distance of the distinct listed pairs (id_a, id_b), whatever their lengths.
 
-    The pairs are the caller's list: a full distance matrix of all persons is not formed.
+    The pairs are the caller's list: a full distance matrix of all persons is not formed. A pair with a
+    person without steps is infinitely far apart.
     """
+    pairs = pairs.select("id_a", "id_b").distinct()
     wanted = pairs.select(F.explode(F.array("id_a", "id_b")).alias("person")).distinct()
-    steps = traj.join(wanted, "person", "left_semi")
-    listed = _whole(steps, value)
-
-    @F.pandas_udf("double")
-    def pair_cost(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([
-            warping.distance(np.asarray(x, dtype=float), np.asarray(y, dtype=float), cost)
-            if x is not None and y is not None else float("inf")
-            for x, y in zip(a, b)
-        ])
-
-    left = listed.select(F.col("person").alias("id_a"), F.col("values").alias("__a"))
-    right = listed.select(F.col("person").alias("id_b"), F.col("values").alias("__b"))
-    both = pairs.join(left, "id_a", "left").join(right, "id_b", "left")
-    return both.select("id_a", "id_b", pair_cost("__a", "__b").alias("distance"))
+    steps, most = _chunks(traj.join(wanted, "person", "left_semi"), value, chunk_len)
+    return _warped(pairs, steps, steps, 2 * most - 1, cost)
 
 
 # --- clusters -----------------------------------------------------------------------------
@@ -310,13 +307,11 @@ def archetype_match(
     cost: str = "mismatch", chunk_len: int = CHUNK,
 ) -> DataFrame:
     """Distance of each person to its cluster's archetype, match score and rank in the cluster."""
-    people = types.select(F.col("archetype").alias("person")).distinct()
-    protos = traj.join(people, "person", "left_semi")
-    distances = dtw_to_prototypes(traj, protos, value, cost, chunk_len)
     own = clusters.select("person", "cluster").join(types.select("cluster", "archetype"), "cluster")
+    pairs = own.select(F.col("person").alias("id_a"), F.col("archetype").alias("id_b"))
+    distances = dtw_pairs(traj, pairs, value, cost, chunk_len)
     matched = own.join(
-        distances.select("person", F.col("prototype_id").alias("archetype"), "distance"),
-        ["person", "archetype"],
+        distances.withColumnsRenamed({"id_a": "person", "id_b": "archetype"}), ["person", "archetype"]
     ).withColumn("match_score", 1 / (1 + F.col("distance")))
     return with_position(
         matched, ["cluster"], [F.col("distance"), F.col("person")], F.floor("distance"),

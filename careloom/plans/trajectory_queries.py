@@ -8,6 +8,7 @@ from careloom.operators import frequency as Q
 from careloom.operators import trajectory as J
 from careloom.plans import claims_queries as C
 from careloom.plans.registry import query
+from careloom.session import cut_lineage
 
 
 def _traj(t):
@@ -78,7 +79,7 @@ _WIDE = ", ".join(
 
 @query(f"with recursive {_dtw('')} select person, {_WIDE} from dist group by 1")
 def dtw_features(t):
-    traj = _traj(t)
+    traj = cut_lineage(_traj(t))
     return J.distances_wide(J.dtw_to_prototypes(traj, _protos(t, traj)), 5)
 
 
@@ -89,7 +90,7 @@ def dtw_features(t):
     join seqs a on a.person = f.person join seqs b on b.person = f.pid""")}
 select person as id_a, prototype_id as id_b, distance from dist""")
 def dtw_neighbour_pairs(t):
-    traj = J.sequence_encode(_traj(t))
+    traj = cut_lineage(J.sequence_encode(_traj(t)))
     users = traj.select("person").distinct()
     following = J.with_position(users, [], [F.col("person")], None, "r")
     pairs = following.select(F.col("person").alias("id_a"), "r").join(
@@ -116,7 +117,7 @@ _CLUSTERS = f"{_dtw('')}, {_near('')}"
 @query(f"""with recursive {_CLUSTERS} select person, cluster, distance,
   round(silhouette, 6) as silhouette from clusters""")
 def trajectory_clusters(t):
-    out = _clusters(t, _traj(t))
+    out = _clusters(t, cut_lineage(_traj(t)))
     return out.withColumn("silhouette", F.round("silhouette", 6))
 
 
@@ -135,7 +136,7 @@ select cluster, cast(median_length as bigint) as median_length, archetype, count
   round(avg(l), 6) as cluster_target_rate
 from sized join types using (cluster) join labels using (person) group by 1, 2, 3""")
 def cluster_archetypes(t):
-    traj = _traj(t)
+    traj = cut_lineage(_traj(t))
     lengths = J.trajectory_lengths(traj)
     clusters = _clusters(t, traj)
     labels = traj.groupBy("person").agg((F.avg("noisy") > 0.2).cast("int").alias("is_target_case"))
@@ -152,7 +153,7 @@ select person, prototype_id as archetype, prototype as cluster, distance,
   round(1 / (1 + distance), 6) as match_score,
   row_number() over (partition by prototype order by distance, person) as match_rank from mdist""")
 def archetype_matches(t):
-    traj = _traj(t)
+    traj = cut_lineage(_traj(t))
     clusters = _clusters(t, traj)
     types = J.archetypes(clusters, J.trajectory_lengths(traj))
     out = J.archetype_match(traj, clusters, types)
@@ -165,7 +166,7 @@ select person, round(avg(distance), 6) as avg_distance_to_targets, min(distance)
   min_by(prototype_id, (distance, prototype_id)) as closest_target
 from dist where prototype_id in (select person from targets) group by 1""")
 def distances_to_targets(t):
-    traj = _traj(t)
+    traj = cut_lineage(_traj(t))
     targets = traj.groupBy("person").agg(F.avg("noisy").alias("r")).filter("r > 0.15")
     out = J.target_distances(J.dtw_to_prototypes(traj, _protos(t, traj)), targets)
     return out.withColumn(
@@ -178,7 +179,7 @@ def distances_to_targets(t):
 select cluster, item, n, row_number() over (partition by cluster order by n desc, item) as item_rank
 from counts qualify item_rank <= 3""")
 def cluster_top_items(t):
-    traj = _traj(t)
+    traj = cut_lineage(_traj(t))
     rows = traj.join(_clusters(t, traj).select("person", "cluster"), "person")
     return Q.cluster_profile(rows, "cluster", "item", 3)
 
@@ -220,5 +221,5 @@ select person, cluster_a, cluster_b, cast(cluster_b = u as integer) as cluster_m
 from joint join usual using (cluster_a)""")
 def cluster_agreement(t):
     rows = t.events.withColumn("big", F.when(F.col("value") > 100, "big").otherwise("small"))
-    other = J.trajectories(rows, "user_id", "big", "ts", ["event_id"])
-    return J.cluster_agreement(_clusters(t, _traj(t)), _clusters(t, other))
+    other = cut_lineage(J.trajectories(rows, "user_id", "big", "ts", ["event_id"]))
+    return J.cluster_agreement(_clusters(t, cut_lineage(_traj(t))), _clusters(t, other))

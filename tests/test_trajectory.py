@@ -65,6 +65,24 @@ def test_listed_pairs(spark):
                    (8, 3): brute(seqs[8], seqs[3]), (2, 99): float("inf")}
 
 
+@pytest.mark.parametrize("chunk_len", [9, 50])
+def test_pairs_in_blocks(spark, chunk_len):
+    """Grids of many blocks, among them one with a single column of chunks, and numeric costs."""
+    seqs = people(3, 6)
+    traj = frame(spark, seqs)
+    pairs = spark.createDataFrame([(a, b) for a in seqs for b in seqs if (a + b) % 2] + [(6, 6)], "id_a int, id_b int")
+    got = {(r[0], r[1]): r[2] for r in J.dtw_pairs(traj, pairs, "item", chunk_len=chunk_len).collect()}
+    assert got == {(a, b): brute(seqs[a], seqs[b]) for a, b in got} and len(got) == pairs.count()
+    codes = {(r[0], r[1]): r[2] for r in J.dtw_pairs(traj, pairs, "code", "abs", chunk_len=chunk_len).collect()}
+    assert codes == {(a, b): brute(seqs[a], seqs[b], lambda x, y: float(abs(ord(x) - ord(y)))) for a, b in codes}
+
+
+def test_no_row_holds_a_whole_trajectory(spark):
+    chunks, most = J._chunks(frame(spark, people()), "item", 7)
+    assert most == 23 and chunks.agg(F.max(F.size("values"))).first()[0] == 7
+    assert {r["chunks"] for r in chunks.filter("person = 25").collect()} == {23}
+
+
 def test_batches_are_cut_by_cells():
     lengths = np.array([5, 1, 9, 3, 3, 20])
     parts = J._by_cells(lengths, 10)
