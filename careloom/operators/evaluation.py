@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from careloom.operators import gram
+from careloom.operators.isotonic import isotonic_pools, with_pool_value
 from careloom.operators.ordering import with_running_total
 
 EPS = 1e-15
@@ -108,13 +109,18 @@ def classification_metrics(
 
 
 def calibrate(df: DataFrame, label: str, score: str, keep: Sequence[str] = ()) -> DataFrame:
-    """Isotonic calibration: each row with its calibrated probability."""
+    """Isotonic calibration: each row with its calibrated probability.
+
+    The fit pools distinct scores, see :mod:`careloom.operators.isotonic`. Rows without a label take no
+    part in it but are calibrated; a null score has no probability.
+    """
     rows = df.select(*keep, F.col(label).cast("double").alias("__label"),
                      F.col(score).cast("double").alias("__score"))
-    model = IsotonicRegression(
-        featuresCol="__score", labelCol="__label", predictionCol="calibrated"
-    ).fit(rows)
-    return model.transform(rows).withColumnsRenamed({"__label": label, "__score": score})
+    pools = isotonic_pools(rows, "__label", "__score")
+    scores = rows.filter("__score is not null").select("__score").distinct()
+    fitted = with_pool_value(scores, pools, "__score", "calibrated")
+    out = rows.join(fitted, "__score", "left").select(*keep, "__label", "__score", "calibrated")
+    return out.withColumnsRenamed({"__label": label, "__score": score})
 
 
 def best_model(results: DataFrame, model: str = "model", metric: str = "recall") -> DataFrame:
@@ -124,18 +130,19 @@ def best_model(results: DataFrame, model: str = "model", metric: str = "recall")
 
 
 def correlation_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Pairwise Pearson correlations of the listed features, in one pass."""
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
-    row = df.agg(*[correlation(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    entries = F.array(
-        *[
-            F.struct(F.lit(x).alias("feature_a"), F.lit(y).alias("feature_b"),
-                     F.col(f"c{i}").alias("correlation"))
-            for i, (a, b) in enumerate(pairs)
-            for x, y in ({(a, b), (b, a)})
-        ]
+    """Pairwise Pearson correlations of the listed features, in one pass over the rows.
+
+    Blocks of the Gram matrix are summed inside the tasks, see :mod:`careloom.operators.gram`. Nulls are
+    left out pair by pair; a constant feature has null correlations.
+    """
+    rows = df.select(
+        F.lit(0).cast("long").alias("key"), F.array(*[F.col(f).cast("double") for f in features]).alias("x")
+    )
+    found = gram.correlations(gram.pair_moments(rows, len(features)), len(features))
+    names = F.array(*[F.lit(f) for f in features])
+    return found.select(
+        names[F.col("a").cast("int")].alias("feature_a"), names[F.col("b").cast("int")].alias("feature_b"), "correlation"
     )
-    return row.select(F.inline(entries))
 
 
 def feature_distributions(

@@ -75,13 +75,11 @@ def with_pool_value(scores: DataFrame, pools: DataFrame, score: str, out: str) -
     both = ends.select("s", "v").unionByName(scores.select(F.col(score).alias("s"), F.lit(None).cast("double").alias("v")))
     cut = with_bucket(both.withColumn("end", F.when(F.col("v").isNotNull(), F.struct("s", "v"))), [], [F.col("s")], None)
     edges = cut.groupBy("__bucket").agg(F.min("end").alias("first"), F.max("end").alias("last"))
-    order = Window.orderBy("__bucket")  # one row per partition
-    before = F.last("last", True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("first", True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    edges = edges.select("__bucket", before.alias("__before"), after.alias("__after"))
-    inside = Window.partitionBy("__bucket").orderBy("s")
-    low = F.last("end", True).over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    high = F.first("end", True).over(inside.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    # one row per partition; upwards and downwards, so that every frame only grows
+    up, down = (Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1) for c in (F.col("__bucket"), F.col("__bucket").desc()))
+    edges = edges.select("__bucket", F.last("last", True).over(up).alias("__before"), F.last("first", True).over(down).alias("__after"))
+    rising, falling = (Window.partitionBy("__bucket").orderBy(c).rangeBetween(Window.unboundedPreceding, Window.currentRow) for c in (F.col("s"), F.col("s").desc()))
+    low, high = F.last("end", True).over(rising), F.last("end", True).over(falling)
     near = cut.join(edges, "__bucket").select("s", "v", F.coalesce(low, "__before").alias("low"), F.coalesce(high, "__after").alias("high"))
     share = F.try_divide(F.col("s") - F.col("low.s"), F.col("high.s") - F.col("low.s"))
     between = F.when(F.col("low.v") == F.col("high.v"), F.col("low.v")).otherwise(F.col("low.v") + share * (F.col("high.v") - F.col("low.v")))
