@@ -59,9 +59,9 @@ def classify_event(
 
 
 def event_sequence(
-    df: DataFrame, key: str, order: Sequence[str], bucket: Column, out: str = "event_sequence"
+    df: DataFrame, key: str, order: Sequence[str], bucket: Column | None = None, out: str = "event_sequence"
 ) -> DataFrame:
-    """Position of each event of a person in time order."""
+    """Position of each event of a person in time order; without a bucket by range partitions."""
     return with_position(df, [key], [F.col(c) for c in order], bucket, out)
 
 
@@ -88,7 +88,7 @@ def event_fact(
         rows = rows.filter(F.col(key).isNotNull() & F.col(date).isNotNull())
         if sequence:
             usable = [c for c in order if c in rows.columns]
-            rows = event_sequence(rows, key, usable, F.to_date(date))
+            rows = event_sequence(rows, key, usable)
         parts.append(rows.withColumns({"event_type": F.lit(name), "data_source": F.lit(name)}))
     return parts[0].unionByName(parts[1], allowMissingColumns=True)
 

@@ -13,7 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from careloom.operators.frequency import explode_slots
-from careloom.operators.ordering import top_n, with_neighbour, with_position, with_running_total
+from careloom.operators.ordering import (
+    range_bucket,
+    ranged,
+    top_n,
+    with_neighbour,
+    with_position,
+    with_running_total,
+)
 
 MICROS_PER_DAY = 86_400_000_000
 START, END = "Start", "End"
@@ -107,7 +114,6 @@ def first_target_index(
     log: DataFrame, patterns: Sequence[str], tie: Sequence[str], bucket: Column | None = None
 ) -> DataFrame:
     """Every event with its index, whether the case has a target, and the first target's index."""
-    bucket = F.to_date("ts") if bucket is None else bucket
     order = [F.col(c) for c in _order(tie)]
     numbered = with_position(log, ["case_id"], order, bucket, "event_index")
     is_target = matches(patterns)
@@ -185,7 +191,8 @@ def with_event_index(
     log: DataFrame, tie: Sequence[str], bucket: Column | None = None,
     case: Sequence[str] = ("case_id",),
 ) -> DataFrame:
-    bucket = F.to_date("ts") if bucket is None else bucket
+    """Position of each event in its case. A hot case, or a hot day of one, is spread over range
+    partitions; ``bucket`` names another cut that follows the order."""
     return with_position(log, list(case), [F.col(c) for c in _order(tie)], bucket, "event_index")
 
 
@@ -271,8 +278,16 @@ def drug_sequences(
 # --- directly follows ---------------------------------------------------------------------
 
 
+def _laid_out(
+    log: DataFrame, tie: Sequence[str], bucket: Column | None
+) -> tuple[DataFrame, Column]:
+    """The log in range partitions, built once for all that reads it, and its bucket."""
+    if bucket is not None:
+        return log, bucket
+    return ranged(log, ["case_id"], [F.col(c) for c in _order(tie)]), range_bucket()
+
+
 def _with_next(log: DataFrame, tie: Sequence[str], bucket: Column | None) -> DataFrame:
-    bucket = F.to_date("ts") if bucket is None else bucket
     return with_neighbour(log, ["case_id"], _order(tie), bucket, "activity", "next_activity")
 
 
@@ -286,6 +301,7 @@ def directly_follows(
 
 def process_matrix(log: DataFrame, tie: Sequence[str], bucket: Column | None = None) -> DataFrame:
     """Antecedent to consequent counts, with Start and End around every case."""
+    log, bucket = _laid_out(log, tie, bucket)
     steps = _with_next(log, tie, bucket).groupBy(
         F.col("activity").alias("antecedent"),
         F.coalesce("next_activity", F.lit(END)).alias("consequent"),
@@ -303,6 +319,7 @@ def process_map(
     log: DataFrame, tie: Sequence[str], bucket: Column | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Nodes (activity, n) and edges (antecedent, consequent, n) of the process map."""
+    log, bucket = _laid_out(log, tie, bucket)
     nodes = log.groupBy("activity").agg(F.count(F.lit(1)).alias("n"))
     return nodes, process_matrix(log, tie, bucket)
 
@@ -311,9 +328,9 @@ def process_features(
     log: DataFrame, tie: Sequence[str], drug_prefix: str = "DRUG:", bucket: Column | None = None
 ) -> DataFrame:
     """Path, time, repetition, entropy and drug features of each case."""
+    log, bucket = _laid_out(log, tie, bucket)
     gaps_in = with_neighbour(
-        log, ["case_id"], _order(tie), F.to_date("ts") if bucket is None else bucket,
-        F.struct("activity", "ts"), "__prev", step=-1,
+        log, ["case_id"], _order(tie), bucket, F.struct("activity", "ts"), "__prev", step=-1,
     )
     gap = F.timestamp_diff("MICROSECOND", F.col("__prev.ts"), F.col("ts")) / MICROS_PER_DAY
     is_drug = F.col("activity").startswith(drug_prefix)

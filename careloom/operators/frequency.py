@@ -340,9 +340,10 @@ def variant_trend(
 
 
 def day_gaps(
-    df: DataFrame, key: str, ts: str, order: Sequence[str], out: str = "gap_days"
+    df: DataFrame, key: str, ts: str, order: Sequence[str], out: str = "gap_days",
+    bucket: Column | None = None,
 ) -> DataFrame:
     """Days since the previous event of the key, safe for keys of any size."""
-    with_prev = with_neighbour(df, [key], order, F.to_date(ts), ts, "__prev", step=-1)
+    with_prev = with_neighbour(df, [key], order, bucket, ts, "__prev", step=-1)
     micros = F.timestamp_diff("MICROSECOND", F.col("__prev"), F.col(ts))
     return with_prev.withColumn(out, micros / 86_400_000_000).drop("__prev")

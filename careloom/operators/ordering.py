@@ -34,6 +34,20 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Data
     return left.join(other, same).drop(*names.values())
 
 
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Rows range-partitioned by key and order, and checkpointed; :func:`range_bucket` is then a bucket.
+
+    Rows that tie in the order are parted by a hash of their values, so that a tie isn't hot either.
+    """
+    values = [c for c, kind in df.dtypes if "map<" not in kind and kind != "variant"]
+    return cut_lineage(df.repartitionByRange(*[F.col(k) for k in keys], *order, F.xxhash64(*values)))
+
+
+def range_bucket() -> Column:
+    """The bucket of rows that :func:`ranged` has laid out."""
+    return F.spark_partition_id()
+
+
 def with_bucket(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column | None
 ) -> DataFrame:
@@ -41,10 +55,7 @@ def with_bucket(
 
     Range partitions are checkpointed: counting and numbering must see the same ones.
     """
-    if bucket is not None:
-        return df.withColumn(_BUCKET, bucket)
-    ranged = cut_lineage(df.repartitionByRange(*[F.col(k) for k in keys], *order))
-    return ranged.withColumn(_BUCKET, F.spark_partition_id())
+    return df.withColumn(_BUCKET, bucket) if bucket is not None else ranged(df, keys, order).withColumn(_BUCKET, range_bucket())
 
 
 def hash_text(seed: str | int, *cols: str) -> Column:

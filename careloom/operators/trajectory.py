@@ -29,9 +29,9 @@ CELLS = 1 << 21
 
 def trajectories(
     df: DataFrame, key: str, item: str, ts: str, tie: Sequence[str] = (), mode: str = "date",
-    days: str = "days_to_target_event", keep: Sequence[str] = (),
+    days: str = "days_to_target_event", keep: Sequence[str] = (), bucket: Column | None = None,
 ) -> DataFrame:
-    """Numbered steps of each person.
+    """Numbered steps of each person, by range partitions or by a ``bucket`` that follows the order.
 
     ``mode='date'`` orders by time; ``mode='days'`` by falling days to the target (unknown last),
     then time. The temporal position is the days to the target, 0 when unknown.
@@ -40,12 +40,9 @@ def trajectories(
     if mode == "days":
         late = F.col(days).isNull().cast("int")
         order = [late, F.col(days).desc(), F.col(ts), *map(F.col, tie)]
-        bucket = F.struct(late.alias("l"), F.coalesce(-F.col(days), F.lit(0)).alias("d"),
-                          F.to_date(ts).alias("t"))
         position = F.coalesce(F.col(days).cast("double"), F.lit(0.0))
     else:
         order = [F.col(ts), *map(F.col, tie)]
-        bucket = F.to_date(ts)
         position = F.lit(0.0)
     numbered = with_position(rows, [key], order, bucket, "position")
     return numbered.select(

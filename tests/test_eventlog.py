@@ -1,5 +1,6 @@
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from careloom.operators import eventlog as E
@@ -83,3 +84,23 @@ def test_event_log_ids_survive_recomputation(spark):
 def test_allowed_codes(spark):
     sets = spark.createDataFrame([(["a", "b"],), (["b"],)], "items array<string>")
     assert rows(E.allowed_codes(sets, "items", ["F1120"])) == [("F1120",), ("a",), ("b",)]
+
+
+@pytest.mark.parametrize("operator", ["index", "next"])
+def test_a_hot_day_of_a_case_is_many_tasks(spark, operator):
+    """Nine tenths of the rows on one case, day and time, told apart by an id only."""
+    log = spark.range(3000).select(
+        F.when(F.col("id") % 10 > 0, "hot").otherwise(F.col("id").cast("string")).alias("case_id"),
+        F.lit("2020-01-01 00:00:00").cast("timestamp").alias("ts"), F.col("id"), F.concat(F.lit("A"), F.col("id") % 7).alias("activity"),
+    ).repartition(8)
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merge, "false")  # a few kilobytes would be merged into one task
+    try:
+        out = E.with_event_index(log, ["id"]) if operator == "index" else E._with_next(log, ["id"], None)
+        tasks = out.filter("case_id = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set(merge, "true")
+    assert len(tasks) >= 4 and max(r["count"] for r in tasks) < 2700 / 2
+    if operator == "index":
+        hot = [r["event_index"] for r in out.filter("case_id = 'hot'").orderBy("id").collect()]
+        assert hot == list(range(1, 2701))
