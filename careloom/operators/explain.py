@@ -1,23 +1,28 @@
 """Decision rules of tree models, rule matching, explanations and what-if effects.
 
-A model's rules are few (one per leaf), so they travel as one literal inside the projection: the
-rows are neither joined nor shuffled to be matched.
+A model's rules come from the driver (one per leaf) and travel to the tasks as an index of bit vectors: the
+rows are neither joined nor shuffled to be matched, and no expression grows with the rules. What-if
+effects change elements of one feature array per row, and only those that the model uses.
 """
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Transformer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from careloom.operators.evaluation import correlation
-from careloom.operators.importance import assemble, positive_probability
+from careloom.operators import gram
+from careloom.operators.importance import feature_array, positive_probability, used_features
+from careloom.operators.leafindex import LeafIndex, as_matrix
+from careloom.session import cut_lineage
 
 RULE_SCHEMA = ("tree int, rule_id int, prediction double, "
                "literals array<struct<literal: int, feature: int, le: boolean, threshold: double>>")
@@ -74,29 +79,38 @@ def match_rules(
     rows: DataFrame, rules: DataFrame, features: Sequence[str], predicted: str | None = None
 ) -> DataFrame:
     """Add ``matched``: ids of the rules whose conditions all hold (and that predict the row's
-    class, when ``predicted`` is given)."""
-    text = json.dumps(_rule_rows(rules))
-    table = F.from_json(F.lit(text), f"array<struct<{_struct_fields()}>>")
-    values = F.array(*[F.col(f).cast("double") for f in features])
-
-    def holds(rule: Column) -> Column:
-        return F.forall(
-            rule["literals"],
-            lambda x: F.when(x["le"], values[x["feature"]] <= x["threshold"]).otherwise(
-                values[x["feature"]] > x["threshold"]
-            ),
-        )
+    class, when ``predicted`` is given), in the order of the rules.
+
+    The conditions are searched by :class:`careloom.operators.leafindex.LeafIndex`. A condition on a null
+    value does not hold; a rule without conditions holds everywhere.
+    """
+    listed = _rule_rows(rules)
+    index = LeafIndex([[(x["feature"], x["le"], x["threshold"]) for x in r["literals"]] for r in listed])
+    ids = np.array([r["rule_id"] for r in listed], dtype=np.int32)
+    classes = np.array([r["prediction"] for r in listed], dtype=float) if predicted else None
+    shared = rows.sparkSession.sparkContext.broadcast((index, ids, classes))
+    width = len(features)
+
+    def found(values: pa.Array, wanted: pa.Array | None) -> pa.Array:
+        tree, numbers, predictions = shared.value
+        if wanted is not None:
+            wanted = wanted.cast(pa.float64()).to_numpy(zero_copy_only=False)
+        offsets, places = tree.matched(*as_matrix(values, width), predictions, wanted)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(numbers[places]))
 
-    def wanted(rule: Column) -> Column:
-        hit = holds(rule)
-        return hit & (rule["prediction"] == F.col(predicted)) if predicted else hit
+    values = feature_array(features)
+    if predicted:
+        @F.arrow_udf("array<int>")
+        def holding(values: pa.Array, wanted: pa.Array) -> pa.Array:
+            return found(values, wanted)
 
-    return rows.withColumn("matched", F.transform(F.filter(table, wanted), lambda r: r["rule_id"]))
+        return rows.withColumn("matched", holding(values, F.col(predicted).cast("double")))
 
+    @F.arrow_udf("array<int>")
+    def holding_all(values: pa.Array) -> pa.Array:
+        return found(values, None)
 
-def _struct_fields() -> str:
-    return ("tree: int, rule_id: int, prediction: double, literals: array<struct<literal: int, "
-            "feature: int, le: boolean, threshold: double>>")
+    return rows.withColumn("matched", holding_all(values))
 
 
 def hitting_set(clauses: list[frozenset[int]]) -> list[int]:
@@ -124,7 +138,8 @@ def explain(
 ) -> DataFrame:
     """Add ``explanation``: conditions that touch every matched rule of the predicted class.
 
-    The set is irreducible. Rows with the same matched rules share one computation per batch.
+    The set is irreducible. It is worked out once per distinct set of matched rules, a table that is joined
+    back; the matched rows are checkpointed, as they are read twice.
     """
     listed = _rule_rows(rules)
     clauses = {r["rule_id"]: frozenset(x["literal"] for x in r["literals"]) for r in listed}
@@ -135,18 +150,12 @@ def explain(
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def conditions(matched: pd.Series) -> pd.Series:
-        known: dict[tuple, list[str]] = {}
-        out = []
-        for ids in matched:
-            key = tuple(ids)
-            if key not in known:
-                sets = [clauses[i] for i in key if clauses[i]]
-                known[key] = [texts[x] for x in hitting_set(sets)]
-            out.append(known[key])
-        return pd.Series(out)
+        sets = matched.map(lambda ids: [clauses[i] for i in ids if clauses[i]])
+        return sets.map(lambda own: [texts[x] for x in hitting_set(own)])
 
-    matched = match_rules(rows, rules, features, predicted)
-    return matched.withColumn("explanation", conditions("matched"))
+    matched = cut_lineage(match_rules(rows, rules, features, predicted))
+    distinct = matched.select("matched").distinct().withColumn("explanation", conditions("matched"))
+    return matched.join(distinct, "matched").select(*matched.columns, "explanation")
 
 
 def unmatched_rows(matched: DataFrame, predicted: str = "prediction") -> DataFrame:
@@ -245,48 +254,48 @@ def pair_interactions(steps: DataFrame, key: str, min_weight: int = 2) -> DataFr
 # --- what-if effects ----------------------------------------------------------------------
 
 
-def _feature_moments(rows: DataFrame, features: Sequence[str]) -> dict[str, tuple[bool, float]]:
-    """Per feature: is it a 0/1 column, and its deviation; one aggregate, one driver row."""
-    aggregates = []
-    for f in features:
-        c = F.col(f).cast("double")
-        both = (F.min(c) == 0) & (F.max(c) == 1) & F.bool_and(c.isin(0.0, 1.0))
-        aggregates += [F.coalesce(both, F.lit(False)).alias(f"{f}__b"),
-                       F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"{f}__s")]
-    row = rows.agg(*aggregates).first()
-    return {f: (row[f"{f}__b"], row[f"{f}__s"]) for f in features}
+def _feature_moments(rows: DataFrame, indices: Sequence[int]) -> dict[int, tuple[bool, float]]:
+    """Per element of ``x``: is it a 0/1 feature, and its deviation; one driver row per element."""
+    each = F.explode(F.transform(_ints(indices), lambda i: F.struct(i.alias("i"), F.col("x")[i].alias("v"))))
+    long = rows.select(each.alias("e")).select("e.i", "e.v")
+    binary = (F.min("v") == 0) & (F.max("v") == 1) & F.bool_and(F.col("v").isin(0.0, 1.0))
+    found = long.groupBy("i").agg(F.coalesce(binary, F.lit(False)).alias("b"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("s"))
+    return {r["i"]: (r["b"], r["s"]) for r in found.collect()}
+
+
+def _ints(values: Sequence[int]) -> Column:
+    return F.array(*[F.lit(int(i)) for i in values]).cast("array<int>")
 
 
-def shifted_variants(
-    rows: DataFrame, key: str, features: Sequence[str], keep: Sequence[str] = (),
-    signed: bool = True, only: str | None = None,
+def shifted(
+    rows: DataFrame, indices: Sequence[int], signed: bool = True, only: Column | None = None
 ) -> DataFrame:
-    """Every row once per feature with that feature flipped (0/1) or moved by one deviation.
+    """Every row once per listed element ``i`` of its array ``x``, with ``value`` in place of x[i].
 
-    ``signed`` moves away from zero, otherwise upwards (by 1 when the deviation is 0); ``only`` is
-    an array column that names the features to vary in the row.
+    A 0/1 element is flipped, another one moved by one deviation: away from zero if ``signed``, otherwise
+    upwards (by 1 when the deviation is 0). ``only`` is an array of the elements to vary in the row.
     """
-    moments = _feature_moments(rows, features)
-    variants = []
-    for g in features:
-        binary, std = moments[g]
-        c = F.col(g).cast("double")
-        if binary:
-            moved = 1 - c
-        elif signed:
-            moved = c + F.signum(c) * std
-        else:
-            moved = c + (std if std > 0 else 1.0)
-        variants.append(
-            F.struct(
-                F.lit(g).alias("varied"),
-                *[(moved if f == g else F.col(f).cast("double")).alias(f) for f in features],
-            )
-        )
-    listed = F.array(*variants)
-    if only:
-        listed = F.filter(listed, lambda v: F.array_contains(F.col(only), v["varied"]))
-    return rows.select(key, *keep, F.inline(listed))
+    moments = _feature_moments(rows, indices)
+    width = max(indices, default=-1) + 1
+    flips = F.array(*[F.lit(moments.get(i, (False, 0.0))[0]) for i in range(width)])
+    steps = F.array(*[F.lit(float(moments.get(i, (False, 0.0))[1])) for i in range(width)])
+    wanted = _ints(indices)
+    if only is not None:
+        wanted = F.array_intersect(wanted, only)
+    varied = rows.withColumn("i", F.explode(wanted))
+    now, step = F.col("x")[F.col("i")], steps[F.col("i")]
+    moved = now + F.signum(now) * step if signed else now + F.when(step > 0, step).otherwise(1.0)
+    return varied.withColumn("value", F.when(flips[F.col("i")], 1 - now).otherwise(moved))
+
+
+def with_change(varied: DataFrame) -> DataFrame:
+    """Adds the feature vector with the row's one change (x, i, value) made."""
+    changed = F.transform("x", lambda v, j: F.when(j == F.col("i"), F.col("value")).otherwise(v))
+    return varied.withColumn("features", array_to_vector(changed)).drop("x", "value")
+
+
+def _names(features: Sequence[str]) -> Column:
+    return F.array(*[F.lit(f) for f in features])
 
 
 def counterfactual_effect(
@@ -296,32 +305,44 @@ def counterfactual_effect(
     """Share of target-class rows whose prediction leaves the class when one explained feature
     is flipped or moved."""
     rows = explained.filter(F.col(predicted) == target)
-    named = F.transform(explanation, lambda x: F.split(x, " ")[0])
-    rows = rows.withColumn("__named", named)
-    varied = shifted_variants(rows, key, features, only="__named")
-    scored = model.transform(assemble(varied, features))
-    flips = scored.groupBy(F.col("varied").alias("feature")).agg(
-        F.count_if(F.col("prediction") != target).alias("flips")
+    places = F.transform(
+        explanation, lambda x: (F.array_position(_names(features), F.split(x, " ")[0]) - 1).cast("int")
     )
+    named = rows.select(key, feature_array(features).alias("x"), places.alias("named"))
+    varied = shifted(named, used_features(model, len(features)), only=F.col("named"))
+    scored = model.transform(with_change(varied.drop("named")))
+    flips = scored.groupBy("i").agg(F.count_if(F.col("prediction") != target).alias("flips"))
     n = rows.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n")).scalar()
     return flips.filter(F.col("flips") > 0).select(
-        "feature", (F.col("flips") / n).alias("causal_responsibility")
+        _names(features)[F.col("i")].alias("feature"), (F.col("flips") / n).alias("causal_responsibility")
     )
 
 
 def mean_abs_change(
     model: Transformer, rows: DataFrame, key: str, features: Sequence[str]
 ) -> DataFrame:
-    """Mean absolute change of the probability when a feature is flipped or raised."""
-    base = model.transform(assemble(rows, features)).select(
-        *[c for c in rows.columns], positive_probability().alias("__base")
-    )
-    varied = shifted_variants(base, key, features, keep=["__base"], signed=False)
-    scored = model.transform(assemble(varied, features))
+    """Mean absolute change of the probability when a feature is flipped or raised.
+
+    Features that the model doesn't use change nothing and aren't scored.
+    """
+    arrays = rows.select(key, feature_array(features).alias("x"))
+    base = model.transform(arrays.withColumn("features", array_to_vector("x")))
+    base = base.select(key, "x", positive_probability().alias("__base"))
+    used = used_features(model, len(features))
+    scored = model.transform(with_change(shifted(base, used, signed=False)))
     change = F.abs(positive_probability() - F.col("__base"))
-    return scored.groupBy(F.col("varied").alias("feature")).agg(
+    found = scored.groupBy("i").agg(
         F.avg(change).alias("causal_importance"), F.stddev_samp(change).alias("change_std")
     )
+    unused = [i for i in range(len(features)) if i not in set(used)]
+    n = rows.agg(F.count(F.lit(1)).alias("n"))
+    still = n.filter("n > 0").select(
+        F.explode(_ints(unused)).alias("i"), F.lit(0.0).alias("causal_importance"),
+        F.when(F.col("n") > 1, 0.0).alias("change_std"),
+    )
+    return found.unionByName(still).select(
+        _names(features)[F.col("i")].alias("feature"), "causal_importance", "change_std"
+    )
 
 
 def rule_change_effect(
@@ -331,36 +352,40 @@ def rule_change_effect(
     """Mean prediction change when a rule is broken and correlated features move along.
 
     Per rule: each literal's feature is set just beyond its threshold, and features correlated with
-    it move by correlation times its shift.
+    it among the rule's rows move by correlation times its shift. Correlations are formed between a
+    rule's own features and all others only.
     """
-    names = list(features)
-    literals = rules.select("rule_id", "literals")
-    rows = matched.select(key, predicted, *names, F.explode("matched").alias("rule_id"))
-    rows = rows.join(literals, "rule_id")
-    pairs = [(a, b) for a in names for b in names if a != b]
-    stats = rows.groupBy("rule_id").agg(
-        *[correlation(a, b).alias(f"{a}__{b}") for a, b in pairs] or [F.count(F.lit(1)).alias("__n")]
+    width = len(features)
+    targets: dict[int, dict[int, float]] = {}
+    for r in _rule_rows(rules):
+        for x in r["literals"]:  # the last condition on a feature is the tightest
+            targets.setdefault(r["rule_id"], {})[x["feature"]] = x["threshold"] + (1e-6 if x["le"] else -1e-6)
+    rows = matched.select(
+        key, F.col(predicted).cast("double").alias("__before"), feature_array(features).alias("x"),
+        F.explode("matched").alias("rule_id"),
+    )
+    rows = cut_lineage(rows)
+    spark = matched.sparkSession
+    rows_of = {r: sorted(own) for r, own in targets.items()}
+    held = rows.filter(F.col("rule_id").isin(list(rows_of)))
+    moments = gram.pair_moments(held.select(F.col("rule_id").cast("long").alias("key"), "x"), width, rows_of)
+    found = gram.correlations(moments, width, rows_of)
+    weight = F.when(F.col("a") == F.col("b"), 1.0).when(F.abs("correlation") > min_correlation, F.col("correlation")).otherwise(0.0)
+    weights = found.groupBy("key", "a").agg(F.sort_array(F.collect_list(F.struct("b", weight.alias("w")))).alias("s"))
+    ends = spark.createDataFrame([(r, i, to) for r, own in targets.items() for i, to in own.items()], "key long, a long, to double")
+    steps = weights.join(ends, ["key", "a"]).groupBy(F.col("key").cast("int").alias("rule_id")).agg(
+        F.sort_array(F.collect_list(F.struct("a", "to", F.col("s.w").alias("w")))).alias("steps")
     )
-    joined = rows.join(stats, "rule_id").withColumns({f"__o_{f}": F.col(f) for f in names})
-    for i, f in enumerate(names):
-        mine = F.filter("literals", lambda x: x["feature"] == i)
-        last = F.try_element_at(mine, F.lit(-1))
-        step = F.when(last["le"], 1e-6).otherwise(-1e-6)
-        moved = F.when(F.size(mine) > 0, last["threshold"] + step).otherwise(F.col(f"__o_{f}"))
-        joined = joined.withColumn(f"__s_{f}", moved - F.col(f"__o_{f}"))
-    for f in names:
-        shift = F.col(f"__s_{f}")
-        for g in names:
-            if g != f:
-                r = F.coalesce(F.col(f"{g}__{f}"), F.lit(0.0))
-                shift = shift + F.when(F.abs(r) > min_correlation, r * F.col(f"__s_{g}")).otherwise(
-                    0.0
-                )
-        joined = joined.withColumn(f, F.col(f"__o_{f}") + shift)
-    slim = joined.select(key, "rule_id", F.col(predicted).alias("__before"), *names)
-    scored = model.transform(assemble(slim, names))
+
+    def moved(now: Column, step: Column) -> Column:
+        shift = step["to"] - F.col("x")[step["a"].cast("int")]
+        return F.zip_with(now, step["w"], lambda v, w: v + w * shift)
+
+    joined = rows.join(steps, "rule_id", "left")
+    changed = F.when(F.col("steps").isNull(), F.col("x")).otherwise(F.reduce("steps", F.col("x"), moved))
+    slim = joined.select(key, "rule_id", "__before", array_to_vector(changed).alias("features"))
     change = F.abs(F.col("__before") - F.col("prediction"))
-    return scored.groupBy("rule_id").agg(F.avg(change).alias("causal_importance"))
+    return model.transform(slim).groupBy("rule_id").agg(F.avg(change).alias("causal_importance"))
 
 
 def rule_validation(

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Transformer
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +18,12 @@ from careloom.operators.features import mc_splits
 from careloom.operators.ordering import hash_bucket, hash_text, with_position
 from careloom.session import cut_lineage
 
-BASELINE = "__baseline"
+#: Number that stands for no permuted feature.
+BASELINE = -1
+#: Models that are fitted at the same time, each from a thread of the driver.
+FITS = 4
+#: Splits that one word of a fold mask holds.
+MASK_BITS = 62
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
@@ -26,6 +34,19 @@ def positive_probability() -> Column:
     return vector_to_array("probability")[1]
 
 
+def feature_array(features: Sequence[str]) -> Column:
+    return F.array(*[F.col(f).cast("double") for f in features])
+
+
+def used_features(model: Transformer, n: int) -> list[int]:
+    """Numbers of the features that can change a prediction: all n if the model doesn't tell."""
+    for name in ("featureImportances", "coefficients"):
+        weights = getattr(model, name, None)
+        if weights is not None:
+            return [int(i) for i in np.flatnonzero(weights.toArray())]
+    return list(range(n))
+
+
 def permuted(df: DataFrame, key: str, features: Sequence[str], seed: str | int) -> DataFrame:
     """Each row with the feature values of a random other row in ``donor``.
 
@@ -33,6 +54,10 @@ def permuted(df: DataFrame, key: str, features: Sequence[str], seed: str | int)
     a driver, a global sort or a random function that a retry could change.
     """
 
+    return _with_donor(df, key, F.struct(*features), seed)
+
+
+def _with_donor(df: DataFrame, key: str, donor: Column, seed: str | int) -> DataFrame:
     def numbered(tag: str, *cols: Column) -> DataFrame:
         rows = df.withColumn("__h", hash_text(f"{seed}-{tag}", key))
         ranked = with_position(
@@ -41,46 +66,49 @@ def permuted(df: DataFrame, key: str, features: Sequence[str], seed: str | int)
         return ranked.select("__r", *cols)
 
     own = numbered("row", *map(F.col, df.columns))
-    donor = numbered("donor", F.struct(*features).alias("donor"))
-    return own.join(donor, "__r").drop("__r")
+    return own.join(numbered("donor", donor.alias("donor")), "__r").drop("__r")
 
 
-def permuted_variants(
+def permuted_arrays(
     df: DataFrame, key: str, label: str, features: Sequence[str], seed: str | int
 ) -> DataFrame:
-    """Rows as they are (variant '__baseline') and once per feature with that feature permuted."""
-    both = permuted(df.select(key, label, *features), key, features, seed)
-    variants = [F.struct(F.lit(BASELINE).alias("variant"), *[F.col(f) for f in features])]
-    for g in features:
-        variants.append(
-            F.struct(
-                F.lit(g).alias("variant"),
-                *[(F.col(f"donor.{f}") if f == g else F.col(f)).alias(f) for f in features],
-            )
-        )
-    return both.select(key, label, F.inline(F.array(*variants)))
+    """(key, label, x, donor): each row's features and those of a random other row, as arrays."""
+    rows = df.select(key, label, feature_array(features).alias("x"))
+    return cut_lineage(_with_donor(rows, key, F.col("x"), seed))
 
 
 def split_importance(
-    model: Transformer, test: DataFrame, key: str, label: str, features: Sequence[str],
-    seed: str | int,
+    model: Transformer, test: DataFrame, label: str, features: Sequence[str]
 ) -> DataFrame:
     """Recall and log loss of the model, and what each loses when one feature is permuted.
 
-    All variants are scored by one transform.
+    ``test`` comes from :func:`permuted_arrays`. A variant is a row and the number of the feature that the
+    donor gives; all variants are scored by one transform. Features that the model doesn't use
+    lose nothing and aren't varied.
     """
-    rows = assemble(permuted_variants(test, key, label, features, seed), features)
-    scored = model.transform(rows).withColumn("__p", positive_probability())
-    scores = scored.groupBy("variant").agg(
+    used = used_features(model, len(features))
+    numbers = F.array(*[F.lit(i) for i in [BASELINE, *used]])
+    varied = test.select(label, "x", "donor", F.explode(numbers).alias("i"))
+    values = F.transform("x", lambda v, j: F.when(j == F.col("i"), F.col("donor")[j]).otherwise(v))
+    scored = model.transform(varied.select(label, "i", array_to_vector(values).alias("features")))
+    scored = scored.withColumn("__p", positive_probability())
+    scores = scored.groupBy("i").agg(
         ev.recall(label, "prediction").alias("recall"), ev.log_loss(label, "__p").alias("logloss")
     )
     scores = cut_lineage(scores)
-    base = scores.filter(F.col("variant") == BASELINE)
-    rest = scores.filter(F.col("variant") != BASELINE).withColumns(
-        {f"base_{m}": base.select(m).scalar() for m in ("recall", "logloss")}
+    base = scores.filter(F.col("i") == BASELINE).select(
+        F.col("recall").alias("base_recall"), F.col("logloss").alias("base_logloss")
     )
-    return rest.select(
-        F.col("variant").alias("feature"), "base_recall", "base_logloss",
+    lost = {r["i"]: (r["recall"], r["logloss"]) for r in scores.filter(F.col("i") != BASELINE).collect()}
+    # one row per feature: the model's own list is as long
+    entries = F.array(*[
+        F.struct(F.lit(f).alias("feature"), *[
+            (F.lit(lost[i][k]) if i in lost else F.col(f"base_{m}")).alias(m) for k, m in enumerate(("recall", "logloss"))
+        ])
+        for i, f in enumerate(features)
+    ])
+    return base.select("base_recall", "base_logloss", F.inline(entries)).select(
+        "feature", "base_recall", "base_logloss",
         (F.col("base_recall") - F.col("recall")).alias("recall_drop"),
         (F.col("logloss") - F.col("base_logloss")).alias("logloss_rise"),
     )
@@ -94,27 +122,48 @@ def scaled(importance: Column, performance: Column, metric: str) -> Column:
                   importance / performance).otherwise(F.lit(0.0))
 
 
+def fold_masks(splits: DataFrame, key: str, n_splits: int) -> DataFrame:
+    """(key, mask): bit i - 1 of the mask's words says whether the row trains in split i."""
+    words = -(-n_splits // MASK_BITS)
+    place = F.col("split") - 1
+    bits = [
+        F.coalesce(F.bit_or(F.when(F.floor(place / MASK_BITS) == w, F.call_function("shiftleft", F.lit(1).cast("long"), (place % MASK_BITS).cast("int")))), F.lit(0).cast("long"))
+        for w in range(words)
+    ]
+    return splits.groupBy(key).agg(F.array(*bits).alias("mask"))
+
+
+def in_split(split: int) -> Column:
+    word, bit = divmod(split - 1, MASK_BITS)
+    return F.col("mask")[word].bitwiseAND(F.lit(1 << bit)) != 0
+
+
 def mc_cv_importance(
     train: DataFrame, test: DataFrame, key: str, label: str, features: Sequence[str],
     models: Mapping[str, Estimator], n_splits: int = 25, train_prop: float = 0.8,
-    metric: str = "recall", seed: str | int = 42,
+    metric: str = "recall", seed: str | int = 42, fits: int = FITS,
 ) -> DataFrame:
     """Permutation importance per method, split and feature; the test rows are the same always.
 
-    The driver only walks the fits; rows, splits and scores stay in Spark.
+    Training rows are written once, with a mask of the splits they train in; a split is a filter on it. The
+    driver only walks the fits, ``fits`` of them at a time; rows, splits and scores stay in Spark.
     """
-    splits = cut_lineage(mc_splits(train, key, label, n_splits, train_prop, seed))
-    table = assemble(train, features)
-    parts = []
-    for i in range(1, n_splits + 1):
-        chosen = splits.filter(F.col("split") == i).select(key)
-        rows = table.join(chosen, key, "left_semi")
+    masks = fold_masks(mc_splits(train, key, label, n_splits, train_prop, seed), key, n_splits)
+    table = cut_lineage(assemble(train, features).select(key, label, "features").join(masks, key))
+
+    def one_split(split: int) -> list[DataFrame]:
+        rows = table.filter(in_split(split)).drop("mask")
+        varied = permuted_arrays(test, key, label, features, f"{seed}-{split}")
+        found = []
         for name, estimator in models.items():
             model = estimator.copy({estimator.getParam("labelCol"): label}).fit(rows)
-            found = split_importance(model, test, key, label, features, f"{seed}-{i}")
-            parts.append(
-                found.select(F.lit(name).alias("method"), F.lit(i).alias("split"), "*")
-            )
+            part = split_importance(model, varied, label, features)
+            found.append(part.select(F.lit(name).alias("method"), F.lit(split).alias("split"), "*"))
+        return found
+
+    with ThreadPoolExecutor(max_workers=max(1, fits)) as pool:
+        target = inheritable_thread_target(train.sparkSession)(one_split)
+        parts = [part for found in pool.map(target, range(1, n_splits + 1)) for part in found]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -8,7 +8,7 @@ from pyspark.ml.classification import (
     GBTClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from careloom.operators import evaluation as V
@@ -583,7 +583,8 @@ class LinearScore(Transformer):
     """A fixed linear score that stands in for a fitted model: what SQL can say as well."""
 
     def _transform(self, dataset):
-        z = 0.3 * (F.col("n_orders") - 12) + (F.col("balance") - 4000) / 2000
+        x = vector_to_array("features")
+        z = 0.3 * (x[_N_ORDERS] - 12) + (x[_BALANCE] - 4000) / 2000
         p = 1 / (1 + F.exp(-z))
         scored = dataset.withColumn("probability", array_to_vector(F.array(1 - p, p)))
         return scored.withColumn("prediction", (p >= 0.5).cast("double"))
@@ -616,3 +617,79 @@ from changes group by 1""")
 def given_probability_change(t):
     out = X.mean_abs_change(LinearScore(), _persons(t), "person", FEATURES)
     return out.withColumns({c: F.round(c, 6) for c in ("causal_importance", "change_std")})
+
+
+@query(f"""with {_GIVEN}, hits as (select unnest(m) as rule_id, * from matched),
+  r as (select rule_id, coalesce(corr(n_orders, balance), 0) as r from hits group by 1),
+  s as (select hits.*, case when abs(r) > 0.3 then r else 0 end as r,
+      case rule_id when 0 then 9 + 1e-6 - n_orders when 1 then 12 - 1e-6 - n_orders when 3 then 6 - 1e-6 - n_orders
+        when 4 then 12 - 1e-6 - n_orders else 0 end as sn,
+      case rule_id when 1 then 4000 + 1e-6 - balance when 2 then 4000 - 1e-6 - balance when 3 then 4000 - 1e-6 - balance
+        when 4 then 2000 - 1e-6 - balance else 0 end as sb from hits join r using (rule_id))
+select rule_id, round(avg(abs(prediction - case when {_score("n_orders + sn + r * sb", "balance + sb + r * sn")} >= 0.5
+  then 1 else 0 end)), 6) as causal_importance from s group by 1""")
+def given_rule_changes(t):
+    rules, explained = _given(t)
+    out = X.rule_change_effect(LinearScore(), explained, rules, "person", FEATURES)
+    return out.withColumn("causal_importance", F.round("causal_importance", 6))
+
+
+class DebugText:
+    """The text form of a fitted forest of two trees."""
+
+    toDebugString = """RandomForestClassificationModel: uid=given, numTrees=2, numClasses=2, numFeatures=5
+  Tree 0 (weight 1.0):
+    If (feature 0 <= 9.0)
+     Predict: 0.0
+    Else (feature 0 > 9.0)
+     If (feature 4 <= 4000.5)
+      If (feature 0 <= 15.0)
+       Predict: 0.0
+      Else (feature 0 > 15.0)
+       Predict: 1.0
+     Else (feature 4 > 4000.5)
+      Predict: 1.0
+  Tree 1 (weight 1.0):
+    If (feature 2 <= 0.5)
+     Predict: 0.0
+    Else (feature 2 > 0.5)
+     Predict: 1.0
+"""
+
+
+@query(f"""with {_PERSONS}, leaves as (select * from (values
+    (0, 0, 0.0, 'n_orders <= 9.0'), (0, 1, 0.0, 'n_orders > 9.0 AND balance <= 4000.5 AND n_orders <= 15.0'),
+    (0, 2, 1.0, 'n_orders > 9.0 AND balance <= 4000.5 AND n_orders > 15.0'), (0, 3, 1.0, 'n_orders > 9.0 AND balance > 4000.5'),
+    (1, 4, 0.0, 'urgent <= 0.5'), (1, 5, 1.0, 'urgent > 0.5')) v(tree, rule_id, prediction, conditions)),
+  hits as (select unnest([case when n_orders <= 9 then 0 when balance > 4000.5 then 3 when n_orders <= 15 then 1 else 2 end,
+    case when urgent <= 0.5 then 4 else 5 end]) as rule_id from persons)
+select tree, leaves.rule_id, cast(prediction as double) as prediction, conditions, count(hits.rule_id) as persons
+from leaves left join hits using (rule_id) group by all""")
+def given_tree_rules(t):
+    """Leaves of a given forest and the persons that fall into each."""
+    rules = X.tree_rules(t.spark, DebugText())
+    hits = X.match_rules(_persons(t), rules, FEATURES).select(F.explode("matched").alias("rule_id"))
+    counts = hits.groupBy("rule_id").agg(F.count("*").alias("persons"))
+    return rules.join(counts, "rule_id", "left").select(
+        "tree", "rule_id", "prediction", F.coalesce("persons", F.lit(0)).alias("persons"),
+        F.array_join(X.rule_text(FEATURES), " AND ").alias("conditions"),
+    )
+
+
+@query("""with results as (select lang as method, source as feature, doc_id % 3 as split, avg(n_chars) / 1000 as importance,
+    avg(n_chars) / 2000 as scaled_importance, 0.5 + (doc_id % 3) / 10 as recall, 1.0 as logloss
+  from documents group by lang, source, doc_id % 3)
+select method, feature, round(avg(scaled_importance), 6) as scaled_importance_mean,
+  round(stddev_samp(scaled_importance), 6) as scaled_importance_std, count(*) as scaled_importance_count,
+  round(avg(importance), 6) as importance_mean, round(stddev_samp(importance), 6) as importance_std,
+  round(avg(recall), 6) as recall_mean, round(avg(logloss), 6) as logloss_mean from results group by 1, 2""")
+def summarized_splits(t):
+    """Means and deviations over the splits of a given result table."""
+    split = F.col("doc_id") % 3
+    rows = t.documents.groupBy(F.col("lang").alias("method"), F.col("source").alias("feature"), split.alias("split")).agg(F.avg("n_chars").alias("a"))
+    results = rows.select(
+        "method", "feature", "split", (F.col("a") / 1000).alias("importance"), (F.col("a") / 2000).alias("scaled_importance"),
+        (0.5 + F.col("split") / 10).alias("recall"), F.lit(1.0).alias("logloss"),
+    )
+    out = I.summarize_splits(results)
+    return out.withColumns({c: F.round(c, 6) for c, kind in out.dtypes if kind == "double"})

@@ -189,3 +189,47 @@ def test_permutation_p_value(spark, table):
 
     out = I.permutation_test(table.select("id", "a", "label"), "id", ["a"], "a", strength, n=10).first()
     assert out["p_value"] == 0.0 and out["observed"] > 0.3
+
+
+def test_many_rules_match_like_their_conditions(spark):
+    """Several groups of rules, nulls, NaN, equal thresholds, and rules without conditions."""
+    rnd = random.Random(6)
+    rules = []
+    for i in range(300):
+        literals = [(j, rnd.randrange(3), rnd.random() < 0.5, float(rnd.randrange(6))) for j in range(rnd.randrange(0, 5))]
+        rules.append((0, 1000 + i, float(i % 2), literals))
+    values = [[rnd.choice([None, float("nan"), *map(float, range(6)), 2.5]) for _ in range(3)] for _ in range(200)]
+    data = [(i, *v, float(rnd.randrange(2))) for i, v in enumerate(values)]
+    df = spark.createDataFrame(data, "id int, a double, b double, c double, prediction double").repartition(3)
+    table = spark.createDataFrame(rules, X.RULE_SCHEMA)
+
+    def holds(v, le, t):
+        if v is None:
+            return False
+        return not math.isnan(v) and v <= t if le else math.isnan(v) or v > t
+
+    for predicted in (None, "prediction"):
+        for r in X.match_rules(df, table, FEATURES, predicted).collect():
+            v = [r[f] for f in FEATURES]
+            want = [i for _, i, p, own in rules if all(holds(v[f], le, t) for _, f, le, t in own) and (not predicted or p == r["prediction"])]
+            assert r["matched"] == want
+
+
+def test_masks_of_many_splits(spark, table):
+    splits = R.mc_splits(table, "id", "label", 70, 0.5)
+    masks = I.fold_masks(splits, "id", 70)
+    for i in (1, 62, 63, 70):
+        got = {r["id"] for r in masks.filter(I.in_split(i)).collect()}
+        assert got == {r["id"] for r in splits.filter(F.col("split") == i).collect()}
+
+
+def test_only_used_features_are_varied(spark, table):
+    """Hundreds of features, three of which the model can use."""
+    wide = table.select("*", *[F.lit(0.5).alias(f"w{i}") for i in range(300)])
+    names = [*FEATURES, *[f"w{i}" for i in range(300)]]
+    model = DecisionTreeClassifier(labelCol="label", maxDepth=3).fit(I.assemble(wide, names))
+    assert set(I.used_features(model, len(names))) <= {0, 1, 2}
+    few = {r["feature"]: r for r in X.mean_abs_change(model, wide, "id", names).collect()}
+    assert len(few) == 303 and few["w7"]["causal_importance"] == 0.0 and few["a"]["causal_importance"] > 0
+    results = I.mc_cv_importance(wide, wide, "id", "label", names, {"tree": DecisionTreeClassifier(maxDepth=3)}, n_splits=3, metric="logloss")
+    assert results.count() == 3 * 303 and {r["importance"] for r in results.filter("feature like 'w%'").collect()} == {0.0}
