@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from careloom.constants import DIAGNOSIS_SLOTS, ED_LINES, MODIFIER_SLOTS, OPIOID_CODES
 from careloom.functions.columns import any_code_in, code_prefix
+from careloom.operators.mapping import rows_with_code
 from careloom.operators.ordering import hash_bucket, hash_text, with_position
 from careloom.session import cut_lineage
 
@@ -311,18 +312,8 @@ def cohort_exclusivity(
 def important_item_events(
     df: DataFrame, items: DataFrame, slots: Sequence[str], item: str = "item"
 ) -> DataFrame:
-    """Events in which any slot holds a listed item.
-
-    One semi-join per slot; the item list is small, so each is a broadcast the events stream
-    through without a shuffle.
-    """
-    wanted = items.select(F.col(item).alias("__item")).distinct()
-    marked = df
-    for i, slot in enumerate(slots):
-        hit = wanted.select("__item", F.lit(True).alias(f"__hit{i}"))
-        marked = marked.join(hit, F.col(slot) == F.col("__item"), "left").drop("__item")
-    any_hit = F.coalesce(*[F.col(f"__hit{i}") for i in range(len(slots))], F.lit(False))
-    return marked.filter(any_hit).select(*df.columns)
+    """Events in which any slot holds a listed item: one semi-join for all slots."""
+    return rows_with_code(df, slots, items.select(F.col(item).alias("code")))
 
 
 def model_events(

@@ -71,6 +71,28 @@ def sparse_features(items: DataFrame, persons: DataFrame, key: str) -> DataFrame
     )
 
 
+def sparse_categories(items: DataFrame, persons: DataFrame, key: str, value: str = "item") -> DataFrame:
+    """One row per person over the whole vocabulary: sorted item numbers, the level and the value of each.
+
+    The categorical form of :func:`sparse_features`: an item's category is its ``value``, its name unless
+    another column is named, and levels number an item's distinct values from 1. An item that the person lacks
+    is at level 0 and not listed.
+    """
+    names = items.select(F.col("item"), F.col(value).cast("string").alias("__v")).distinct()
+    levels = with_position(names, ["item"], [F.col("__v")], None, "__level")
+    ranked = with_position(names.select("item").distinct(), [], [F.col("item")], None, "__r")
+    ids = levels.join(ranked.select("item", (F.col("__r") - 1).alias("__i")), "item")
+    own = items.withColumn("__v", F.col(value).cast("string"))
+    pairs = F.sort_array(F.collect_list(F.struct("__i", "__level", "__v")))
+    rows = own.join(ids, ["item", "__v"]).groupBy(key).agg(pairs.alias("__p"))
+    out = persons.select(key).distinct().join(rows, key, "left")
+    empty = F.array().cast("array<bigint>")
+    return out.select(
+        key, F.coalesce(F.col("__p.__i"), empty).alias("indices"), F.coalesce(F.col("__p.__level"), empty).alias("levels"),
+        F.coalesce(F.col("__p.__v"), F.array().cast("array<string>")).alias("categories"),
+    )
+
+
 def constant_features(train_items: DataFrame, train_persons: DataFrame, key: str) -> DataFrame:
     """Items with one value over all training persons (a person without the item has 0)."""
     total = train_persons.agg(F.countDistinct(key).alias("n")).scalar()

@@ -15,6 +15,9 @@ from careloom.functions.columns import (
     normalize_cpt,
     normalize_icd,
 )
+from careloom.operators.frequency import explode_slots
+from careloom.session import cut_lineage
+
 
 def _lookup_join(df: DataFrame, mapping: DataFrame, key: Column, out: str) -> DataFrame:
     """Left equi-join on the mapping; the size decides broadcast or shuffle at run time."""
@@ -40,6 +43,37 @@ def standardize_drug(
     return joined.withColumn(out, F.coalesce(F.col("__to"), name)).drop("__to")
 
 
+def slot_entries(df: DataFrame, slots: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows taken apart: (id, row) with all other columns, and (id, slot, code) of the filled slots.
+
+    Row numbers are given to checkpointed rows, so that both parts and every retry agree on them.
+    """
+    numbered = cut_lineage(df).withColumn("__id", F.monotonically_increasing_id())
+    rest = [F.col(c) for c in df.columns if c not in slots]
+    whole = F.struct(*rest) if rest else F.struct(F.lit(0).alias("__none"))
+    return numbered.select("__id", whole.alias("__row")), explode_slots(numbered, slots, ["__id"]).select("__id", "slot", "code")
+
+
+def resolve_codes(
+    codes: DataFrame, icd_map: DataFrame, target_map: DataFrame | None, cpt_map: DataFrame | None,
+    keep_unmatched: bool,
+) -> DataFrame:
+    """(cpt, code, value) of distinct raw codes: the dictionary that all slots share."""
+    icd = codes.filter(~F.col("cpt"))
+    normal = normalize_icd("code", keep_unmatched)
+    if target_map is not None:
+        icd = _lookup_join(icd, target_map, flatten_code("code"), "__target")
+    icd = _lookup_join(icd, icd_map, normal, "__mapped")
+    hits = [F.col("__target")] if target_map is not None else []
+    found = icd.select("cpt", "code", blank_to_null(F.coalesce(*hits, "__mapped", normal, "code")).alias("value"))
+    cpt = codes.filter("cpt")
+    normal = normalize_cpt("code")
+    if cpt_map is not None:
+        cpt = _lookup_join(cpt, cpt_map, normal, "__mapped")
+    hits = [F.col("__mapped")] if cpt_map is not None else []
+    return found.unionByName(cpt.select("cpt", "code", blank_to_null(F.coalesce(*hits, normal)).alias("value")))
+
+
 def apply_code_maps(
     df: DataFrame,
     slots: Sequence[str],
@@ -52,26 +86,34 @@ def apply_code_maps(
     """Canonical codes in every slot: target map on the flat raw text, then the code map on the
     normalised code, then the normalised code, then the raw text.
 
-    Every slot is a left equi-join on the same mapping. A mapping under the broadcast threshold
-    is broadcast once and reused by all slots, so the claims are not shuffled.
+    The distinct raw codes of all slots are resolved once. Filled slots meet that dictionary in one
+    join and are gathered into their rows by one regroup, however many slots there are; empty
+    slots stay null and are not moved.
     """
-    out = df
-    for slot in slots:
-        normal = normalize_icd(slot, keep_unmatched)
-        if target_map is not None:
-            out = _lookup_join(out, target_map, flatten_code(slot), "__target")
-        out = _lookup_join(out, icd_map, normal, "__mapped")
-        hits = [F.col("__target")] if target_map is not None else []
-        value = F.coalesce(*hits, F.col("__mapped"), normal, F.col(slot))
-        out = out.withColumn(slot, blank_to_null(value)).drop("__target", "__mapped")
-    for slot in cpt_slots:
-        normal = normalize_cpt(slot)
-        if cpt_map is not None:
-            out = _lookup_join(out, cpt_map, normal, "__mapped")
-        hits = [F.col("__mapped")] if cpt_map is not None else []
-        value = F.coalesce(*hits, normal)
-        out = out.withColumn(slot, blank_to_null(value)).drop("__mapped")
-    return out.select(*df.columns)
+    every = [*slots, *cpt_slots]
+    rows, entries = slot_entries(df, every)
+    entries = entries.withColumn("cpt", F.col("slot").isin(list(cpt_slots)))
+    dictionary = resolve_codes(entries.select("cpt", "code").distinct(), icd_map, target_map, cpt_map, keep_unmatched)
+    coded = entries.join(dictionary, ["cpt", "code"]).select("__id", F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), F.struct("slot", "value").alias("__entry"))
+    both = coded.unionByName(rows.withColumn("__entry", F.lit(None).cast(coded.schema["__entry"].dataType)))
+    grouped = both.groupBy("__id").agg(F.first("__row", True).alias("__row"), F.map_from_entries(F.collect_list("__entry")).alias("__codes"))
+    return grouped.select(*[
+        F.col("__codes")[c].alias(c) if c in every else F.col(f"__row.`{c}`").alias(c) for c in df.columns
+    ])
+
+
+def rows_with_code(df: DataFrame, slots: Sequence[str], wanted: DataFrame) -> DataFrame:
+    """Rows of which any slot holds a code of ``wanted`` (column ``code``): one semi-join of the filled
+    slots and one regroup."""
+    rows, entries = slot_entries(df.withColumn("__slots", F.struct(*slots)), slots)
+    hits = entries.join(wanted.select("code").distinct(), "code", "left_semi").select("__id").distinct()
+    marked = rows.withColumn("__hit", F.lit(False)).unionByName(
+        hits.select("__id", F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), F.lit(True).alias("__hit"))
+    )
+    grouped = marked.groupBy("__id").agg(F.first("__row", True).alias("__row"), F.bool_or("__hit").alias("__hit"))
+    return grouped.filter("__hit").select(*[
+        F.col(f"__row.__slots.`{c}`" if c in slots else f"__row.`{c}`").alias(c) for c in df.columns
+    ])
 
 
 def needs_update(df: DataFrame, raw: str, normalized: Column) -> DataFrame:

@@ -261,9 +261,9 @@ def mine_marked(
     )
 
 
-def top_rules(rules: DataFrame, n: int = 1000) -> DataFrame:
-    """Rules of the highest lift (support and items break ties)."""
-    return top_n(
+def top_rules(rules: DataFrame, n: int | None = 1000) -> DataFrame:
+    """Rules of the highest lift (support and items break ties); all of them without ``n``."""
+    return rules if n is None else top_n(
         rules,
         [F.col("lift").desc(), F.col("support").desc(), F.col("antecedents"),
          F.col("consequents")],
@@ -272,9 +272,9 @@ def top_rules(rules: DataFrame, n: int = 1000) -> DataFrame:
 
 
 def split_rules(
-    rules: DataFrame, prefixes: Mapping[str, str], n: int = 1000, rest: str = "CONTROL"
+    rules: DataFrame, prefixes: Mapping[str, str], n: int | None = 1000, rest: str = "CONTROL"
 ) -> DataFrame:
-    """Rules labelled by the marker their consequent holds, the top n by lift of each label."""
+    """Rules labelled by the marker their consequent holds, the top n by lift of each label or all."""
     def holds(prefix: str) -> Column:
         return F.exists("consequents", lambda x: x.startswith(prefix))
 

@@ -11,6 +11,7 @@ from careloom.constants import AGE_BAND_LABELS
 from careloom.functions.columns import age_band, flatten_code, parse_yyyymmdd
 from careloom.operators.frequency import explode_slots, mid_frequency
 from careloom.operators.ordering import top_n
+from careloom.session import cut_lineage
 
 PASS, WARN, FAIL = "PASS", "WARN", "FAIL"
 
@@ -292,31 +293,35 @@ def partition_presence(df: DataFrame, grid: Mapping[str, Sequence]) -> DataFrame
 
 
 def qa_report(cohort: DataFrame, key: str = "person", drug: str = "drug_name") -> DataFrame:
-    """Compact report of a cohort as (section, metric, value)."""
-    people = cohort.groupBy(key).agg(F.max("is_target_case").alias("__c"))
-    totals = cohort.agg(
-        _n().alias("total_rows"),
-        F.count_if((F.col("event_type") == "pharmacy")).alias("drug_events"),
-        F.countDistinct(drug).alias("distinct_drugs"),
-        F.count(drug).alias("non_null_drugs"),
-        F.count_if(F.col(key).isNull()).alias("null_person_keys"),
-        F.count_if(F.col("event_date").isNull()).alias("null_event_dates"),
-        F.count_if(F.col("event_type").isNull()).alias("null_events"),
-        F.count_if(F.col("is_target_case").isNull()).alias("null_targets"),
+    """Compact report of a cohort as (section, metric, value).
+
+    The cohort is scanned once: rows are counted by (person, drug, event type), and all sections, the
+    distinct counts among them, come from that table.
+    """
+    kind = F.col("event_type")
+    fine = cut_lineage(cohort.groupBy(F.col(key).alias("k"), F.col(drug).alias("d"), kind.alias("e")).agg(
+        _n().alias("n"), F.count_if(F.col("event_date").isNull()).alias("null_event_dates"),
+        F.count_if(F.col("is_target_case").isNull()).alias("null_targets"), F.max("is_target_case").alias("c"),
+    ))
+
+    def total(condition: Column | None = None, name: str = "n") -> Column:
+        picked = F.col(name) if condition is None else F.when(condition, F.col(name))
+        return F.coalesce(F.sum(picked), F.lit(0))
+
+    totals = fine.agg(
+        total().alias("total_rows"), total(F.col("e") == "pharmacy").alias("drug_events"),
+        total(F.col("d").isNotNull()).alias("non_null_drugs"), total(F.col("k").isNull()).alias("null_person_keys"),
+        total(name="null_event_dates").alias("null_event_dates"), total(F.col("e").isNull()).alias("null_events"),
+        total(name="null_targets").alias("null_targets"),
     )
-    sections = [_stack(totals, [], totals.columns, "metric").select(
-        F.lit("totals").alias("section"), "metric", "n")]
-    persons = people.agg(
-        _n().alias("distinct_persons"), F.count_if(F.col("__c") == 1).alias("target_persons"),
-        F.count_if(F.col("__c") == 0).alias("control_persons"),
+    drugs = fine.select("d").distinct().agg(F.count("d").alias("distinct_drugs"))
+    people = fine.groupBy("k").agg(F.max("c").alias("c")).agg(
+        _n().alias("distinct_persons"), F.count_if(F.col("c") == 1).alias("target_persons"),
+        F.count_if(F.col("c") == 0).alias("control_persons"),
     )
-    sections.append(_stack(persons, [], persons.columns, "metric").select(
-        F.lit("persons").alias("section"), "metric", "n"))
-    sections.append(cohort.groupBy("event_type").agg(_n().alias("n")).select(
-        F.lit("events").alias("section"), F.col("event_type").alias("metric"), "n"))
-    out = sections[0]
-    for part in sections[1:]:
-        out = out.unionByName(part)
+    out = fine.groupBy("e").agg(F.sum("n").alias("n")).select(F.lit("events").alias("section"), F.col("e").alias("metric"), "n")
+    for section, table in (("totals", totals), ("totals", drugs), ("persons", people)):
+        out = out.unionByName(_stack(table, [], table.columns, "metric").select(F.lit(section).alias("section"), "metric", "n"))
     return out
 
 

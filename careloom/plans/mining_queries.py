@@ -279,7 +279,7 @@ def marked_rules(t):
     _, rules = N.mine_marked(marked, "person", 0.6, 0.5, 1.0005)
     rules = rules.withColumn("conviction", F.least("conviction", F.lit(1e6)))
     return _rounded(N.split_rules(
-        rules, {"TARGET_ICD": "TARGET_ICD:", "TARGET_ED": "TARGET_ED:"}, 100_000
+        rules, {"TARGET_ICD": "TARGET_ICD:", "TARGET_ED": "TARGET_ED:"}, None
     ))
 
 

@@ -15,7 +15,9 @@ from careloom.operators import evaluation as V
 from careloom.operators import explain as X
 from careloom.operators import features as R
 from careloom.operators import importance as I
+from careloom.operators import mining as N
 from careloom.plans import claims_queries as C
+from careloom.plans import mining_queries as M
 from careloom.plans.registry import query
 from careloom.session import cut_lineage
 
@@ -78,6 +80,31 @@ def sparse_features(t):
     return out.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), "|") for c in ("indices", "values")})
 
 
+@query(f"""with {_ITEMS}, ids as (select item, row_number() over (order by item) - 1 as i from (select distinct item from items)),
+  rows as (select person, array_to_string(list(i order by i), '|') as indices, array_to_string(list(1 order by i), '|') as levels,
+    array_to_string(list(item order by i), '|') as categories from items join ids using (item) group by 1)
+select person, coalesce(indices, '') as indices, coalesce(levels, '') as levels, coalesce(categories, '') as categories
+from (select distinct person from cohort) left join rows using (person)""")
+def categorical_features(t):
+    """Every item of the vocabulary as a category: its number, level and name per person."""
+    out = R.sparse_categories(_items(t), C._cohort(t), "person")
+    return out.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), "|") for c in ("indices", "levels", "categories")})
+
+
+@query(f"""with {_ITEMS}, graded as (select person, item, case when n > 2 then 'many' when n = 2 then 'two' else 'one' end as v from items),
+  ids as (select item, row_number() over (order by item) - 1 as i from (select distinct item from items)),
+  lev as (select item, v, row_number() over (partition by item order by v) as l from (select distinct item, v from graded)),
+  rows as (select person, array_to_string(list(i order by i), '|') as indices, array_to_string(list(l order by i), '|') as levels
+    from graded join ids using (item) join lev using (item, v) group by 1)
+select person, coalesce(indices, '') as indices, coalesce(levels, '') as levels
+from (select distinct person from cohort) left join rows using (person)""")
+def graded_features(t):
+    """Every item of the vocabulary as a category of how often the person has it."""
+    grade = F.when(F.col("n") > 2, "many").when(F.col("n") == 2, "two").otherwise("one")
+    out = R.sparse_categories(_items(t).withColumn("grade", grade), C._cohort(t), "person", "grade").drop("categories")
+    return out.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), "|") for c in ("indices", "levels")})
+
+
 @query(f"""with {_ITEMS} select person, """ + ", ".join(
     f"""coalesce(max(n) filter (item = '{c}'), 0) as "{c}\"""" for c in _COLS)
     + " from (select distinct person from cohort) left join items using (person) group by 1")
@@ -436,14 +463,12 @@ def rule_validation(t):
 @query()
 def rule_patterns(t):
     """Rules over pattern features, with the patterns their conditions name."""
-    from careloom.operators import mining as N
-    from careloom.plans import mining_queries as M
-
     patterns, _ = M._patterns(t)
-    patterns = cut_lineage(patterns.filter("slot <= 4"))
+    patterns = cut_lineage(patterns)
+    slots = patterns.agg(F.max("slot")).first()[0] or 0
     tx = N.transactions(M._lines(t), "key")
-    table = N.expand_patterns(tx, patterns, ["support"], n=4)
-    names = [f"pattern_{i}_support" for i in range(1, 5)]
+    table = N.expand_patterns(tx, patterns, ["support"], n=slots)
+    names = [f"pattern_{i}_support" for i in range(1, slots + 1)]
     rows = table.select("key", (F.col("size") > 6).cast("int").alias("label"), *names)
     rows = cut_lineage(rows)
     model = DecisionTreeClassifier(labelCol="label", maxDepth=3).fit(I.assemble(rows, names))
@@ -693,3 +718,35 @@ def summarized_splits(t):
     )
     out = I.summarize_splits(results)
     return out.withColumns({c: F.round(c, 6) for c, kind in out.dtypes if kind == "double"})
+
+
+_PATTERN_RULES = [
+    (0, 0, 1.0, [(1, 0, False, 0.0)]),
+    (0, 1, 0.0, [(2, 0, True, 0.0), (3, 1, False, 0.0)]),
+    (0, 2, 0.0, [(2, 0, True, 0.0), (4, 1, True, 0.0), (5, 2, False, 0.0)]),
+]
+
+
+@query(M._PATTERNS + """, held as (select distinct slot, key from pats p join base a on a.item = split_part(p.items, '|', 1)
+    join base b using (key) where b.item = split_part(p.items, '|', 2) and slot <= 3),
+  flags as (select s.key, bool_or(slot = 1) as a, bool_or(slot = 2) as b, bool_or(slot = 3) as c
+    from sized s left join held using (key) group by 1),
+  hits as (select case when a then 0 when b then 1 when c then 2 end as rule_id, count(*) as matched_rows from flags group by 1)
+select rule_id, matched_rows, round(matched_rows / (select count(*) from flags), 6) as coverage,
+  case rule_id when 0 then 'pattern_1_support > 0.0' when 1 then 'pattern_1_support <= 0.0 AND pattern_2_support > 0.0'
+    else 'pattern_1_support <= 0.0 AND pattern_2_support <= 0.0 AND pattern_3_support > 0.0' end as conditions,
+  (select string_agg(replace(items, '|', '+'), '|' order by replace(items, '|', '+')) from pats where slot <= rule_id + 1) as patterns,
+  round((select max(support) from pats where slot <= rule_id + 1), 6) as pattern_support
+from hits where rule_id is not null""")
+def given_rule_patterns(t):
+    """Given rules over the features of all patterns, with the patterns that their conditions name."""
+    patterns, _ = M._patterns(t)
+    patterns = cut_lineage(patterns)
+    slots = patterns.agg(F.max("slot")).first()[0] or 0
+    names = [f"pattern_{i}_support" for i in range(1, slots + 1)]
+    table = N.expand_patterns(N.transactions(M._lines(t), "key"), patterns, ["support"], n=slots)
+    rules = t.spark.createDataFrame(_PATTERN_RULES, X.RULE_SCHEMA)
+    matched = X.match_rules(table.withColumns({"label": F.lit(1), "prediction": F.lit(1.0)}), rules, names)
+    metrics = X.rule_validation(matched, rules, "label", "prediction", []).select("rule_id", "matched_rows", "coverage")
+    out = X.rule_table(rules, metrics, names, patterns)
+    return out.withColumns({c: F.round(c, 6) for c in ("coverage", "pattern_support")})

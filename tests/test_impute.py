@@ -103,3 +103,31 @@ def test_suggested_mappings(spark):
     cpt = spark.createDataFrame([("99213", 1), ("99213.", 9), ("a1", 2), ("A1", 5)], "c string, n int")
     assert rows(M.suggest_mapping(cpt, "c", "n", "cpt").select("variant", "canonical")) == [
         ("99213.", "99213"), ("a1", "A1")]
+
+
+def test_thirteen_slots_take_two_exchanges(spark, tmp_path):
+    """However many slots, claims meet the dictionary once and are regrouped once."""
+    slots = [f"d{i}" for i in range(13)]
+    data = [(i, *[None if (i + j) % 3 else f"F11.{(i * j) % 9}" for j in range(13)], i % 2) for i in range(40)]
+    df = spark.createDataFrame(data, "id int, " + ", ".join(f"{s} string" for s in slots) + ", other int")
+    icd = spark.createDataFrame([("F113", "X1"), ("F115", "X2")], "key string, value string")
+    bound = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(bound)
+    spark.conf.set(bound, "-1")
+    try:
+        out = M.apply_code_maps(df, slots, icd)
+        got = {r["id"]: r for r in out.collect()}
+        final = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    finally:
+        spark.conf.set(bound, before)
+    exchanges = [line for line in final.splitlines() if "Exchange" in line]
+    regroups = [line for line in exchanges if "hashpartitioning(__id" in line]
+    meets = [line for line in exchanges if "hashpartitioning(cpt" in line]
+    assert len(regroups) == 1 and len(meets) <= 3  # claims and dictionary meet, after the dictionary's distinct
+    codes = spark.createDataFrame([(c,) for c in {v for r in data for v in r[1:14] if v}], "c string")
+    want = {r["c"]: r["n"] for r in codes.select("c", M.normalize_icd("c").alias("n")).collect()}
+    mapped = {"F113": "X1", "F115": "X2"}
+    for row in data:
+        r = got[row[0]]
+        assert [r[s] for s in slots] == [v and mapped.get(want[v], want[v]) for v in row[1:14]]
+        assert r["other"] == row[14]
