@@ -43,18 +43,22 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_ids(tokenizer)
-        end = np.array([end_id], dtype="<u4")
+        end = np.array([end_id], dtype="<u4").tobytes()
         for whole in batches:
             for batch in slices(whole, "text"):
                 row, start, length, crc = [], [], [], []
-                for i, own in enumerate(text_ids(as_texts(batch.column(1)), coder)):
-                    ids = np.concatenate([own, end])
-                    for at in range(0, len(ids), capacity):
-                        part = ids[at: at + capacity]
+                ids, bounds = text_ids(as_texts(batch.column(1)), coder)
+                view = memoryview(ids).cast("B")
+                bounds = bounds.tolist()
+                for i, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                    for at in range(0, hi - lo + 1, capacity):
+                        n = min(hi - lo - at, capacity)
+                        own = zlib.crc32(view[(lo + at) * 4: (lo + at + n) * 4])
+                        closes = n < capacity
                         row.append(i)
                         start.append(at)
-                        length.append(len(part))
-                        crc.append(zlib.crc32(part.tobytes()))
+                        length.append(n + closes)
+                        crc.append(zlib.crc32(end, own) if closes else own)
                 start = np.array(start, dtype=np.int64)
                 columns = [batch.column(0).take(pa.array(row, pa.int64())), *map(pa.array, (start // capacity, start, np.array(length, np.int64), np.array(crc, np.int64)))]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])

@@ -24,7 +24,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from careloom.llm.text import as_texts, slices, split_words
 
-#: Pre-tokens that a task remembers; beyond that it starts again, which costs time only.
+#: Pre-tokens that a task remembers: half of them seen lately, half before that; forgetting costs time only.
 KEPT = 300_000
 #: Longer pre-tokens are encoded each time they occur in a batch and not remembered.
 LONGEST_KEPT = 64
@@ -52,19 +52,32 @@ def word_model(path: str):
 
 
 class Remembered:
-    """Values per pre-token, worked out by ``make`` for those not seen lately."""
+    """Values per pre-token, worked out by ``make`` for those not seen lately.
+
+    Two generations: what is used moves to the young one, and when that is full the old one is dropped, so
+    that frequent pre-tokens stay.
+    """
 
     def __init__(self, make):
-        self.make, self.known = make, {}
+        self.make, self.young, self.old = make, {}, {}
 
     def __call__(self, words: list[str]) -> list:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > KEPT:
-            self.known.clear()
-            new = words
-        made = dict(zip(new, self.make(new), strict=True))
-        self.known.update((w, v) for w, v in made.items() if len(w) <= LONGEST_KEPT)
-        return [made[w] if w in made else self.known[w] for w in words]
+        young, old = self.young, self.old
+        out = [young.get(w) for w in words]
+        for i in [i for i, v in enumerate(out) if v is None]:
+            w = words[i]
+            v = out[i] = old.get(w)
+            if v is not None:
+                young[w] = v
+        new = [i for i, v in enumerate(out) if v is None]
+        if new:
+            for i, v in zip(new, self.make([words[i] for i in new]), strict=True):
+                out[i] = v
+                if len(words[i]) <= LONGEST_KEPT:
+                    young[words[i]] = v
+        if len(young) > KEPT // 2:
+            self.young, self.old = {}, young
+        return out
 
 
 def check_word_bound(model) -> None:
@@ -127,15 +140,66 @@ def count_tokens(docs: DataFrame, model: str, text: str = "text", into: str = "n
 #: Words that fall into parts without asking the tokenizer: ASCII and Latin-1 letters, digits and
 #: marks. The apostrophe (contractions) and ``<`` (special tokens) are left to it.
 PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:;=-@\[-`{-~]*")
-PART = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Classes of bytes; a letter beyond ASCII is a lead byte and the one behind it.
+SPACE, LETTER, DIGIT, MARK, ODD = range(5)
 
 
-def word_ids(path: str) -> Remembered:
-    """Little-endian 32-bit ids of the parts of a text between spaces.
+def byte_classes() -> np.ndarray:
+    out = np.full(256, ODD, np.uint8)
+    for b in range(0x21, 0x7F):
+        c = chr(b)
+        out[b] = LETTER if c.isalpha() else DIGIT if c.isdigit() else ODD if c in "'<" else MARK
+    out[0x20] = SPACE
+    return out
+
+
+CLASSES = byte_classes()
+
 
-    This vocabulary lower-cases and parts letters, digits and marks from each other, so the
-    ids of a plain word are those of its parts, and only distinct parts are encoded.
+def in_parts(texts: pa.Array) -> pa.Array:
+    """The texts with plain words lower-cased and their parts set off by spaces.
+
+    This vocabulary lower-cases and parts letters, digits and marks from each other, so the ids of a plain word
+    are those of its parts. A word with any other character stays as it is.
     """
+    if not len(texts):
+        return texts
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset: texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    body = np.frombuffer(data, np.uint8)[at[0]: at[-1]] if data is not None else np.zeros(0, np.uint8)
+    at = at - at[0]
+    if not len(body):
+        return texts
+    kind = CLASSES[body]
+    lead = np.flatnonzero(body == 0xC3)  # U+00C0 to U+00FF; the product and division signs are no letters
+    low = body[lead + 1]
+    letter = lead[(low != 0x97) & (low != 0xB7)]
+    kind[letter] = kind[letter + 1] = LETTER
+    first = np.zeros(len(body), bool)
+    first[at[:-1][at[:-1] < len(body)]] = True
+    space = kind == SPACE
+    first[1:] |= space[1:] | space[:-1]
+    first[0] = True
+    word = np.cumsum(first, dtype=np.int32) - 1
+    odd = np.zeros(int(word[-1]) + 1, bool)
+    odd[word[kind == ODD]] = True
+    plain = ~odd[word]
+    upper = plain & (((body >= 0x41) & (body <= 0x5A)))
+    behind = letter + 1
+    upper[behind[plain[behind] & (body[behind] <= 0x9E)]] = True
+    lower = body + (upper.astype(np.uint8) << 5)
+    cut = np.zeros(len(body), bool)
+    cut[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    cut &= plain & ~first
+    moved = np.cumsum(cut)
+    out = np.full(len(body) + int(moved[-1]), 0x20, np.uint8)
+    out[np.arange(len(body)) + moved] = lower
+    at = at + np.concatenate([[0], moved])[at]
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(at), pa.py_buffer(out))
+
+
+def word_ids(path: str) -> Remembered:
+    """Little-endian 32-bit ids of the strings between the spaces of :func:`in_parts`."""
     model = word_model(path)
     last = np.zeros(model.get_vocab_size(), bool)  # ids that end a word
     last[[i for w, i in model.get_vocab().items() if w.endswith("</w>")]] = True
@@ -143,7 +207,7 @@ def word_ids(path: str) -> Remembered:
     def encode(parts: list[str]) -> list[bytes]:
         texts = [" ".join(parts[i: i + 512]) for i in range(0, len(parts), 512)]  # each part is one pre-token
         out = []
-        for i, coded in enumerate(model.encode_batch_fast(texts, add_special_tokens=False)):
+        for coded in model.encode_batch_fast(texts, add_special_tokens=False):
             ids = np.array(coded.ids, dtype="<u4")
             ends = ((np.flatnonzero(last[ids]) + 1) * 4).tolist()
             ids = ids.tobytes()
@@ -152,16 +216,11 @@ def word_ids(path: str) -> Remembered:
             raise ValueError("parts and words of the tokenizer differ")
         return out
 
-    part_ids = Remembered(encode)
-
     def make(words: list[str]) -> list[bytes]:
         out: list = [None] * len(words)
         plain = [i for i, w in enumerate(words) if PLAIN.fullmatch(w)]
-        split = [PART.findall(words[i].lower()) for i in plain]
-        distinct = list({p for parts in split for p in parts})
-        ids = dict(zip(distinct, part_ids(distinct), strict=True))
-        for i, parts in zip(plain, split, strict=True):
-            out[i] = ids[parts[0]] if len(parts) == 1 else b"".join([ids[p] for p in parts])
+        for i, ids in zip(plain, encode([words[i] for i in plain]), strict=True):
+            out[i] = ids
         rest = [i for i, x in enumerate(out) if x is None]
         for i, coded in zip(rest, model.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
             out[i] = np.array(coded.ids, dtype="<u4").tobytes()
@@ -170,20 +229,17 @@ def word_ids(path: str) -> Remembered:
     return Remembered(make)
 
 
-def text_ids(texts: pa.Array, coder: Remembered) -> list[np.ndarray]:
-    """Token ids of every text. Spaces and line ends always part tokens in this vocabulary."""
-    words = split_words(pc.replace_substring(texts, "\n", " "), None)
+def text_ids(texts: pa.Array, coder: Remembered) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all texts, end to end, and where each text's begin; the last entry is their end.
+
+    Spaces and line ends always part tokens in this vocabulary.
+    """
+    words = split_words(in_parts(pc.replace_substring(texts, "\n", " ")), None)
     parts = coder(words.distinct.to_pylist())
-    lengths = np.array([len(p) // 4 for p in parts], dtype=np.int64)
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
     flat = np.frombuffer(b"".join(parts), dtype="<u4")
-    starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-    bounds = words.bounds
-    out = []
-    for i in range(words.rows):
-        own = words.index[bounds[i]: bounds[i + 1]]
-        n = lengths[own]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        pick = np.arange(total) + np.repeat(starts[own] - (ends - n), n)
-        out.append(flat[pick])
-    return out
+    starts = np.cumsum(lengths) - lengths
+    n = lengths[words.index]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    pick = np.arange(int(ends[-1])) + np.repeat(starts[words.index] - ends[:-1], n)
+    return flat[pick], ends[words.bounds]
