@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from careloom.session import cut_lineage
 
 
+#: Edges that a task of a round gets about: a small graph isn't spread over hundreds of tasks and files.
+EDGES_PER_TASK = 8192
+
+
 def large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the node's smallest neighbour."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -15,12 +19,12 @@ def large_star(edges: DataFrame) -> DataFrame:
     return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Every smaller neighbour of a node, and the node itself, is tied to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
     near = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return near.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    return near.unionByName(least.select("a", F.col("m").alias("b"))).coalesce(tasks).distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -40,7 +44,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if mark == before or not mark[0]:
             break
         before = mark
-        now = cut_lineage(small_star(large_star(now)))
+        tasks = -(-mark[0] // EDGES_PER_TASK)
+        now = cut_lineage(small_star(large_star(now.coalesce(tasks)).coalesce(tasks), tasks).coalesce(tasks))
     hung = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     roots = hung.select(F.col("root").alias("node"), "root").distinct()
     return hung.unionByName(roots).unionByName(loops.join(hung, "node", "left_anti")).distinct()

@@ -226,23 +226,37 @@ def region_rows(rows: DataFrame, bits: np.ndarray, least: int) -> DataFrame:
     return rows.withColumn("h", F.xxhash64("id")).mapInArrow(run, "id long, start long, count long, key binary, tag long")
 
 
-def region_windows(rows: DataFrame, bits: np.ndarray, wanted: np.ndarray, shared: np.ndarray | None, least: int) -> DataFrame:
-    """``id, start, at, h`` of the windows of the regions whose tags are wanted, and of some more.
-
-    With a bitmap of hashes, of the windows that it may hold.
-    """
+def region_windows(rows: DataFrame, bits: np.ndarray, wanted: np.ndarray, least: int) -> DataFrame:
+    """``id, start, hashes`` of the regions whose tags are wanted, and of some more: all windows of a region in one value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 r = regions(split_words(as_texts(batch.column(1)), SPACED), bits, least)
-                some = np.repeat(maybe_in(wanted, r.tags(batch.column(2).to_numpy())), r.count)
-                if shared is not None:
-                    some &= maybe_in(shared, r.hashes)
-                of = np.repeat(np.arange(len(r.row)), r.count)[some]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r.row[of])), pa.array(r.start[of]), pa.array(r.offsets()[some]), pa.array(r.hashes[some].view(np.int64))], names=["id", "start", "at", "h"])
+                some = np.flatnonzero(maybe_in(wanted, r.tags(batch.column(2).to_numpy())))
+                first = r.firsts
+                hashes = [r.hashes[first[i]: first[i] + r.count[i]].tobytes() for i in some]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r.row[some])), pa.array(r.start[some]), pa.array(hashes, pa.binary())], names=["id", "start", "hashes"])
+
+    return rows.withColumn("h", F.xxhash64("id")).mapInArrow(run, "id long, start long, hashes binary")
+
+
+def each_window(windows: DataFrame, shared: np.ndarray | None) -> DataFrame:
+    """``id, start, at, h`` of every window; with a bitmap of hashes, of those that it may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            count = pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+            hashes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
+            of = np.repeat(np.arange(len(count)), count)
+            at = np.arange(len(hashes)) - np.repeat(np.cumsum(count) - count, count)
+            if shared is not None:
+                some = np.flatnonzero(maybe_in(shared, hashes))
+                of, at, hashes = of[some], at[some], hashes[some]
+            place = pa.array(of)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(place), batch.column(1).take(place), pa.array(at), pa.array(hashes)], names=["id", "start", "at", "h"])
 
-    return rows.withColumn("h", F.xxhash64("id")).mapInArrow(run, "id long, start long, at long, h long")
+    return windows.mapInArrow(run, "id long, start long, at long, h long")
 
 
 def shared_passages(rows: DataFrame, least: int) -> DataFrame:
@@ -257,9 +271,10 @@ def shared_passages(rows: DataFrame, least: int) -> DataFrame:
     found = cut_lineage(region_rows(rows, bits, least))
     classes = cut_lineage(found.groupBy("key").agg(F.min(F.struct("id", "start", "tag")).alias("first")).select("key", "first.*"))
     wanted = bitmap(classes, F.col("tag"))
-    owners = region_windows(rows, bits, wanted, None, least).groupBy("h").agg(F.min("id").alias("kept"), F.max("id").alias("last"))
+    windows = cut_lineage(region_windows(rows, bits, wanted, least))
+    owners = each_window(windows, None).groupBy("h").agg(F.min("id").alias("kept"), F.max("id").alias("last"))
     owners = cut_lineage(owners.filter("kept <> last").select("h", "kept"))
-    held = region_windows(rows, bits, wanted, bitmap(owners, F.col("h")), least).join(owners, "h").filter("id <> kept")
+    held = each_window(windows, bitmap(owners, F.col("h"))).join(owners, "h").filter("id <> kept")
     line = Window.partitionBy("id", "start").orderBy("at")
     runs = held.withColumn("new", (F.col("at") - F.coalesce(F.lag("at").over(line), F.lit(-2)) > 1).cast("int"))
     runs = runs.withColumn("run", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
