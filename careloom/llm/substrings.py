@@ -214,40 +214,31 @@ def regions(words: Words, bits: np.ndarray, least: int) -> Regions:
 
 
 def region_rows(rows: DataFrame, bits: np.ndarray, least: int) -> DataFrame:
-    """``id, start, count`` of windows, ``key`` and ``tag`` of every region."""
+    """``id, start, count`` of windows, ``key``, ``tag`` and the ``hashes`` of all windows of every region."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 r = regions(split_words(as_texts(batch.column(1)), SPACED), bits, least)
                 tags = r.tags(batch.column(2).to_numpy())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r.row)), pa.array(r.start), pa.array(r.count), pa.array(r.keys(), pa.binary()), pa.array(tags)], names=["id", "start", "count", "key", "tag"])
+                ends = pa.array(np.append(r.firsts, len(r.hashes)) * 8, pa.int64())
+                hashes = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(r.row), [None, ends.buffers()[1], pa.py_buffer(r.hashes.astype("<u8").tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r.row)), pa.array(r.start), pa.array(r.count), pa.array(r.keys(), pa.binary()), pa.array(tags), hashes.cast(pa.binary())], names=["id", "start", "count", "key", "tag", "hashes"])
 
-    return rows.withColumn("h", F.xxhash64("id")).mapInArrow(run, "id long, start long, count long, key binary, tag long")
+    return rows.withColumn("h", F.xxhash64("id")).mapInArrow(run, "id long, start long, count long, key binary, tag long, hashes binary")
 
 
-def region_windows(rows: DataFrame, bits: np.ndarray, wanted: np.ndarray, least: int) -> DataFrame:
-    """``id, start, hashes`` of the regions whose tags are wanted, and of some more: all windows of a region in one value."""
+def each_window(regions_: DataFrame, wanted: np.ndarray, shared: np.ndarray | None) -> DataFrame:
+    """``id, start, at, h`` of the windows of the regions whose tags are wanted, and of some more.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                r = regions(split_words(as_texts(batch.column(1)), SPACED), bits, least)
-                some = np.flatnonzero(maybe_in(wanted, r.tags(batch.column(2).to_numpy())))
-                first = r.firsts
-                hashes = [r.hashes[first[i]: first[i] + r.count[i]].tobytes() for i in some]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r.row[some])), pa.array(r.start[some]), pa.array(hashes, pa.binary())], names=["id", "start", "hashes"])
-
-    return rows.withColumn("h", F.xxhash64("id")).mapInArrow(run, "id long, start long, hashes binary")
-
-
-def each_window(windows: DataFrame, shared: np.ndarray | None) -> DataFrame:
-    """``id, start, at, h`` of every window; with a bitmap of hashes, of those that it may hold."""
+    With a bitmap of hashes, of the windows that it may hold.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            count = pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64) // 8
-            hashes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
+        for whole in batches:
+            batch = whole.filter(pa.array(maybe_in(wanted, whole.column(2).to_numpy())))
+            count = pc.binary_length(batch.column(3)).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+            hashes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int64)
             of = np.repeat(np.arange(len(count)), count)
             at = np.arange(len(hashes)) - np.repeat(np.cumsum(count) - count, count)
             if shared is not None:
@@ -256,7 +247,7 @@ def each_window(windows: DataFrame, shared: np.ndarray | None) -> DataFrame:
             place = pa.array(of)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(place), batch.column(1).take(place), pa.array(at), pa.array(hashes)], names=["id", "start", "at", "h"])
 
-    return windows.mapInArrow(run, "id long, start long, at long, h long")
+    return regions_.select("id", "start", "tag", "hashes").mapInArrow(run, "id long, start long, at long, h long")
 
 
 def shared_passages(rows: DataFrame, least: int) -> DataFrame:
@@ -271,10 +262,9 @@ def shared_passages(rows: DataFrame, least: int) -> DataFrame:
     found = cut_lineage(region_rows(rows, bits, least))
     classes = cut_lineage(found.groupBy("key").agg(F.min(F.struct("id", "start", "tag")).alias("first")).select("key", "first.*"))
     wanted = bitmap(classes, F.col("tag"))
-    windows = cut_lineage(region_windows(rows, bits, wanted, least))
-    owners = each_window(windows, None).groupBy("h").agg(F.min("id").alias("kept"), F.max("id").alias("last"))
+    owners = each_window(found, wanted, None).groupBy("h").agg(F.min("id").alias("kept"), F.max("id").alias("last"))
     owners = cut_lineage(owners.filter("kept <> last").select("h", "kept"))
-    held = each_window(windows, bitmap(owners, F.col("h"))).join(owners, "h").filter("id <> kept")
+    held = each_window(found, wanted, bitmap(owners, F.col("h"))).join(owners, "h").filter("id <> kept")
     line = Window.partitionBy("id", "start").orderBy("at")
     runs = held.withColumn("new", (F.col("at") - F.coalesce(F.lag("at").over(line), F.lit(-2)) > 1).cast("int"))
     runs = runs.withColumn("run", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
@@ -283,7 +273,7 @@ def shared_passages(rows: DataFrame, least: int) -> DataFrame:
     of_class = classes.select("key", F.col("id").alias("first"), F.col("start").alias("first_start"))
     of_class = of_class.join(ranges.withColumnsRenamed({"id": "first", "start": "first_start"}), ["first", "first_start"], "left").select("key", "first", "ranges", F.coalesce("kept", "first").alias("kept"))
     # alone in its class and with no window held elsewhere, a region says nothing
-    members = found.join(of_class, "key").filter("id <> first or ranges is not null")
+    members = found.drop("hashes").join(of_class, "key").filter("id <> first or ranges is not null")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("low"), (F.col("count") + least - 1).alias("high"), F.col("kept")))
     each = members.select("id", "start", F.explode(F.when(F.col("id") == F.col("first"), F.col("ranges")).otherwise(whole)).alias("r"))
     return each.select("id", (F.col("start") + F.col("r.low")).alias("start"), (F.col("start") + F.col("r.high")).alias("end"), "r.kept")
