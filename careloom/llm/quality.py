@@ -148,10 +148,15 @@ def fit_labels(votes: np.ndarray, counts: np.ndarray, steps: int = 100) -> Label
 
 def shape(word: str) -> int:
     """Hash of a word with letters and digits replaced by their kind and runs cut to one."""
-    plain = re.sub(r"[^\W\d_]+", lambda x: ("A" if x[0].isupper() else "a") if len(x[0]) == 1 or not x[0][1:].islower() else "Aa" if x[0][0].isupper() else "a", word[:64])
+    plain = re.sub(r"[^\W\d_]+", lambda x: ("A" if x[0].isupper() else "a") if len(x[0]) == 1 or not x[0][1:].islower() else "Aa" if x[0][0].isupper() else "a", word)
     return zlib.crc32(re.sub(r"(.)\1+", r"\1", re.sub(r"\d+", "0", plain)).encode()) & 0x7FFFFFFF
 
 
+def length_class(size: np.ndarray) -> np.ndarray:
+    """Bytes of a word up to 40, then four classes for every doubling."""
+    return np.where(size <= 40, size, 40 + np.ceil(4 * np.log2(np.maximum(size, 40) / 40)).astype(np.int64))
+
+
 def features(words: Words, known: Remembered) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, hashed feature and share of the row's words: shapes, pairs of shapes, repeats, lengths."""
     distinct = words.distinct.to_pylist()
@@ -161,7 +166,7 @@ def features(words: Words, known: Remembered) -> tuple[np.ndarray, np.ndarray, n
     pair = (shapes[:-1] * 31 + shapes[1:] + 1)[follows]
     same = (words.index[1:] == words.index[:-1])[follows]
     row = np.concatenate([words.row, words.row[1:][follows], words.row[1:][follows][same], words.row])
-    feature = np.concatenate([shapes % SIZE, pair % SIZE, np.full(int(same.sum()), 7), 100 + np.minimum(size, 40)])
+    feature = np.concatenate([shapes % SIZE, pair % SIZE, np.full(int(same.sum()), 7), 100 + length_class(size)])
     n = np.maximum(np.bincount(words.row, minlength=words.rows), 1)
     both, count = np.unique(row.astype(np.int64) * SIZE + feature, return_counts=True)
     return both // SIZE, both % SIZE, count / n[both // SIZE]
@@ -183,9 +188,10 @@ class QualityModel:
 
 
 def fit_quality(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sampled: int = MOST_SAMPLED) -> QualityModel:
-    """Label model over the vote patterns of all documents, scorer over about ``sampled`` of them.
+    """Label model over the vote patterns of all documents, scorer over ``sampled`` of them at most.
 
-    Null texts count as empty ones. Without documents the model calls everything good.
+    The sample is that of the smallest hashes of id and text. Rows that repeat both are one row of it that
+    weighs as much as all. Null texts count as empty ones. Without documents the model calls everything good.
     """
     rows = docs.select(F.col(text).cast("string").alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.col(text)), F.lit(1 << 30)).alias("h"))
 
@@ -216,13 +222,15 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sam
                 row, feature, value = features(words, known)
                 at = pa.array(np.searchsorted(row, np.arange(words.rows + 1)), pa.int32())
                 lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (feature.astype(np.int32), value)]
-                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(good), *lists], names=["h", "good", "features", "shares"])
+                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(good), *lists], names=["h", "n", "good", "features", "shares"])
 
-    data = rows.filter(F.col("h") < cut).mapInArrow(sample, "h long, good double, features array<int>, shares array<double>").toPandas().sort_values("h", kind="stable")
+    # a combining aggregate: of a row that fills a third of the table each task hands on one
+    drawn = rows.filter(F.col("h") < cut).groupBy("text", "h").agg(F.count(F.lit(1)).alias("n")).orderBy("h", F.md5("text")).limit(sampled)
+    data = drawn.mapInArrow(sample, "h long, n long, good double, features array<int>, shares array<double>").toPandas().sort_values("h", kind="stable")
     if data.empty:
         return QualityModel(labels, np.zeros(SIZE), 20.0 if labels.prior >= 0.5 else -20.0)
     train = linear.Rows([np.asarray(x, np.int64) for x in data["features"]], [np.asarray(x) for x in data["shares"]])
-    weights, bias = linear.fit(train, data["good"].to_numpy(), SIZE, l2=1e-5, steps=400)
+    weights, bias = linear.fit(train, data["good"].to_numpy(), SIZE, data["n"].to_numpy(float), l2=1e-5, steps=400)
     return QualityModel(labels, weights, bias)
 
 

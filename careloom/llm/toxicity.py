@@ -35,7 +35,7 @@ MOST_FEATURES = 4096
 #: Weight of the score changes that swaps cause.
 SWAP_COST = 10.0
 
-#: Sets of terms that may stand for each other; the first of a set is the neutral one.
+#: Sets of terms that may stand for each other, in four languages; the first of a set is the neutral one.
 IDENTITY_TERMS = (
     ("people", "women", "men", "girls", "boys"),
     ("person", "woman", "man", "girl", "boy"),
@@ -45,6 +45,27 @@ IDENTITY_TERMS = (
     ("citizens", "immigrants", "refugees", "foreigners", "natives"),
     ("human", "black", "white", "asian", "latino", "african", "european", "arab"),
     ("grown", "old", "young", "disabled", "deaf", "blind"),
+    ("menschen", "frauen", "männer", "mädchen", "jungen"),
+    ("mensch", "frau", "mann", "schwuler", "lesbe", "transfrau", "transmann"),
+    ("gläubige", "christen", "muslime", "juden", "hindus", "buddhisten", "atheisten"),
+    ("religiöse", "christliche", "muslimische", "jüdische", "hinduistische", "buddhistische"),
+    ("bürger", "einwanderer", "flüchtlinge", "ausländer", "migranten"),
+    ("menschliche", "schwarze", "weiße", "asiatische", "afrikanische", "arabische", "türkische"),
+    ("erwachsene", "alte", "junge", "behinderte", "gehörlose", "blinde"),
+    ("gens", "femmes", "hommes", "filles", "garçons"),
+    ("personne", "femme", "homme", "gay", "lesbienne", "homosexuel", "transgenre"),
+    ("croyants", "chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"),
+    ("religieux", "chrétien", "musulman", "juif", "hindou", "bouddhiste", "athée"),
+    ("citoyens", "immigrés", "réfugiés", "étrangers", "migrants"),
+    ("humain", "noir", "blanc", "asiatique", "africain", "arabe", "européen"),
+    ("adultes", "vieux", "jeunes", "handicapés", "sourds", "aveugles"),
+    ("gente", "mujeres", "hombres", "niñas", "niños"),
+    ("persona", "mujer", "hombre", "gay", "lesbiana", "homosexual", "transgénero"),
+    ("creyentes", "cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
+    ("religioso", "cristiano", "musulmán", "judío", "hindú", "budista", "ateo"),
+    ("ciudadanos", "inmigrantes", "refugiados", "extranjeros", "migrantes"),
+    ("humano", "negro", "blanco", "asiático", "latino", "africano", "árabe", "europeo"),
+    ("adultos", "viejos", "jóvenes", "discapacitados", "sordos", "ciegos"),
 )
 
 
@@ -115,21 +136,28 @@ class ToxicityModel:
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, most: int, terms) -> DataFrame:
-    """Features and swaps of at most ``most`` labelled texts."""
+    """Features and swaps of at most ``most`` distinct labelled texts, and how often each occurs."""
     chosen = labels.filter(F.col(label).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label"))
     chosen = cut_lineage(chosen.orderBy(F.xxhash64("id"), "id", "label").limit(most))
     bits = bitmap(chosen, F.xxhash64("id"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(id_col)).alias("h"))
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, features array<int>, swaps array<struct<gone:array<int>,come:array<int>>>"
+
+    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(maybe_in(bits, b.column(2).to_numpy())))
+
+    # a combining aggregate: of a row that fills a third of the table each task hands on one
+    distinct = rows.mapInArrow(maybe, rows.schema).groupBy("id", "text").agg(F.count(F.lit(1)).alias("n"))
+    drawn = cut_lineage(distinct.join(chosen, "id").orderBy(F.xxhash64("id"), "id", F.md5("text"), "label").limit(most))
+    schema = "label int, n long, features array<int>, swaps array<struct<gone:array<int>,come:array<int>>>"
     arrow = pa.list_(pa.struct([("gone", pa.list_(pa.int32())), ("come", pa.list_(pa.int32()))]))
     every = {t for group in terms for t in group}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Remembered(lambda words: [hashed(w) for w in words])
         for whole in batches:
-            whole = whole.filter(pa.array(maybe_in(bits, whole.column(2).to_numpy())))
             for batch in slices(whole, "text"):
-                words = split_words(as_texts(batch.column(1)), ALNUM)
+                words = split_words(as_texts(batch.column(2)), ALNUM)
                 row, feature = features(words, known)
                 at = np.searchsorted(row, np.arange(words.rows + 1))
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(feature, pa.int32()))
@@ -138,9 +166,9 @@ def labelled_features(docs: DataFrame, labels: DataFrame, id_col: str, text: str
                 for i in np.flatnonzero(names[words.index]) if names.any() else ():
                     said.setdefault(int(words.row[i]), set()).add(words.distinct[int(words.index[i])].as_py())
                 swapped = [[{"gone": list(a), "come": list(b)} for a, b in swaps(said.get(i, set()), terms)] for i in range(words.rows)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(swapped, arrow)], names=["id", "features", "swaps"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array(swapped, arrow)], names=["label", "n", "features", "swaps"])
 
-    return cut_lineage(rows.mapInArrow(run, schema).join(chosen, "id").select("label", "features", "swaps"))
+    return cut_lineage(drawn.select("label", "n", "text").mapInArrow(run, schema))
 
 
 def telling_features(rows: DataFrame, most: int) -> np.ndarray:
@@ -174,7 +202,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """A model of the labelled texts.
 
     Labels other than 0 and 1 are left out, as are labels without a text and texts without a
-    label. With no labels, or those of one class only, every text gets the same score:
+    label. Rows that repeat id and text are one row that weighs as much as all; at most ``most`` distinct
+    rows, those of the smallest hashes, reach the driver. With no labels, or those of one class only, every text gets the same score:
     the share of toxic labels, 0 if there are none.
     """
     rows = labelled_features(docs, labels, id_col, text, label, most, terms)
@@ -183,8 +212,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [np.flatnonzero(np.isin(chosen, f)).tolist() for f in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keep, pa.list_(pa.int32())), b.column(2)], names=["label", "features", "swaps"])
+            keep = [np.flatnonzero(np.isin(chosen, f)).tolist() for f in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keep, pa.list_(pa.int32())), b.column(3)], names=["label", "n", "features", "swaps"])
 
     data = rows.mapInArrow(place, rows.schema).toPandas()  # at most ``most`` rows of chosen features
     target = data["label"].to_numpy(float)
@@ -199,7 +228,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             gone, come = [where[f] for f in s["gone"] if f in where], [where[f] for f in s["come"] if f in where]
             index.append(np.array(gone + come, np.int64))
             value.append(np.array([-1.0] * len(gone) + [1.0] * len(come)))
-    weights, bias = linear.fit(linear.Rows(own), target[order], len(chosen), l2=1e-4, changes=linear.Rows(index, value), change_cost=swap_cost)
+    weights, bias = linear.fit(linear.Rows(own), target[order], len(chosen), data["n"].to_numpy(float)[order], l2=1e-4, changes=linear.Rows(index, value), change_cost=swap_cost)
     return ToxicityModel(chosen, weights, bias)
 
 

@@ -112,3 +112,48 @@ def test_gradient_of_the_linear_model():
     w, b = linear.fit(rows, np.array([1.0, 0.0, 1.0, 0.0]), 2, l2=1e-3)
     p = linear.sigmoid(rows.dot(w) + b)
     assert p[0] > 0.8 and p[2] > 0.9 and p[1] < 0.2 and p[3] < 0.5
+
+
+def test_repeated_rows_reach_the_driver_once(spark):
+    """One labelled id that fills most of the table, and one id of many texts."""
+    data = labelled(2, 300)
+    docs, labels = tables(spark, data)
+    hot = spark.range(20000).select(F.lit(0).cast("long").alias("doc_id"), F.lit(data[0][1]).alias("text"), F.lit("x").alias("features"))
+    many = spark.range(500).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("x").alias("features"))
+    every = docs.union(hot).union(many)
+    few, all_of = (toxicity.labelled_features(every, labels, "doc_id", "text", "toxic", n, toxicity.IDENTITY_TERMS) for n in (400, 1000))
+    assert few.count() == 400 and all_of.count() == 800 and all_of.agg(F.max("n")).first()[0] == 20001
+    model = quality.fit_quality(docs.union(hot), sampled=50)
+    assert 0 < model.labels.prior <= 1
+
+
+def test_neutral_mentions_per_language(spark):
+    """Groups that are named mostly in toxic texts, in every language, don't make a neutral text toxic."""
+    neutral = {
+        "en": ("muslims", "women", "the women of the town met the muslims at noon"),
+        "de": ("muslime", "frauen", "die frauen der stadt trafen die muslime am mittag"),
+        "fr": ("musulmans", "femmes", "les femmes de la ville ont vu les musulmans"),
+        "es": ("musulmanes", "mujeres", "las mujeres de la ciudad vieron a los musulmanes"),
+    }
+    for first, second, text in neutral.values():
+        docs, labels = tables(spark, labelled(3, 300, groups=[first, second]))
+        model = toxicity.fit_toxicity(docs, labels)
+        assert model.scores(pa.array([text], pa.large_string()), model.known())[0] < 0.5
+
+
+def test_scores_are_those_of_the_features(spark):
+    """Scores of the model against a plain sum over each text's distinct features."""
+    docs, labels = tables(spark, labelled(4, 300))
+    model = toxicity.fit_toxicity(docs, labels)
+    weight = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    for r in toxicity.score_toxicity(docs, model).collect():
+        own = {f for w in set(r["text"].lower().replace(".", " ").split()) for f in toxicity.hashed(w)}
+        total = model.bias + sum(weight.get(f, 0.0) for f in own)
+        assert abs(r["score"] - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def test_shapes_read_whole_words():
+    plain = "a" * 64
+    assert quality.shape(plain) != quality.shape(plain + "#9Z" * 2000) and quality.shape(plain) == quality.shape("b" * 5000)
+    sizes = quality.length_class(np.array([1, 40, 41, 80, 160, 10**6]))
+    assert sizes.tolist() == sorted(set(sizes.tolist())) and sizes[1] == 40
