@@ -160,17 +160,33 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
         return mixed((total[n:] - total[:-n]) * back[: len(words) - n + 1])
 
 
+def check_hashes(words: np.ndarray, pieces_: np.ndarray, n: int, places: np.ndarray) -> np.ndarray:
+    """A second hash, of other make than ``window_hashes``, of the windows of ``n`` words at some places.
+
+    It is put together from the hashes of pieces of ``PIECE`` words that cover the window.
+    """
+    if n < PIECE:
+        return mixed(gram_hashes(words, n)[places] + np.uint64(1))
+    out = np.zeros(len(places), np.uint64)
+    with np.errstate(over="ignore"):
+        for at in [*range(0, n - PIECE, PIECE), n - PIECE]:
+            out = mixed(out + pieces_[places + at])
+    return out
+
+
 @dataclass
 class Regions:
     """Stretches of words in which every window of ``least`` words may be shared, laid end to end.
 
-    ``row``, ``start`` and ``count`` of windows of every region; ``hashes`` of all its windows.
+    ``row``, ``start`` and ``count`` of windows of every region; ``hashes`` of all its windows, and
+    ``others``, which make them 128 bits a window.
     """
 
     row: np.ndarray
     start: np.ndarray
     count: np.ndarray
     hashes: np.ndarray
+    others: np.ndarray
 
     @property
     def firsts(self) -> np.ndarray:
@@ -182,8 +198,18 @@ class Regions:
 
     def keys(self) -> list[bytes]:
         """128 bits for the words of every region."""
+        if not len(self.row):
+            return []
+        place = mixed(self.offsets().astype(np.uint64))
         with np.errstate(over="ignore"):
-            return digests(self.hashes ^ mixed(self.offsets().astype(np.uint64)), self.firsts) if len(self.row) else []
+            total = np.add.reduceat(mixed(self.hashes ^ place), self.firsts)
+            other = np.bitwise_xor.reduceat(mixed(self.others ^ place), self.firsts)
+        both = np.stack([total, other], axis=1).astype("<u8").tobytes()
+        return [both[i: i + 16] for i in range(0, len(both), 16)]
+
+    def pairs(self) -> bytes:
+        """Both hashes of every window, side by side."""
+        return np.stack([self.hashes, self.others], axis=1).astype("<u8").tobytes()
 
     def tags(self, row_hash: np.ndarray) -> np.ndarray:
         """64 bits for the place of every region."""
@@ -197,63 +223,64 @@ def regions(words: Words, bits: np.ndarray, least: int) -> Regions:
     windows = window_hashes(hashes, least)
     if not len(windows):
         none = np.zeros(0, np.int64)
-        return Regions(none, none, none, windows)
+        return Regions(none, none, none, windows, windows)
     may = row[: len(windows)] == row[least - 1:]
     inner = least - PIECE - WIDTH + 2
+    piece = gram_hashes(hashes, PIECE)
     if inner > 0:
         # the anchors of the first ``inner`` places begin pieces that end inside the window
         at, _ = least_grams(hashes, WIDTH + GRAM - 1, GRAM)
-        piece = gram_hashes(hashes, PIECE)
         missed = np.concatenate([[0], np.cumsum(~maybe_in(bits, piece)[np.minimum(at, len(piece) - 1)])])
         may &= missed[inner: inner + len(windows)] == missed[: len(windows)]
     places = np.flatnonzero(may)
     new = np.ones(len(places), bool)
     new[1:] = (np.diff(places) > 1) | (row[places[1:]] != row[places[:-1]])
     first = places[new]
-    return Regions(row[first], first - bounds[row[first]], np.diff(np.append(np.flatnonzero(new), len(places))), windows[places])
+    return Regions(row[first], first - bounds[row[first]], np.diff(np.append(np.flatnonzero(new), len(places))), windows[places], check_hashes(hashes, piece, least, places))
 
 
 def region_rows(rows: DataFrame, bits: np.ndarray, least: int) -> DataFrame:
-    """``id, start, count`` of windows, ``key``, ``tag`` and the ``hashes`` of all windows of every region."""
+    """``id, start, count`` of windows, ``key``, ``tag`` and the ``hashes``, two a window, of every region."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 r = regions(split_words(as_texts(batch.column(1)), SPACED), bits, least)
                 tags = r.tags(batch.column(2).to_numpy())
-                ends = pa.array(np.append(r.firsts, len(r.hashes)) * 8, pa.int64())
-                hashes = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(r.row), [None, ends.buffers()[1], pa.py_buffer(r.hashes.astype("<u8").tobytes())])
+                ends = pa.array(np.append(r.firsts, len(r.hashes)) * 16, pa.int64())
+                hashes = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(r.row), [None, ends.buffers()[1], pa.py_buffer(r.pairs())])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r.row)), pa.array(r.start), pa.array(r.count), pa.array(r.keys(), pa.binary()), pa.array(tags), hashes.cast(pa.binary())], names=["id", "start", "count", "key", "tag", "hashes"])
 
     return rows.withColumn("h", F.xxhash64("id")).mapInArrow(run, "id long, start long, count long, key binary, tag long, hashes binary")
 
 
 def each_window(regions_: DataFrame, wanted: np.ndarray, shared: np.ndarray | None) -> DataFrame:
-    """``id, start, at, h`` of the windows of the regions whose tags are wanted, and of some more.
+    """``id, start, at`` and the hashes ``h, g`` of the windows of the regions whose tags are wanted, and of some more.
 
-    With a bitmap of hashes, of the windows that it may hold.
+    With a bitmap of first hashes, of the windows that it may hold.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             batch = whole.filter(pa.array(maybe_in(wanted, whole.column(2).to_numpy())))
-            count = pc.binary_length(batch.column(3)).to_numpy(zero_copy_only=False).astype(np.int64) // 8
-            hashes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int64)
+            count = pc.binary_length(batch.column(3)).to_numpy(zero_copy_only=False).astype(np.int64) // 16
+            hashes, others = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int64).reshape(-1, 2).T.copy()
             of = np.repeat(np.arange(len(count)), count)
             at = np.arange(len(hashes)) - np.repeat(np.cumsum(count) - count, count)
             if shared is not None:
                 some = np.flatnonzero(maybe_in(shared, hashes))
-                of, at, hashes = of[some], at[some], hashes[some]
+                of, at, hashes, others = of[some], at[some], hashes[some], others[some]
             place = pa.array(of)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(place), batch.column(1).take(place), pa.array(at), pa.array(hashes)], names=["id", "start", "at", "h"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(place), batch.column(1).take(place), pa.array(at), pa.array(hashes), pa.array(others)], names=["id", "start", "at", "h", "g"])
 
-    return regions_.select("id", "start", "tag", "hashes").mapInArrow(run, "id long, start long, at long, h long")
+    return regions_.select("id", "start", "tag", "hashes").mapInArrow(run, "id long, start long, at long, h long, g long")
 
 
 def shared_passages(rows: DataFrame, least: int) -> DataFrame:
     """``id, start, end, kept`` of all words in windows of ``least`` words that a smaller document holds.
 
-    Windows are compared by 64-bit hashes, so whoever else holds a part of one doesn't matter.
+    Windows are compared by two 64-bit hashes of different make, so whoever else holds a part of
+    one doesn't matter, and chance matches stay unlikely at any number of windows that a cluster can hold.
     Shared pieces mark the regions that are worth it. Equal regions are one class, of
     which the smallest document's windows are enough; the others' words are all held by it.
     """
@@ -262,9 +289,9 @@ def shared_passages(rows: DataFrame, least: int) -> DataFrame:
     found = cut_lineage(region_rows(rows, bits, least))
     classes = cut_lineage(found.groupBy("key").agg(F.min(F.struct("id", "start", "tag")).alias("first")).select("key", "first.*"))
     wanted = bitmap(classes, F.col("tag"))
-    owners = each_window(found, wanted, None).groupBy("h").agg(F.min("id").alias("kept"), F.max("id").alias("last"))
-    owners = cut_lineage(owners.filter("kept <> last").select("h", "kept"))
-    held = each_window(found, wanted, bitmap(owners, F.col("h"))).join(owners, "h").filter("id <> kept")
+    owners = each_window(found, wanted, None).groupBy("h", "g").agg(F.min("id").alias("kept"), F.max("id").alias("last"))
+    owners = cut_lineage(owners.filter("kept <> last").select("h", "g", "kept"))
+    held = each_window(found, wanted, bitmap(owners, F.col("h"))).join(owners, ["h", "g"]).filter("id <> kept")
     line = Window.partitionBy("id", "start").orderBy("at")
     runs = held.withColumn("new", (F.col("at") - F.coalesce(F.lag("at").over(line), F.lit(-2)) > 1).cast("int"))
     runs = runs.withColumn("run", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
