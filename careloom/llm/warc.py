@@ -50,16 +50,27 @@ def header_value(text: str) -> str:
     return "".join(f"%{ord(c):02X}" if c < " " or c == "\x7f" else c for c in text)
 
 
-def record(kind: str, page_id, url: str | None, payload: bytes, digest: str, refers_to, date: str) -> bytes:
-    """One WARC/1.1 record; a revisit holds the headers of its response and no payload."""
+def record_id(page_id, url: str | None, digest: str) -> str:
+    """The same for every attempt and run; rows that repeat all three have records alike, ids included."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest} {url}')}>"
+
+
+def record(kind: str, page_id, url: str | None, payload: bytes, digest: str, refers_to, refers_url: str | None, date: str) -> bytes:
+    """One WARC/1.1 record; a revisit holds the headers of its response and no payload.
+
+    A revisit names its response by the standard's headers (record id, URI and date) and by its page id.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if kind == "revisit" else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, url, digest)}", f"WARC-Date: {date}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {header_value(url)}")
     head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"Page-Refers-To: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, refers_url, digest)}"]
+        if refers_url is not None:
+            head.append(f"WARC-Refers-To-Target-URI: {header_value(refers_url)}")
+        head += [f"WARC-Refers-To-Date: {date}", f"Page-Refers-To: {refers_to}"]
     if page_id is not None:
         head.append(f"Page-ID: {page_id}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -80,18 +91,24 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url: str = "url", p
 
     Of equal payloads of at least ``least_bytes`` bytes the one with the largest id is the
     response; a null id is smaller than any other. Rows that repeat the id and the payload
-    of a response are responses too. Groups are formed on digests; the join back is
+    of a response are responses too; of several URLs a revisit names the largest. A null
+    payload is an empty one. An empty table gives an empty one; further columns are not read. Groups are formed on digests; the join back is
     one that adaptive execution can split where many pages share a payload.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("body"))
     rows = rows.withColumn("sha", F.sha1(F.col("body").cast("binary")))
-    chosen = rows.filter(F.octet_length("body") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("chosen"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    chosen = rows.filter(F.octet_length("body") >= least_bytes).groupBy("sha").agg(F.max(F.struct("page_id", "url")).alias("chosen"), F.count(F.lit(1)).alias("n"))
+    chosen = chosen.filter("n > 1").select("sha", F.col("chosen.page_id").alias("chosen"), F.col("chosen.url").alias("chosen_url"))
     again = F.col("chosen").isNotNull() & ~F.col("chosen").eqNullSafe(F.col("page_id"))
-    return rows.join(chosen, "sha", "left").select("page_id", "url", "body", F.when(again, F.col("chosen")).alias("refers_to"))
+    return rows.join(chosen, "sha", "left").select("page_id", "url", "body", F.when(again, F.col("chosen")).alias("refers_to"), F.when(again, F.col("chosen_url")).alias("refers_url"))
 
 
 def write_archives(rows: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", level: int = 3) -> DataFrame:
-    """Writes rows of :func:`with_revisits` as archives under ``folder`` and returns their index."""
+    """Writes rows of :func:`with_revisits` as archives under ``folder`` and returns their index.
+
+    Every row is a record, repeated rows too. A record without a page id or URL lacks that header and
+    has null in the index; an empty table gives an empty index and no archive.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, path = file_system(f"{folder}/archives")
@@ -99,7 +116,7 @@ def write_archives(rows: DataFrame, folder: str, date: str = "2024-01-01T00:00:0
         out, name, offset = None, "", 0
         for batch in batches:
             index = []
-            for page_id, url, body, refers_to in zip(batch["page_id"], batch["url"], batch["body"], batch["refers_to"], strict=True):
+            for page_id, url, body, refers_to, refers_url in zip(*(batch[c] for c in ("page_id", "url", "body", "refers_to", "refers_url")), strict=True):
                 if out is None or offset >= FILE_BYTES:
                     if out is not None:
                         out.close()
@@ -110,7 +127,7 @@ def write_archives(rows: DataFrame, folder: str, date: str = "2024-01-01T00:00:0
                 key = None if pd.isna(page_id) else int(page_id)
                 kind = "response" if pd.isna(refers_to) else "revisit"
                 packer = zlib.compressobj(level, zlib.DEFLATED, 31)
-                raw = packer.compress(record(kind, key, url, payload, digest, None if kind == "response" else int(refers_to), date)) + packer.flush()
+                raw = packer.compress(record(kind, key, url, payload, digest, None if kind == "response" else int(refers_to), refers_url, date)) + packer.flush()
                 out.write(raw)
                 index.append((name, offset, len(raw), key, url, digest, kind))
                 offset += len(raw)
@@ -143,7 +160,8 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
 
     Payload size and digest are taken from the payload itself; a revisit has no payload, so
     both come from its headers. ``intact`` tells whether digests of index, header and payload
-    agree. Records are dealt by file and block, so that a large archive is read by many tasks.
+    agree. A record that the index lists twice is read twice; an empty index gives an empty
+    table; further columns of it are not read. Records are dealt by file and block, so that a large archive is read by many tasks.
     """
     wanted = index.select("file", "offset", "length", "payload_digest", F.floor(F.col("offset") / BLOCK_BYTES).alias("block"))
     wanted = wanted.repartition("file", "block").sortWithinPartitions("file", "offset")

@@ -39,3 +39,10 @@ def test_no_labels_and_no_rows(spark):
     df = spark.createDataFrame([("http://q.net/",), (None,)], "url string")
     assert {r["verdict"] for r in urls.judge_urls(df, RULES).collect()} == {"allow"}
     assert urls.judge_urls(df.filter(F.lit(False)), RULES).count() == 0
+
+
+def test_repeated_rows_are_judged_alike(spark):
+    data = [(i % 5, u) for i, u in enumerate(["http://s.com/de/1", "http://s.com/fr/1", "http://q.net/x", None, ""] * 40)]
+    data += [(None, "http://q.net/x")] * 3
+    got = urls.judge_urls(spark.createDataFrame(data, "page_id long, url string").repartition(4), RULES).collect()
+    assert len(got) == len(data) and len({(r["page_id"], r["url"], r["rule"], r["score"], r["verdict"]) for r in got}) == 6

@@ -51,6 +51,24 @@ def test_members_stand_where_the_index_says(spark, tmp_path):
         assert "Injected" not in fields
 
 
+def test_revisits_name_their_response(spark):
+    folder, index, _ = archived(spark)
+    read, fields = {}, []
+    for r in index.collect():
+        store, path = warc.file_system(f"{folder}/archives/{r['file']}")
+        with store.open_input_file(path) as f:
+            fields.append(warc.parse(gzip.decompress(f.read_at(r["length"], r["offset"])))[0])
+        read[fields[-1]["WARC-Record-ID"]] = fields[-1]
+    revisits = [f for f in fields if f["WARC-Type"] == "revisit"]
+    assert len(revisits) == 3
+    for f in revisits:
+        other = read[f["WARC-Refers-To"]]
+        assert other["WARC-Type"] == "response" and other["WARC-Payload-Digest"] == f["WARC-Payload-Digest"]
+        assert (other["WARC-Target-URI"], other["WARC-Date"], other["Page-ID"]) == (f["WARC-Refers-To-Target-URI"], f["WARC-Refers-To-Date"], f["Page-Refers-To"])
+    again, index, _ = archived(spark)
+    assert index.count() == len(PAGES) and len(read) == len(PAGES) - 1  # a row that repeats another has its id
+
+
 def test_selected_records_only(spark):
     folder, index, _ = archived(spark)
     got = warc.read_records(index.filter("page_id in (3, 6)"), folder).collect()
