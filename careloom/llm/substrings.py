@@ -38,10 +38,13 @@ BANDS, ROWS = 12, 3
 PIECE, GRAM, WIDTH = 16, 4, 20
 
 
-def long_lines(texts: pa.Array, least: int) -> tuple[Words, np.ndarray, np.ndarray]:
-    """Words of the lines of ``least`` words and more, and those lines' texts and first words."""
+def long_lines(texts: pa.Array, least: int) -> tuple[Words, Words, np.ndarray, np.ndarray]:
+    """Words of the texts; those of the lines of ``least`` words and more, and these lines' texts and first words.
+
+    A line end is white space, so that both come from one split.
+    """
     lists = pc.split_pattern(texts, "\n")
-    doc = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
     words = split_words(lists.flatten(), SPACED)
     count = np.diff(words.bounds)
     before = np.cumsum(count) - count
@@ -49,7 +52,9 @@ def long_lines(texts: pa.Array, least: int) -> tuple[Words, np.ndarray, np.ndarr
     keep = count >= least
     place = np.cumsum(keep) - 1
     inside = keep[words.row]
-    return Words(words.distinct, words.index[inside], place[words.row[inside]].astype(np.int32), int(keep.sum())), doc[keep], first[keep]
+    words.hashes()
+    whole = Words(words.distinct, words.index, doc[words.row], len(texts), words.each)
+    return whole, Words(words.distinct, words.index[inside], place[words.row[inside]].astype(np.int32), int(keep.sum()), words.each), doc[keep], first[keep]
 
 
 def source_rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -80,24 +85,45 @@ def told_apart(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, Data
     return whole.select("id", "text").unionByName(plain).unionByName(numbered_rows), names
 
 
-def paragraphs(rows: DataFrame, least: int) -> DataFrame:
-    """``id, start, length`` in words, size of the shingle set, its digest as key, and bands."""
+PARAGRAPH = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("size", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64()))])
+
+
+def anchored(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of every anchored piece, in the order of the words."""
+    hashes, row, bounds = words.hashes(), words.row, words.bounds
+    at, _ = winnowed(hashes, row, WIDTH + GRAM - 1, GRAM)
+    at = at[at + PIECE <= bounds[row[at] + 1]]
+    return row[at], gram_hashes(hashes, PIECE)[at].view(np.int64)
+
+
+def per_row(row: np.ndarray, rows: int, values: pa.Array) -> pa.Array:
+    """The values as one list for every row."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)), values)
+
+
+def read_once(rows: DataFrame, least: int) -> DataFrame:
+    """``id``, the long ``paragraphs`` and the hashes of the anchored ``pieces`` of every text, from one pass.
+
+    A paragraph is its start and length in words, the size of its shingle set, the set's digest as key, and bands.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                words, doc, first = long_lines(as_texts(batch.column(1)), least)
-                if not words.rows:
-                    continue
-                row, value = shingle_sets(words)
-                starts = np.searchsorted(row, np.arange(words.rows))
-                keys = band_keys(value, starts, BANDS, ROWS).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(doc)), pa.array(first.astype(np.int64)), pa.array(np.diff(words.bounds)), pa.array(np.diff(np.append(starts, len(row)))),
-                     pa.array(digests(value, starts), pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))],
-                    names=["id", "start", "length", "size", "key", "bands"])
-
-    return rows.mapInArrow(run, "id long, start long, length long, size long, key binary, bands array<long>")
+                words, lines, doc, first = long_lines(as_texts(batch.column(1)), least)
+                found = pa.array([], PARAGRAPH)
+                if lines.rows:
+                    row, value = shingle_sets(lines)
+                    starts = np.searchsorted(row, np.arange(lines.rows))
+                    bands = band_keys(value, starts, BANDS, ROWS).view(np.int64)
+                    each = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
+                    found = pa.StructArray.from_arrays(
+                        [pa.array(first.astype(np.int64)), pa.array(np.diff(lines.bounds)), pa.array(np.diff(np.append(starts, len(row)))), pa.array(digests(value, starts), pa.binary()), each],
+                        fields=list(PARAGRAPH))
+                of, piece = anchored(words)
+                yield pa.RecordBatch.from_arrays([batch.column(0), per_row(doc, words.rows, found), per_row(of, words.rows, pa.array(piece))], names=["id", "paragraphs", "pieces"])
+
+    return rows.mapInArrow(run, "id long, paragraphs array<struct<start: long, length: long, size: long, key: binary, bands: array<long>>>, pieces array<long>")
 
 
 def paragraph_sets(rows: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
@@ -108,7 +134,7 @@ def paragraph_sets(rows: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
         for whole in batches:
             whole = whole.filter(pa.array(maybe_in(bits, whole.column(2).to_numpy())))
             for batch in slices(whole, "text"):
-                words, _, _ = long_lines(as_texts(batch.column(1)), least)
+                _, words, _, _ = long_lines(as_texts(batch.column(1)), least)
                 if not words.rows:
                     continue
                 row, value = shingle_sets(words)
@@ -119,9 +145,13 @@ def paragraph_sets(rows: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     return rows.withColumn("h", F.xxhash64("id")).mapInArrow(run, "key binary, set binary")
 
 
-def similar_paragraphs(rows: DataFrame, least: int, percent: int) -> DataFrame:
-    """``id, start, end, kept`` of paragraphs whose component is kept in a smaller document."""
-    found = cut_lineage(paragraphs(rows, least))
+def similar_paragraphs(rows: DataFrame, least: int, percent: int, read: DataFrame | None = None) -> DataFrame:
+    """``id, start, end, kept`` of paragraphs whose component is kept in a smaller document.
+
+    ``read`` is :func:`read_once` of the rows, checkpointed, where the caller has it.
+    """
+    read = cut_lineage(read_once(rows, least)) if read is None else read
+    found = read.select("id", F.explode("paragraphs").alias("p")).select("id", "p.*")
     classes = numbered(found.groupBy("key").agg(F.min("id").alias("id"), F.min("size").alias("size"), F.first("bands").alias("bands")))
     members = cut_lineage(blocked(classes.drop("bands").join(clusters(classes), "no")))
     # a paragraph of one document can stand in many places; its set is wanted once
@@ -132,21 +162,6 @@ def similar_paragraphs(rows: DataFrame, least: int, percent: int) -> DataFrame:
     return found.join(kept, "key").filter("id <> kept").select("id", "start", (F.col("start") + F.col("length")).alias("end"), "kept")
 
 
-def pieces(rows: DataFrame) -> DataFrame:
-    """``id, h`` of every anchored piece."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                words = split_words(as_texts(batch.column(1)), SPACED)
-                hashes, bounds = words.hashes(), words.bounds
-                at, _ = winnowed(hashes, words.row, WIDTH + GRAM - 1, GRAM)
-                at = at[at + PIECE <= bounds[words.row[at] + 1]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(words.row[at])), pa.array(gram_hashes(hashes, PIECE)[at].view(np.int64))], names=["id", "h"])
-
-    return rows.mapInArrow(run, "id long, h long")
-
-
 def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Like ``gram_hashes`` with other values, at a cost that doesn't grow with ``n``."""
     if len(words) < n:
@@ -276,15 +291,17 @@ def each_window(regions_: DataFrame, wanted: np.ndarray, shared: np.ndarray | No
     return regions_.select("id", "start", "tag", "hashes").mapInArrow(run, "id long, start long, at long, h long, g long")
 
 
-def shared_passages(rows: DataFrame, least: int) -> DataFrame:
+def shared_passages(rows: DataFrame, least: int, read: DataFrame | None = None) -> DataFrame:
     """``id, start, end, kept`` of all words in windows of ``least`` words that a smaller document holds.
 
     Windows are compared by two 64-bit hashes of different make, so whoever else holds a part of
     one doesn't matter, and chance matches stay unlikely at any number of windows that a cluster can hold.
     Shared pieces mark the regions that are worth it. Equal regions are one class, of
-    which the smallest document's windows are enough; the others' words are all held by it.
+    which the smallest document's windows are enough; the others' words are all held by it. ``read`` is
+    :func:`read_once` of the rows, checkpointed, where the caller has it.
     """
-    pairs = pieces(rows).groupBy("h").agg(F.min("id").alias("kept"), F.max("id").alias("last")).filter("kept <> last")
+    read = cut_lineage(read_once(rows, least)) if read is None else read
+    pairs = read.select("id", F.explode("pieces").alias("h")).groupBy("h").agg(F.min("id").alias("kept"), F.max("id").alias("last")).filter("kept <> last")
     bits = bitmap(pairs, F.col("h"))
     found = cut_lineage(region_rows(rows, bits, least))
     classes = cut_lineage(found.groupBy("key").agg(F.min(F.struct("id", "start", "tag")).alias("first")).select("key", "first.*"))
@@ -317,7 +334,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     null, is then the MD5 of the text that the range is of. Further columns are not read.
     """
     rows, names = told_apart(docs, id_col, text)
-    found = similar_paragraphs(rows, least, percent).unionByName(shared_passages(rows, least)).distinct()
+    read = cut_lineage(read_once(rows, least))
+    found = similar_paragraphs(rows, least, percent, read).unionByName(shared_passages(rows, least, read)).distinct()
     # one order for both: equal ranges that two documents keep must not change places in between
     order = Window.partitionBy("id").orderBy("start", "end", "kept")
     new = F.col("start") > F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))

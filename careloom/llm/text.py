@@ -43,6 +43,8 @@ class Words:
     index: np.ndarray
     row: np.ndarray
     rows: int
+    #: Hashes of the distinct words, once they are known.
+    each: np.ndarray | None = None
 
     @property
     def bounds(self) -> np.ndarray:
@@ -51,8 +53,9 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of every word, computed once per distinct word."""
-        each = [xxhash.xxh3_64_intdigest(w) for w in self.distinct.to_pylist()]
-        return np.array(each, dtype=np.uint64)[self.index] if each else np.zeros(0, np.uint64)
+        if self.each is None:
+            self.each = np.array([xxhash.xxh3_64_intdigest(w) for w in self.distinct.to_pylist()], dtype=np.uint64)
+        return self.each[self.index]
 
 
 def as_texts(column: pa.Array | pa.ChunkedArray) -> pa.Array:
