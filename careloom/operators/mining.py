@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,20 +64,39 @@ def transaction_density(tx: DataFrame) -> DataFrame:
 
 
 def frequent_itemsets(tx: DataFrame, min_support: float, column: str = "items") -> DataFrame:
-    """Itemsets (sorted items, frequency, support) of at least the support, by parallel FP-growth.
+    """Itemsets (sorted items, frequency, support) of at least the support, by pattern growth.
 
-    The result is small and expensive, so its lineage is cut.
+    Equal transactions are counted once. An itemset's rows are what follows it in the transactions that hold
+    it, without items that are rare beside it; every level extends all itemsets by one item, in joins and
+    counts over all of them, so that no itemset's rows meet in one task. The result is small and expensive, so
+    its lineage is cut.
     """
-    n = tx.count()
-    if n == 0:
+    sets = tx.groupBy(F.sort_array(F.array_distinct(column)).alias("__tail")).agg(F.count(F.lit(1)).alias("__w"))
+    rows = cut_lineage(sets.withColumn("__set", F.array().cast(sets.schema["__tail"].dataType)))
+    sizes = rows.agg(F.sum("__w"), F.sum(F.when(F.col("__tail").isNotNull(), F.col("__w")))).first()
+    n, floor = sizes[0], math.ceil(min_support * (sizes[1] or 0))
+    if not n:
         return _empty_itemsets(tx)
-    model = FPGrowth(itemsCol=column, minSupport=min_support, minConfidence=1.0).fit(tx)
-    found = model.freqItemsets.select(
-        F.sort_array("items").alias("items"),
-        F.col("freq").alias("frequency"),
-        (F.col("freq") / F.lit(n)).alias("support"),
-    )
-    return cut_lineage(found)
+    parts = None
+    while True:
+        counts = rows.select("__set", "__w", F.explode("__tail").alias("__x")).groupBy("__set", "__x").agg(F.sum("__w").alias("frequency"))
+        found = cut_lineage(counts.filter(F.col("frequency") >= floor))
+        if found.isEmpty():
+            break
+        part = found.select(F.array_append("__set", F.col("__x")).alias("items"), "frequency")
+        parts = part if parts is None else parts.unionByName(part)
+        # an itemset that goes on with one item only can't go on with two
+        usable = found.groupBy("__set").agg(F.collect_set("__x").alias("__next")).filter(F.size("__next") > 1)
+        kept = rows.join(usable, "__set").select("__set", F.array_intersect("__tail", "__next").alias("__tail"), "__w")
+        kept = kept.filter(F.size("__tail") > 1).groupBy("__set", "__tail").agg(F.sum("__w").alias("__w"))
+        grown = kept.select("__set", "__tail", "__w", F.posexplode("__tail").alias("__p", "__x"))
+        rest = F.slice("__tail", F.col("__p") + 2, F.size("__tail"))
+        grown = grown.select(F.array_append("__set", F.col("__x")).alias("__set"), rest.alias("__tail"), "__w")
+        rows = grown.filter(F.size("__tail") > 0).groupBy("__set", "__tail").agg(F.sum("__w").alias("__w"))
+        rows = cut_lineage(rows)
+    if parts is None:
+        return _empty_itemsets(tx)
+    return cut_lineage(parts.withColumn("support", F.col("frequency") / F.lit(n)))
 
 
 def _empty_itemsets(tx: DataFrame) -> DataFrame:
@@ -354,20 +373,19 @@ def expand_patterns(
     """Slot columns of the first n patterns: its dims and metrics where the row holds it, else 0.
 
     ``patterns`` has ``slot`` (1..n), ``items`` and the dims. Its n rows become literals of the
-    projection, so the transactions are neither shuffled nor joined.
+    projection, so the transactions are neither shuffled nor joined. A pattern is held when each of its
+    items is; a look for an item is the same expression in all patterns that have it, and is made once a row.
     """
     rows = top_n(patterns.filter(F.col("slot") <= n), [F.col("slot")], n).collect()
     out = {}
     for slot in range(1, n + 1):
         row = next((r for r in rows if r["slot"] == slot), None)
+        held = F.col(tokens).isNotNull()
+        for x in row["items"] if row else ():
+            held = held & F.array_contains(tokens, F.lit(x))
         for dim in dims:
             name = f"pattern_{slot}_{dim}"
-            if row is None:
-                out[name] = F.lit(0.0)
-                continue
-            held = F.array(*[F.lit(x) for x in row["items"]])
-            missing = F.size(F.array_except(held, F.col(tokens)))
-            out[name] = F.when(missing == 0, F.lit(float(row[dim]))).otherwise(F.lit(0.0))
+            out[name] = F.when(held, F.lit(float(row[dim]))).otherwise(F.lit(0.0)) if row else F.lit(0.0)
     return tx.withColumns(out)
 
 

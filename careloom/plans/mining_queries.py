@@ -60,8 +60,8 @@ def _mined(floor: str, by: str = "1") -> str:
 _FREQUENT = f"""with recursive {_TX}, based as (select key, item from base), {_mined("0.02")}"""
 
 
-def _itemsets(t, min_support=0.02):
-    return N.frequent_itemsets(N.transactions(_lines(t), "key"), min_support)
+def _itemsets(t, min_support=0.02, tx=None):
+    return N.frequent_itemsets(N.transactions(_lines(t), "key") if tx is None else tx, min_support)
 
 
 @query(_FREQUENT + """ select items, f as frequency, round(support, 6) as support from frequent""")
@@ -289,8 +289,8 @@ _PATTERNS = _RULES.format(conf=0.01) + """, pats as (select items, support, row_
     union all select consequents, confidence from rules) group by 1)"""
 
 
-def _patterns(t):
-    found = _itemsets(t)
+def _patterns(t, tx=None):
+    found = _itemsets(t, tx=tx)
     pairs = found.filter(F.size("items") == 2).withColumn("d", -F.col("support"))
     slots = N.with_position(
         pairs, [], [F.col("d"), F.col("items")], F.floor(F.col("d") * 1000), "slot"

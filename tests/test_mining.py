@@ -150,3 +150,19 @@ def test_lift_is_the_same_in_any_partitioning(spark):
     found = N.frequent_itemsets(N.transactions(baskets(spark, sample_data()), "key"), 0.1)
     lifts = [{tuple(r["items"]): r["lift"] for r in N.with_lift(found.repartition(n)).collect()} for n in (1, 3, 7)]
     assert lifts[0] == lifts[1] == lifts[2]
+
+
+def test_itemsets_of_repeated_and_missing_items(spark):
+    """Equal sets count together, an item twice in a transaction counts once, missing ones count in n only."""
+    data = [(["b", "a", "a"],), (["a", "b"],), (["c", "a"],), (None,)]
+    tx = spark.createDataFrame(data, "items array<string>")
+    got = {tuple(r["items"]): (r["frequency"], r["support"]) for r in N.frequent_itemsets(tx, 0.5).collect()}
+    assert got == {("a",): (3, 0.75), ("b",): (2, 0.5), ("a", "b"): (2, 0.5)}
+
+
+def test_patterns_look_for_items_and_build_no_sets(spark):
+    patterns = spark.createDataFrame([(1, ["a", "b"], 0.5), (2, [], 0.25)], "slot int, items array<string>, support double")
+    tx = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", None]), (3, None)], "key int, items array<string>")
+    wide = N.expand_patterns(tx, patterns, ["support"], n=2)
+    assert rows(wide.drop("items")) == [(1, 0.5, 0.25), (2, 0.0, 0.25), (3, 0.0, 0.0)]
+    assert "array_except" not in wide._jdf.queryExecution().optimizedPlan().toString()
