@@ -82,14 +82,17 @@ def match_rules(
     class, when ``predicted`` is given), in the order of the rules.
 
     The conditions are searched by :class:`careloom.operators.leafindex.LeafIndex`. A condition on a null
-    value does not hold; a rule without conditions holds everywhere.
+    value does not hold; a rule without conditions holds everywhere. Features that no condition reads do not
+    travel to the search.
     """
     listed = _rule_rows(rules)
-    index = LeafIndex([[(x["feature"], x["le"], x["threshold"]) for x in r["literals"]] for r in listed])
+    read = sorted({x["feature"] for r in listed for x in r["literals"]})
+    place = {f: i for i, f in enumerate(read)}
+    index = LeafIndex([[(place[x["feature"]], x["le"], x["threshold"]) for x in r["literals"]] for r in listed])
     ids = np.array([r["rule_id"] for r in listed], dtype=np.int32)
     classes = np.array([r["prediction"] for r in listed], dtype=float) if predicted else None
     shared = rows.sparkSession.sparkContext.broadcast((index, ids, classes))
-    width = len(features)
+    width = max(len(read), 1)
 
     def found(values: pa.Array, wanted: pa.Array | None) -> pa.Array:
         tree, numbers, predictions = shared.value
@@ -98,7 +101,7 @@ def match_rules(
         offsets, places = tree.matched(*as_matrix(values, width), predictions, wanted)
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(numbers[places]))
 
-    values = feature_array(features)
+    values = feature_array([features[f] for f in read]) if read else F.array(F.lit(0.0))
     if predicted:
         @F.arrow_udf("array<int>")
         def holding(values: pa.Array, wanted: pa.Array) -> pa.Array:

@@ -463,18 +463,23 @@ def rule_validation(t):
 @query()
 def rule_patterns(t):
     """Rules over pattern features, with the patterns their conditions name."""
-    patterns, _ = M._patterns(t)
+    tx = cut_lineage(N.transactions(M._lines(t), "key"))
+    patterns, _ = M._patterns(t, tx)
     patterns = cut_lineage(patterns)
     slots = patterns.agg(F.max("slot")).first()[0] or 0
-    tx = N.transactions(M._lines(t), "key")
-    table = N.expand_patterns(tx, patterns, ["support"], n=slots)
     names = [f"pattern_{i}_support" for i in range(1, slots + 1)]
-    rows = table.select("key", (F.col("size") > 6).cast("int").alias("label"), *names)
-    rows = cut_lineage(rows)
-    model = DecisionTreeClassifier(labelCol="label", maxDepth=3).fit(I.assemble(rows, names))
-    scored = model.transform(I.assemble(rows, names)).select("key", "label", "prediction", *names)
+    # patterns see nothing but their own items: equal sets of these are expanded, fitted and scored once
+    used = patterns.agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("u")).first()["u"]
+    own = F.array_intersect("items", F.array(*[F.lit(x) for x in used]).cast("array<string>"))
+    rows = tx.select("key", (F.col("size") > 6).cast("int").alias("label"), own.alias("items"))
+    kinds = cut_lineage(rows.groupBy("items", "label").agg(F.count("*").cast("double").alias("weight")))
+    table = N.expand_patterns(kinds, patterns, ["support"], n=slots)
+    model = DecisionTreeClassifier(labelCol="label", weightCol="weight", maxDepth=3).fit(I.assemble(table, names))
+    table = N.expand_patterns(kinds.select("items").distinct(), patterns, ["support"], n=slots)
+    scored = model.transform(I.assemble(table, names)).select("items", "prediction", *names)
     rules = X.tree_rules(t.spark, model)
-    matched = X.match_rules(scored, rules, names)
+    matched = X.match_rules(scored, rules, names).select("items", "prediction", "matched", names[0])
+    matched = cut_lineage(rows.join(matched, "items").drop("items"))
     metrics = X.rule_validation(matched, rules, "label", "prediction", names[:1])
     return X.rule_table(rules, metrics, names, patterns)
 
@@ -740,11 +745,12 @@ select rule_id, matched_rows, round(matched_rows / (select count(*) from flags),
 from hits where rule_id is not null""")
 def given_rule_patterns(t):
     """Given rules over the features of all patterns, with the patterns that their conditions name."""
-    patterns, _ = M._patterns(t)
+    tx = cut_lineage(N.transactions(M._lines(t), "key"))
+    patterns, _ = M._patterns(t, tx)
     patterns = cut_lineage(patterns)
     slots = patterns.agg(F.max("slot")).first()[0] or 0
     names = [f"pattern_{i}_support" for i in range(1, slots + 1)]
-    table = N.expand_patterns(N.transactions(M._lines(t), "key"), patterns, ["support"], n=slots)
+    table = N.expand_patterns(tx, patterns, ["support"], n=slots)
     rules = t.spark.createDataFrame(_PATTERN_RULES, X.RULE_SCHEMA)
     matched = X.match_rules(table.withColumns({"label": F.lit(1), "prediction": F.lit(1.0)}), rules, names)
     metrics = X.rule_validation(matched, rules, "label", "prediction", []).select("rule_id", "matched_rows", "coverage")

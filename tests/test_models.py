@@ -233,3 +233,11 @@ def test_only_used_features_are_varied(spark, table):
     assert len(few) == 303 and few["w7"]["causal_importance"] == 0.0 and few["a"]["causal_importance"] > 0
     results = I.mc_cv_importance(wide, wide, "id", "label", names, {"tree": DecisionTreeClassifier(maxDepth=3)}, n_splits=3, metric="logloss")
     assert results.count() == 3 * 303 and {r["importance"] for r in results.filter("feature like 'w%'").collect()} == {0.0}
+
+
+def test_only_features_of_conditions_travel_to_the_search(spark):
+    rules = spark.createDataFrame([(0, 7, 1.0, [(1, 2, False, 0.5)]), (0, 8, 1.0, [(2, 2, True, 0.5), (3, 0, False, 1.0)])], X.RULE_SCHEMA)
+    data = spark.createDataFrame([(0.0, 1.0, 1.0), (2.0, 1.0, 0.0), (2.0, 1.0, None)], "a double, unread double, c double")
+    matched = X.match_rules(data, rules, ["a", "unread", "c"]).select("matched")
+    assert [r["matched"] for r in matched.collect()] == [[7], [8], []]
+    assert "unread" not in matched._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
