@@ -321,8 +321,8 @@ def model_events(
     ratio: int = 5, seed: str | int = 42, item: str = "item",
 ) -> DataFrame:
     """Events on important items, with at most ``ratio`` controls per case among the persons
-    that still have events."""
-    kept = important_item_events(cohort, items, slots, item)
+    that still have events. These are read for the persons and for the result, so they are checkpointed."""
+    kept = cut_lineage(important_item_events(cohort, items, slots, item))
     people = kept.groupBy(key).agg((F.max("is_target_case") == 1).alias("is_case"))
     members = sample_controls(cut_lineage(people), key, "is_case", ratio, seed=seed)
     return kept.join(members.select(key), key)

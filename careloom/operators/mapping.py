@@ -16,7 +16,7 @@ from careloom.functions.columns import (
     normalize_icd,
 )
 from careloom.operators.frequency import explode_slots
-from careloom.session import cut_lineage
+from careloom.session import code_list, cut_lineage
 
 
 def _lookup_join(df: DataFrame, mapping: DataFrame, key: Column, out: str) -> DataFrame:
@@ -103,10 +103,21 @@ def apply_code_maps(
 
 
 def rows_with_code(df: DataFrame, slots: Sequence[str], wanted: DataFrame) -> DataFrame:
-    """Rows of which any slot holds a code of ``wanted`` (column ``code``): one semi-join of the filled
-    slots and one regroup."""
+    """Rows of which any slot holds a code of ``wanted`` (column ``code``).
+
+    A list under the broadcast threshold is looked up slot by slot, and no row moves. A longer one takes one
+    semi-join of the filled slots and one regroup.
+    """
+    listed, small = code_list(wanted.select("code").filter((F.col("code") != "")))
+    if small:
+        out, hit = df, F.lit(False)
+        for i, slot in enumerate(slots):
+            held = listed.select(F.col("code").alias(f"__code_{i}"))
+            out = out.join(F.broadcast(held), F.col(slot).cast("string") == F.col(f"__code_{i}"), "left")
+            hit = hit | F.col(f"__code_{i}").isNotNull()
+        return out.filter(hit).select(*df.columns)
     rows, entries = slot_entries(df.withColumn("__slots", F.struct(*slots)), slots)
-    hits = entries.join(wanted.select("code").distinct(), "code", "left_semi").select("__id").distinct()
+    hits = entries.join(listed, "code", "left_semi").select("__id").distinct()
     marked = rows.withColumn("__hit", F.lit(False)).unionByName(
         hits.select("__id", F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), F.lit(True).alias("__hit"))
     )

@@ -516,5 +516,6 @@ select k.person, k.event_type, k.claim_id, k.line, k.part, k.is_target_case from
 join kr on k.person = kr.person where kr.c or kr.r <= 3 * kr.n""")
 def model_events(t):
     items = t.part.filter("p_size > 48").select(F.col("p_brand").alias("item")).distinct()
-    kept = K.model_events(_cohort(t), items, ["code_1", "drug_name"], ratio=3)
-    return kept.select("person", "event_type", "claim_id", "line", "part", "is_target_case")
+    out = ["person", "event_type", "claim_id", "line", "part", "is_target_case"]
+    kept = K.model_events(_cohort(t).select(*out, "code_1", "drug_name"), items, ["code_1", "drug_name"], ratio=3)
+    return kept.select(*out)

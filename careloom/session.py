@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -45,6 +46,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _bytes(text: str) -> int:
+    """Number of bytes of a setting such as 10485760b, 256k or -1."""
+    units = {"k": 10, "m": 20, "g": 30, "t": 40}
+    digits = text.strip().lower().rstrip("b")
+    return int(digits[:-1]) << units[digits[-1]] if digits and digits[-1] in units else int(digits)
+
+
+def code_list(codes: DataFrame) -> tuple[DataFrame, bool]:
+    """Distinct texts of a one-column table, checkpointed and measured: is it under the broadcast threshold?
+
+    A join that plans by estimates shuffles its large side before adaptive execution learns that the list is
+    small; measured first, a small list is marked for broadcast and a large one is left to the shuffle.
+    """
+    listed = cut_lineage(codes.distinct())
+    size = listed.agg(F.sum(F.coalesce(F.octet_length(F.col(codes.columns[0]).cast("string")), F.lit(0)) + 32)).first()[0] or 0
+    small = size <= _bytes(codes.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+    return (F.broadcast(listed) if small else listed), small
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later steps read the written rows, also after an executor is lost."""
     spark = df.sparkSession

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from careloom.operators import cohort as K
+from careloom.operators.mapping import rows_with_code
 from conftest import rows
 
 D = datetime.date
@@ -122,3 +123,18 @@ def test_rebuild_list(spark):
     data = [("a", i, int(i == 0)) for i in range(8)] + [("b", i, int(i < 2)) for i in range(6)]
     df = spark.createDataFrame(data, "part string, person int, is_target_case int")
     assert [r["part"] for r in K.cohort_checks(df, ["part"]).collect()] == ["a"]
+
+
+def test_short_code_lists_move_no_rows(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (2, "b", None), (3, "", "c"), (4, None, None), (5, "c", "a")], "k int, s string, u string")
+    wanted = spark.createDataFrame([("a",), ("c",), ("c",), ("",), (None,)], "code string")
+    found = rows_with_code(df, ["s", "u"], wanted)
+    assert rows(found) == [(1, "a", "x"), (3, "", "c"), (5, "c", "a")]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert rows(rows_with_code(df, ["s", "u"], wanted)) == rows(found)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
