@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from careloom.functions.columns import is_excluded_code
 from careloom.operators.frequency import explode_slots
 from careloom.operators.ordering import hash_bucket, hash_text, with_position
+from careloom.session import code_list, cut_lineage
 
 
 def patient_items(
@@ -33,7 +34,7 @@ def patient_items(
     rows = counted(cohort)
     basis = rows if train is None else counted(train)
     frequent = basis.groupBy("item").agg(F.count(key).alias("persons"))
-    frequent = frequent.filter(F.col("persons") >= min_persons).select("item")
+    frequent, _ = code_list(frequent.filter(F.col("persons") >= min_persons).select("item"))
     return rows.join(frequent, "item", "left_semi")
 
 
@@ -76,8 +77,10 @@ def sparse_categories(items: DataFrame, persons: DataFrame, key: str, value: str
 
     The categorical form of :func:`sparse_features`: an item's category is its ``value``, its name unless
     another column is named, and levels number an item's distinct values from 1. An item that the person lacks
-    is at level 0 and not listed.
+    is at level 0 and not listed. The items are read for the vocabulary and for the rows, so they are
+    checkpointed.
     """
+    items = cut_lineage(items)
     names = items.select(F.col("item"), F.col(value).cast("string").alias("__v")).distinct()
     levels = with_position(names, ["item"], [F.col("__v")], None, "__level")
     ranked = with_position(names.select("item").distinct(), [], [F.col("item")], None, "__r")
