@@ -137,3 +137,20 @@ def test_shifted_fields(spark):
         "age double, gndr_cod string, wt_cod string, age_cod string")
     got = [tuple(r) for r in repair_shifted_fields(df).select("age", "gndr_cod", "age_cod").collect()]
     assert got == [(54.0, "54", "DY"), (54.0, "M", "YR"), (154.0, "F", "DY")]
+
+
+def test_band_names_the_age_once(spark):
+    ages = [None, "-1", "0", "12", "13", " 25 ", "94", "95", "114", "115", "2147483647", "x", "7.5"]
+    df = spark.createDataFrame([(a,) for a in ages], "age string").select("age", C.age_band(F.upper("age")).alias("b"))
+    want = ["Other", "Other", "0-12", "0-12", "13-24", "25-44", "85-94", "95-114", "95-114", "Other", "Other", "Other"]
+    assert [r["b"] for r in df.collect()][:12] == want
+    assert df.select("b")._jdf.queryExecution().optimizedPlan().toString().count("upper(") == 1
+
+
+def test_dates_of_the_calendar_and_few_mentions(spark):
+    days = {"20200229": True, "20190229": False, "21000229": False, "20200431": False, "20201301": False, "20200100": False,
+            "20200131": True, " 2020013": False, "+2020013": False, "2020-1-3": False, "202001311": False, "19951231": False, None: False}
+    df = spark.createDataFrame([(d,) for d in days], "d string")
+    kept = df.select("d", C.is_valid_claim(F.lit(1), F.lower("d"), 1996, 2100).alias("ok"))
+    assert {r["d"]: r["ok"] for r in kept.collect()} == days
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("lower(") <= 6
