@@ -241,3 +241,11 @@ def test_only_features_of_conditions_travel_to_the_search(spark):
     matched = X.match_rules(data, rules, ["a", "unread", "c"]).select("matched")
     assert [r["matched"] for r in matched.collect()] == [[7], [8], []]
     assert "unread" not in matched._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
+
+
+def test_items_of_categories_are_built_once(spark):
+    items = spark.range(6).selectExpr("id % 3 as person", "concat('i', id % 2) as item", "1L as n").distinct()
+    persons = spark.createDataFrame([(i,) for i in range(4)], "person long")
+    out = R.sparse_categories(items, persons, "person")
+    assert rows(out.select("person", "indices", "levels")) == [(0, [0, 1], [1, 1]), (1, [0, 1], [1, 1]), (2, [0, 1], [1, 1]), (3, [], [])]
+    assert "Range (" not in out._jdf.queryExecution().optimizedPlan().toString()
