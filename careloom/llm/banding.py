@@ -30,6 +30,8 @@ from careloom.session import cut_lineage
 BLOCK_SETS, BLOCK_HASHES = 160, 200_000
 #: Columns of the membership matrix that is multiplied at once.
 MATRIX_COLUMNS = 8192
+#: Sets that share a hash up to which its pairs are counted one by one; a matrix of rare hashes is nearly all zeros.
+FEW_SETS = 12
 
 
 def permutations(n: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -98,18 +100,24 @@ def blocked(members: DataFrame) -> DataFrame:
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, by products of slices of the membership matrix."""
+    """Sizes of all intersections: pairs of the sets of a rare hash, products of slices of the membership matrix for the rest."""
     n = len(sets)
-    row = np.repeat(np.arange(n), [len(s) for s in sets])
-    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    common = times[column] > 1  # a hash of one set shares nothing
-    row, column = row[common], column[common]
+    value = np.concatenate(sets)
+    order = np.argsort(value, kind="stable")
+    value, row = value[order], np.repeat(np.arange(n), [len(s) for s in sets])[order]
+    first = np.flatnonzero(np.diff(value, prepend=~value[:1]))
+    times = np.diff(np.append(first, len(value)))
     out = np.zeros((n, n))
+    for t in range(2, FEW_SETS + 1):  # a hash of one set shares nothing
+        near = row[first[times == t][:, None] + np.arange(t)]
+        if len(near):
+            pairs = sum(np.bincount(near[:, i] * n + near[:, j], minlength=n * n) for i in range(t) for j in range(i, t))
+            out += pairs.reshape(n, n)
+    out += np.triu(out, 1).T
+    many = np.repeat(times > FEW_SETS, times)
+    row, column = row[many], np.repeat(np.cumsum(times > FEW_SETS) - 1, times)[many]
     if not len(row):
         return out
-    _, column = np.unique(column, return_inverse=True)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
     for start in range(0, int(column[-1]) + 1, MATRIX_COLUMNS):
         lo, hi = np.searchsorted(column, [start, start + MATRIX_COLUMNS])
         part = np.zeros((n, min(MATRIX_COLUMNS, int(column[-1]) + 1 - start)), np.float32)

@@ -28,18 +28,21 @@ MARK = StructType([StructField("print", LongType()), StructField("at", LongType(
 
 
 def least_grams(hashes: np.ndarray, span: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The place of the smallest gram, the first of equal ones, in every ``span`` words; and all grams."""
+    """The place of the smallest gram, the first of equal ones, in every ``span`` words; and all grams.
+
+    The least of a stretch is that of two stretches that cover it, so their length doubles every time.
+    """
     grams = gram_hashes(hashes, k)
     width = span - k + 1
-    windows = len(grams) - width + 1
-    if windows <= 0:
+    if len(grams) < width:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    least, at = grams[:windows].copy(), np.arange(windows)
-    for i in range(1, width):
-        later = grams[i: i + windows]
-        less = later < least
-        least[less] = later[less]
-        at[less] = np.flatnonzero(less) + i
+    least, at, covered = grams, np.arange(len(grams)), 1
+    while covered < width:
+        step = min(covered, width - covered)
+        n = len(least) - step
+        less = least[step:] < least[:n]
+        least, at = np.where(less, least[step:], least[:n]), np.where(less, at[step:], at[:n])
+        covered += step
     return at, grams
 
 

@@ -34,6 +34,9 @@ def shingle_sets(words: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
     grams = gram_hashes(hashes, n)
     inside = row[: len(grams)] == row[n - 1:] if len(grams) else np.zeros(0, bool)
     rows, values = [row[: len(grams)][inside]], [grams[inside]]
+    starts = np.searchsorted(rows[0], np.arange(words.rows + 1))
+    for r in np.flatnonzero(np.diff(starts) > 1):
+        values[0][starts[r]: starts[r + 1]].sort()
     length = np.diff(bounds)
     for few in range(1, n):
         for r in np.flatnonzero(length == few):
@@ -41,8 +44,9 @@ def shingle_sets(words: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
             with np.errstate(over="ignore"):
                 values.append(mixed(gram_hashes(hashes[bounds[r]: bounds[r + 1]], few) + np.uint64(few)))
     row, value = np.concatenate(rows), np.concatenate(values)
-    order = np.lexsort((value, row))
-    row, value = row[order], value[order]
+    if len(rows) > 1:
+        order = np.argsort(row, kind="stable")
+        row, value = row[order], value[order]
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
     return row[new], value[new]

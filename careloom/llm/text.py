@@ -17,6 +17,8 @@ import xxhash
 
 #: Texts handled at once inside a task; a longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
+#: Bytes of a word that is hashed eight bytes at a time, beside others; longer ones are rare.
+LONG_WORD = 64
 
 
 def byte_table(separators: str, lower: bool = True) -> bytes:
@@ -54,7 +56,7 @@ class Words:
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of every word, computed once per distinct word."""
         if self.each is None:
-            self.each = np.array([xxhash.xxh3_64_intdigest(w) for w in self.distinct.to_pylist()], dtype=np.uint64)
+            self.each = word_hashes(self.distinct)
         return self.each[self.index]
 
 
@@ -105,6 +107,30 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of every text, by its bytes alone: eight at a time, of all texts at once."""
+    words = words.cast(pa.large_string())
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    at = np.frombuffer(words.buffers()[1], np.int64)[words.offset: words.offset + len(words) + 1]
+    start, length = at[:-1] - at[0], np.diff(at)
+    body = words.buffers()[2]
+    data = (bytes(memoryview(body)[at[0]: at[-1]]) if body is not None else b"") + bytes(8)
+    out = length.astype(np.uint64)
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    masks = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+    left, done = np.flatnonzero(length <= LONG_WORD), 0
+    with np.errstate(over="ignore"):
+        while len(left):
+            part = eight[start[left] + done] & masks[np.minimum(length[left] - done, 8)]
+            out[left] = mixed(out[left] * np.uint64(0x9E3779B97F4A7C15) + part)
+            done += 8
+            left = left[length[left] > done]
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(words[i].as_py())
+    return out
+
+
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of the ``n`` words that begin at every position but the last ``n - 1``."""
     count = len(words) - n + 1
