@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Turn on the adaptive features the operators rely on.
 
@@ -20,6 +23,9 @@ def tune(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    # bytes of a shuffle are compressed rows, which a join, several rows per slot and a map of groups make many times larger
+    if spark.conf.get(ADVISORY, None) is None:
+        spark.conf.set(ADVISORY, "16m")
     # a batch for Python is held twice over by the task and its worker
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     return spark
