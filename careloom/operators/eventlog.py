@@ -58,6 +58,16 @@ def event_log(
     return out
 
 
+def instance_counts(log: DataFrame, by: Sequence[str], source: Sequence[str]) -> DataFrame:
+    """Rows ``n`` and distinct ``instances`` of each group of a log.
+
+    ``source`` are columns that an instance id holds, so that they split no instance. Rows that a
+    join has dealt by one of them are counted per instance where they are; only sums are shuffled.
+    """
+    each = log.groupBy(*by, *source, "activity_instance_id").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy(*by).agg(F.sum("n").alias("n"), F.count("activity_instance_id").alias("instances"))
+
+
 def allowed_codes(itemsets: DataFrame, items: str, target_codes: Sequence[str] = ()) -> DataFrame:
     """Codes of all itemsets plus the target codes."""
     codes = itemsets.select(F.explode(items).alias("code"))

@@ -43,11 +43,9 @@ def claims_event_log(t):
     log = E.event_log(
         rows, "person", "event_date", ["claim_id", "line", "part"], "drug_name",
         ["code_1", "code_2"], ["code_3"],
-        allowed=E.allowed_codes(sets, "items", ["A"]), group="is_p",
-    )
-    return log.groupBy("case_id", "activity", "ts", "group").agg(
-        F.count("*").alias("n"), F.countDistinct("activity_instance_id").alias("instances")
+        allowed=E.allowed_codes(sets, "items", ["A"]), group="is_p", keep=["claim_id", "part"],
     )
+    return E.instance_counts(log, ["case_id", "activity", "ts", "group"], ["claim_id", "part"])
 
 
 _SPLIT = f"""with {S.PREFIXED_LOG}, numbered as (select *, row_number() over (partition by case_id
